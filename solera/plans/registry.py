@@ -105,3 +105,27 @@ def _g15(lk: Lake) -> DataFrame:
 @query("g16_notification_funnel")
 def _g16(lk: Lake) -> DataFrame:
     return A.notification_funnel(lk.notifications())
+
+
+# ---------------------------------------------------------------- data quality E1-E16
+from solera.operators import quality as Q  # noqa: E402
+
+
+def _register_check(check_id: int) -> None:
+    @query(f"dq_e{check_id:02d}")
+    def _check(lk: Lake) -> DataFrame:
+        return Q.run_checks(Q.tables_from_lake(lk), [check_id])
+
+
+for _c in Q.CHECKS:
+    _register_check(_c.id)
+
+
+@query("dq_run")
+def _dq_run(lk: Lake) -> DataFrame:
+    return Q.run_checks(Q.tables_from_lake(lk))
+
+
+@query("dq_summary")
+def _dq_summary(lk: Lake) -> DataFrame:
+    return Q.dq_summary(Q.run_checks(Q.tables_from_lake(lk)))
