@@ -12,7 +12,8 @@ canonical           from                         rule
 ==================  ===========================  ==============================================
 dim_tipo_energia    part                         distinct p_type; id = dense rank of the name
 dim_ciudad          nation left join region      id n_nationkey, nombre n_name, pais r_name
-dim_proveedor       supplier left join nation    capacidad_mw = s_acctbal, activo = acctbal > 0
+dim_proveedor       supplier left join nation    capacidad_mw = s_acctbal, activo = acctbal > 0,
+                                                 tipo_energia_id = 1 + s_suppkey mod #types
 dim_cliente         customer                     segmento = c_mktsegment, ciudad_id = c_nationkey
 fact                lineitem, orders, part       tipo compra when l_returnflag = 'R' else venta
 dim_par             events                       distinct event_type; par_id = dense rank - 1
@@ -93,10 +94,11 @@ class Lake:
     def dim_proveedor(self) -> DataFrame:
         s = self.raw("supplier")
         n = self.raw("nation").select("n_nationkey", "n_name")
+        n_types = self.dim_tipo_energia().agg(F.count(F.lit(1))).scalar()
         return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
             F.col("s_suppkey").alias("proveedor_id"),
             F.col("s_name").alias("nombre"),
-            F.lit(None).cast("short").alias("tipo_energia_id"),
+            (F.pmod(F.col("s_suppkey"), n_types) + 1).cast("short").alias("tipo_energia_id"),
             F.col("n_name").alias("pais"),
             F.col("s_acctbal").cast("decimal(10,2)").alias("capacidad_mw"),
             (F.col("s_acctbal") > 0).alias("activo"),
@@ -219,6 +221,17 @@ class Lake:
         )
 
 
+def customer_snapshots(lk: Lake) -> DataFrame:
+    """Yearly client snapshots derived from ``orders``: one load per order year holding the
+    clients that ordered that year and their yearly totals.  Stamp ``<year>-12-31T00``.
+    A client absent from the newest load is the "vanished key" case of B8 vs B9."""
+    o = lk.raw("orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    return (o.groupBy(F.col("o_custkey").alias("cliente_id"),
+                      F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31T00")).alias("loaded_at"))
+            .agg(F.count(F.lit(1)).alias("num_pedidos"),
+                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_pedidos")))
+
+
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
     return Lake(spark, sf_dir)
 

@@ -129,3 +129,183 @@ def _dq_run(lk: Lake) -> DataFrame:
 @query("dq_summary")
 def _dq_summary(lk: Lake) -> DataFrame:
     return Q.dq_summary(Q.run_checks(Q.tables_from_lake(lk)))
+
+
+# ---------------------------------------------------------------- transforms, sources, listings
+from pyspark.sql import functions as F  # noqa: E402
+
+from solera.functions.scalar import notif_status  # noqa: E402
+from solera.mapping import customer_snapshots  # noqa: E402
+from solera.operators import listings as LS  # noqa: E402
+from solera.operators import transform as B  # noqa: E402
+from solera.plans import etl  # noqa: E402
+from solera.sources import catalog as CAT  # noqa: E402
+from solera.sources import lake as LK  # noqa: E402
+
+
+@query("b8_scd1_latest")
+def _b8(lk: Lake) -> DataFrame:
+    return B.scd1_latest(customer_snapshots(lk), "cliente_id", "loaded_at")
+
+
+@query("b9_latest_load")
+def _b9(lk: Lake) -> DataFrame:
+    return B.latest_load(customer_snapshots(lk), "loaded_at")
+
+
+@query("b12_upsert")
+def _b12(lk: Lake) -> DataFrame:
+    snaps = customer_snapshots(lk)
+    newest = snaps.agg(F.max("loaded_at")).scalar()
+    target = B.scd1_latest(snaps.where(F.col("loaded_at") < newest), "cliente_id")
+    updates = snaps.where(F.col("loaded_at") == newest)
+    return B.upsert(target, updates, "cliente_id", stamp_col=None)
+
+
+@query("b11_fact_from_text")
+def _b11(lk: Lake) -> DataFrame:
+    src = etl.read_source(lk, "transaccion")
+    as_text = src.select(*[F.col(c).cast("string").alias(c) for c in src.columns])
+    return etl.fact_from_text(as_text)
+
+
+@query("b2_conform_rejects")
+def _b2(lk: Lake) -> DataFrame:
+    # the event props text cast to the contract; rows whose value does not fit are quarantined
+    ev = lk.raw("events").select(F.col("event_id").cast("string").alias("event_id"),
+                                 F.get_json_object("props", "$.k").alias("k"),
+                                 F.col("value").cast("string").alias("valor"))
+    # contract: k a small integer, valor a price below 100 with two decimals
+    contract = {"event_id": "bigint", "k": "tinyint", "valor": "decimal(4,2)"}
+    return B.rejects(ev, contract).select(F.col("event_id").cast("long").alias("event_id"), "_bad_columns")
+
+
+@query("b5_ticks_last_hours")
+def _b5(lk: Lake) -> DataFrame:
+    recent = B.last_hours(lk.ticks(), "capturado_en", 72)
+    return recent.groupBy("par_id").agg(F.count(F.lit(1)).alias("ticks"),
+                                        F.round(F.avg("precio_compra"), 6).alias("precio_medio"))
+
+
+@query("b6_sales_last_days")
+def _b6(lk: Lake) -> DataFrame:
+    f = lk.fact(with_customer=False).where(F.col("tipo") == "venta")
+    return B.last_days(f, "fecha", 30).groupBy("fecha").agg(F.count(F.lit(1)).alias("ventas"))
+
+
+@query("b13_date_dim")
+def _b13(lk: Lake) -> DataFrame:
+    f = lk.fact(with_customer=False)
+    return B.date_dim(f.agg(F.min("fecha")).scalar(), f.agg(F.max("fecha")).scalar())
+
+
+@query("b14_b15_tick_prices")
+def _b14(lk: Lake) -> DataFrame:
+    t = B.with_mid(B.with_spread(lk.ticks()))
+    return t.select("tick_id", "par_id", F.round("spread", 9).alias("spread"), F.round("mid", 9).alias("mid"))
+
+
+@query("b16_notification_status")
+def _b16(lk: Lake) -> DataFrame:
+    n = lk.notifications()
+    return n.groupBy(notif_status().alias("estado")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b19_parse_props")
+def _b19(lk: Lake) -> DataFrame:
+    ev = B.parse_json_map(lk.raw("events").select("event_id", "props"), "props", "props_map")
+    return ev.select("event_id", F.col("props_map")["k"].cast("int").alias("k"))
+
+
+@query("b20_erasure_report")
+def _b20(lk: Lake) -> DataFrame:
+    cli = lk.dim_cliente()
+    subjects = lk.raw("customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("cliente_id"))
+    _, report = B.erase_subjects({"dim_cliente": (cli, "cliente_id"),
+                                  "fact": (lk.fact(), "cliente_id"),
+                                  "notificacion": (lk.notifications(), "cliente_id"),
+                                  "usuario_portafolio": (lk.portfolios(), "cliente_id")},
+                                 subjects, "cliente_id")
+    return report
+
+
+@query("b21_pii_scan")
+def _b21(lk: Lake) -> DataFrame:
+    return B.pii_scan(lk.raw("documents"), "text", "doc_id")
+
+
+@query("b21_pii_tokenize")
+def _b21t(lk: Lake) -> DataFrame:
+    docs = lk.raw("documents").select("doc_id", "text")
+    return B.pii_tokenize(docs, "text", salt="solera", out="text_tokenizado").select("doc_id", "text_tokenizado")
+
+
+@query("b23_governed_clients")
+def _b23(lk: Lake) -> DataFrame:
+    return B.governed_view(lk.dim_cliente(), ["cliente_id", "nombre", "segmento", "ciudad_id"], F.col("activo"))
+
+
+@query("a10_reconcile_warehouse")
+def _a10(lk: Lake) -> DataFrame:
+    f = lk.fact()
+    return etl.reconcile(f, LK.to_contract(f))
+
+
+@query("a17_table_counts")
+def _a17(lk: Lake) -> DataFrame:
+    return CAT.table_counts({("core", "tipo_energia"): lk.dim_tipo_energia(), ("core", "ciudad"): lk.dim_ciudad(),
+                             ("core", "proveedor"): lk.dim_proveedor(), ("core", "cliente"): lk.dim_cliente(),
+                             ("core", "transaccion"): lk.raw("lineitem"),
+                             ("divisas", "par_divisa"): lk.dim_par(), ("divisas", "tipo_cambio_tick"): lk.raw("events"),
+                             ("divisas", "usuario_portafolio"): lk.raw("customer"),
+                             ("divisas", "notificacion"): lk.raw("events")})
+
+
+@query("l1_suppliers_page")
+def _l1(lk: Lake) -> DataFrame:
+    return LS.suppliers(lk.dim_proveedor(), lk.dim_tipo_energia(), limit=1000, offset=0)
+
+
+@query("l4_clients_page")
+def _l4c(lk: Lake) -> DataFrame:
+    return LS.clients(lk.dim_cliente(), lk.dim_ciudad(), limit=2000, offset=20)
+
+
+@query("l4_transactions_page")
+def _l4t(lk: Lake) -> DataFrame:
+    return LS.transactions(lk.fact(), lk.dim_tipo_energia(), limit=2000, offset=100)
+
+
+@query("l_cities")
+def _lc(lk: Lake) -> DataFrame:
+    return LS.cities(lk.dim_ciudad())
+
+
+@query("l_energy_types")
+def _le(lk: Lake) -> DataFrame:
+    return LS.energy_types(lk.dim_tipo_energia())
+
+
+@query("l_fx_pairs")
+def _lp(lk: Lake) -> DataFrame:
+    return LS.fx_pairs(lk.dim_par())
+
+
+@query("l5_fx_ticks_latest")
+def _lt(lk: Lake) -> DataFrame:
+    return LS.fx_ticks(lk.ticks(), lk.dim_par(), label=None, hours=24, limit=1000)
+
+
+@query("l5_fx_ticks_pair")
+def _ltp(lk: Lake) -> DataFrame:
+    return LS.fx_ticks(lk.ticks(), lk.dim_par(), label="click/USD", hours=720, limit=1000)
+
+
+@query("l5_notifications_latest")
+def _ln(lk: Lake) -> DataFrame:
+    return LS.notifications(lk.notifications(), lk.dim_par(), limit=200)
+
+
+@query("l6_sample_clients")
+def _l6(lk: Lake) -> DataFrame:
+    return LS.sample_n(lk.dim_cliente().select("cliente_id", "nombre"), "cliente_id", 100, seed=42)
