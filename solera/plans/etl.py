@@ -129,13 +129,12 @@ def run(spark: SparkSession, sf_dir: str, work_root: str, loaded_at: str | None
         counts[f"dim_{table}"] = L.write_dim(build_dim(spark, raw, table), proc, f"dim_{table}")
     catalog.log_step(spark, audit, "dims", "ok", sum(counts.values()), None, counts)
     fact = build_fact(spark, raw)
-    counts["fact"] = L.write_partitioned(fact, proc, "fact", ["anio", "mes"], spread_col="transaccion_id")
+    counts["fact"] = L.write_partitioned(fact, proc, "fact", ["anio", "mes"])
     catalog.log_step(spark, audit, "fact", "ok", counts["fact"], None)
     fact_p = L.read_processed(spark, proc, "fact")
     dim_te = L.read_processed(spark, proc, "dim_tipo_energia")
     agg = A.agg_monthly(fact_p, dim_te)
-    counts["agg_resumen_mensual"] = L.write_partitioned(agg, proc, "agg_resumen_mensual", ["anio"],
-                                                        files_per_partition=1)
+    counts["agg_resumen_mensual"] = L.write_partitioned(agg, proc, "agg_resumen_mensual", ["anio"])
     counts["warehouse_fact"] = L.load_warehouse(fact_p, wh)
     rec = reconcile(fact_p, L.read_processed(spark, wh, "fact_transaccion")).first()
     counts["reconcile_ok"] = int(bool(rec["ok"]))

@@ -3,8 +3,8 @@
 * ``write_dim`` (A6): Parquet + Snappy overwrite; the row count is taken with
   ``DataFrame.observe`` during the write (no second job).
 * ``write_partitioned`` (A7): Hive-style partitions (fact by anio/mes, aggregate by anio).
-  The shuffle key is the partition columns *plus a spread column*, so a month holding a
-  third of the data is still written by ``files_per_partition`` tasks, not one.
+  A ``rebalance`` hint lets AQE split a partition value holding a third of the data into
+  several write tasks instead of one.
 * ``read_processed`` (A5).
 * ``load_warehouse`` (A9): project and cast to the warehouse contract (drops anio/mes,
   amount rounded to decimal(14,2)) and overwrite the warehouse table folder.
@@ -35,14 +35,13 @@ def write_dim(df: DataFrame, root: str, name: str) -> int:
 
 
 def write_partitioned(df: DataFrame, root: str, name: str, cols: list[str],
-                      files_per_partition: int = 4, spread_col: str | None = None,
                       max_records_per_file: int = 5_000_000) -> int:
-    """Partitioned Parquet write.  Rows of one partition value are spread over
-    ``files_per_partition`` tasks by a hash of ``spread_col`` (or of the whole row)."""
-    spread = F.xxhash64(F.col(spread_col)) if spread_col else F.xxhash64(*[F.col(c) for c in df.columns])
+    """Partitioned Parquet write behind a ``rebalance`` hint on the partition columns:
+    AQE sizes the write tasks from the measured shuffle data, splitting a partition value
+    that holds a third of the rows into many tasks/files (and merging tiny ones), so no
+    single task writes a whole hot month.  ``maxRecordsPerFile`` bounds file size."""
     obs = Observation(f"rows_{name}")
-    out = (df.withColumn("_spread", F.pmod(spread, F.lit(files_per_partition)))
-           .repartition(*[F.col(c) for c in cols], F.col("_spread")).drop("_spread"))
+    out = df.hint("rebalance", *cols)
     (out.observe(obs, F.count(F.lit(1)).alias("rows"))
      .write.mode("overwrite").option("compression", "snappy")
      .option("maxRecordsPerFile", max_records_per_file)
