@@ -309,3 +309,66 @@ def _ln(lk: Lake) -> DataFrame:
 @query("l6_sample_clients")
 def _l6(lk: Lake) -> DataFrame:
     return LS.sample_n(lk.dim_cliente().select("cliente_id", "nombre"), "cliente_id", 100, seed=42)
+
+
+# ---------------------------------------------------------------- window features W1-W10, C9
+from solera.operators import features as W  # noqa: E402
+
+
+def _r9(c: str) -> F.Column:
+    return F.round(F.col(c), 9).alias(c)
+
+
+@query("w1_date_gaps")
+def _w1(lk: Lake) -> DataFrame:
+    return Q.date_gaps(lk.fact(with_customer=False).select("fecha"), "fecha", 7)
+
+
+@query("w4_rolling_volatility")
+def _w4(lk: Lake) -> DataFrame:
+    v = W.rolling_volatility(lk.ticks())
+    return v.select("tick_id", "par_id", "capturado_en", _r9("ret"), _r9("volatilidad"))
+
+
+@query("w5_trailing_return")
+def _w5(lk: Lake) -> DataFrame:
+    r = W.trailing_return(lk.ticks())
+    return r.select("tick_id", "par_id", _r9("mid_ref"), _r9("retorno"))
+
+
+@query("w6_ema_distance")
+def _w6(lk: Lake) -> DataFrame:
+    e = W.ema_distance(lk.ticks())
+    return e.select("tick_id", "par_id", F.round("ema", 6).alias("ema"), F.round("distancia_ema", 6).alias("distancia_ema"))
+
+
+@query("w7_market_features")
+def _w7(lk: Lake) -> DataFrame:
+    m = W.market_features(lk.ticks())
+    return m.select("tick_id", "par_id", _r9("spread_bps"), "n_5m", "n_1h", _r9("volumen_relativo"))
+
+
+@query("w8_portfolio_features")
+def _w8(lk: Lake) -> DataFrame:
+    return W.portfolio_features(lk.portfolios(), lk.ticks(), rate_pair=0)
+
+
+@query("w9_user_features")
+def _w9(lk: Lake) -> DataFrame:
+    purchases = lk.raw("events").where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
+    u = W.user_features(purchases, "user_id", "ts", "value", days=30)
+    return u.select("event_id", "user_id", "frecuencia_tx", _r9("ticket_promedio"))
+
+
+@query("w10_multi_window")
+def _w10(lk: Lake) -> DataFrame:
+    m = W.multi_window(lk.ticks())
+    return m.select("tick_id", "par_id", *[c if c.startswith("n_") else _r9(c) for c in m.columns if c not in ("tick_id", "par_id")])
+
+
+@query("c9_enrich_asof")
+def _c9(lk: Lake) -> DataFrame:
+    prices = W.tick_frame(lk.ticks()).select("par_id", F.col("capturado_en").alias("ts"), "mid")
+    notif = lk.notifications().select("notificacion_id", "par_id", F.col("enviada_en").alias("ts"))
+    res = W.enrich_asof(notif, prices, "par_id", "ts", ["mid"])
+    return res.select("notificacion_id", "par_id", "ts", _r9("asof_mid"))
