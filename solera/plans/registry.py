@@ -372,3 +372,102 @@ def _c9(lk: Lake) -> DataFrame:
     notif = lk.notifications().select("notificacion_id", "par_id", F.col("enviada_en").alias("ts"))
     res = W.enrich_asof(notif, prices, "par_id", "ts", ["mid"])
     return res.select("notificacion_id", "par_id", "ts", _r9("asof_mid"))
+
+
+# ---------------------------------------------------------------- FX analytics G24-G30, C8, rules S4-S10
+from solera.operators import fx as FX  # noqa: E402
+from solera.operators import rules as R  # noqa: E402
+
+
+def _with_arm(n: DataFrame) -> DataFrame:
+    # A/B arm by client parity (deterministic assignment, reproducible in SQL)
+    return n.withColumn("brazo", F.when(F.col("cliente_id") % 2 == 0, F.lit("A")).otherwise(F.lit("B")))
+
+
+@query("g24_ctr_by_channel")
+def _g24(lk: Lake) -> DataFrame:
+    return FX.ctr_by_channel(lk.notifications())
+
+
+@query("g24_recommendation_mix")
+def _g24m(lk: Lake) -> DataFrame:
+    return FX.recommendation_mix(lk.notifications())
+
+
+@query("g25_score_percentiles")
+def _g25(lk: Lake) -> DataFrame:
+    return FX.score_percentiles(lk.notifications())
+
+
+@query("g26_active_users")
+def _g26(lk: Lake) -> DataFrame:
+    return FX.active_users(lk.raw("events"))
+
+
+@query("g27_ab_uplift")
+def _g27(lk: Lake) -> DataFrame:
+    return FX.ab_uplift(_with_arm(lk.notifications()))
+
+
+@query("g28_pnl_change")
+def _g28(lk: Lake) -> DataFrame:
+    return FX.pnl_change(lk.portfolios(), lk.ticks(), rate_pair=0)
+
+
+@query("g29_eval_scores")
+def _g29(lk: Lake) -> DataFrame:
+    return FX.eval_scores(lk.notifications(), holdout_days=14, k=100)
+
+
+@query("g30_slo_report")
+def _g30(lk: Lake) -> DataFrame:
+    return FX.slo_report(R.decide(lk.notifications(), lk.portfolios()))
+
+
+@query("c8_attribute_conversions")
+def _c8(lk: Lake) -> DataFrame:
+    ev = lk.raw("events")
+    clicks = ev.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
+    txs = ev.where(F.col("event_type") == "purchase").select("user_id", "ts")
+    a = FX.attribute_conversions(clicks, txs, "user_id", "ts", minutes=30)
+    return a.select("event_id", "user_id", F.round("segundos_a_conversion", 6).alias("segundos_a_conversion"), "convertida")
+
+
+@query("s4_trigger_every")
+def _s4(lk: Lake) -> DataFrame:
+    return R.trigger_every(lk.ticks(), n=5).select("tick_id", "par_id", "posicion", "evalua")
+
+
+@query("s5_rule_score")
+def _s5(lk: Lake) -> DataFrame:
+    return R.rule_score(lk.notifications()).select("notificacion_id", "cliente_id", "score_confianza")
+
+
+@query("s6_rule_daily_cap")
+def _s6(lk: Lake) -> DataFrame:
+    return R.rule_daily_cap(R.rule_score(lk.notifications())).select("notificacion_id", "cliente_id", "enviada_en")
+
+
+@query("s7_rule_quiet_hours")
+def _s7(lk: Lake) -> DataFrame:
+    return R.rule_quiet_hours(lk.notifications()).select("notificacion_id", "enviada_en", "deliver_at", "encolada")
+
+
+@query("s8_rule_contradiction")
+def _s8(lk: Lake) -> DataFrame:
+    return R.rule_contradiction(lk.notifications()).select("notificacion_id", "cliente_id", "par_id", "tipo", "contradictoria")
+
+
+@query("s9_rule_opt_in")
+def _s9(lk: Lake) -> DataFrame:
+    return R.rule_opt_in(lk.notifications(), lk.portfolios()).select("notificacion_id", "cliente_id", "canal")
+
+
+@query("s10_decide")
+def _s10(lk: Lake) -> DataFrame:
+    return R.decide(lk.notifications(), lk.portfolios()).select("notificacion_id", "cliente_id", "deliver_at", "decision")
+
+
+@query("s10_decision_counts")
+def _s10c(lk: Lake) -> DataFrame:
+    return R.decide(lk.notifications(), lk.portfolios()).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
