@@ -471,3 +471,31 @@ def _s10(lk: Lake) -> DataFrame:
 @query("s10_decision_counts")
 def _s10c(lk: Lake) -> DataFrame:
     return R.decide(lk.notifications(), lk.portfolios()).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- streaming batch twins S2, S3, S12
+from solera.streaming import ticks as ST  # noqa: E402
+
+
+def _r9w(df: DataFrame) -> DataFrame:
+    return df.select("inicio", "fin", "par_id", "ticks", _r9("mid_medio"), _r9("mid_min"), _r9("mid_max"))
+
+
+@query("s2_window_tumbling_5m")
+def _s2t(lk: Lake) -> DataFrame:
+    return _r9w(ST.window_features(lk.ticks(), "5 minutes", None, watermark=None))
+
+
+@query("s2_window_sliding_10m_5m")
+def _s2s(lk: Lake) -> DataFrame:
+    return _r9w(ST.window_features(lk.ticks(), "10 minutes", "5 minutes", watermark=None))
+
+
+@query("s3_latest_price_per_pair")
+def _s3(lk: Lake) -> DataFrame:
+    return ST.latest_by_key(lk.ticks(), "par_id", "capturado_en", ["tick_id", "precio_compra"])
+
+
+@query("s12_throughput_alarms")
+def _s12(lk: Lake) -> DataFrame:
+    return ST.throughput_alarms(lk.ticks(), watermark=None)
