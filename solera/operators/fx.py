@@ -73,7 +73,7 @@ def ab_uplift(notif: DataFrame, arm_col: str = "brazo", ts: str = "enviada_en")
     """Hourly conversion per arm (A control, B treatment), uplift = B/A - 1 and the
     rollback flag when the uplift stays below -15 % for 24 consecutive hourly points.
     The window runs over one row per hour (bounded by the time span)."""
-    hourly = (notif.groupBy(F.date_trunc("hour", F.col(ts)).alias("hora"))
+    hourly = (notif.groupBy(F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hora"))
               .agg(*[F.avg(F.when(F.col(arm_col) == a, F.col("convertida").cast("double"))).alias(f"conv_{a}")
                      for a in ("A", "B")]))
     up = hourly.withColumn("uplift", F.col("conv_B") / F.nullif(F.col("conv_A"), F.lit(0.0)) - 1)

@@ -42,6 +42,17 @@ def rows_of(cols, rows):
     return sorted(tuple(norm(r[i]) for i in order) for r in rows), [cols[i] for i in order]
 
 
+def spark_type(dt_) -> str:
+    s = dt_.simpleString()
+    return {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE",
+            "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+            "timestamp": "TIMESTAMP WITH TIME ZONE", "array<string>": "VARCHAR[]"}.get(s, s.upper())
+
+
+def duck_type(t) -> str:
+    return str(t).upper()
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in DRIVER_TABLES:
@@ -73,6 +84,8 @@ def check(spark, sf_dir, names=None, verbose=True):
             print(f"rows-only {name}: {len(srows)} rows ({ts:.1f}s)")
             continue
         try:
+            rel = con.sql(oracle[name])
+            dtypes = {c: duck_type(t) for c, t in zip(rel.columns, rel.types)}
             cur = con.execute(oracle[name])
             dcols = [d[0] for d in cur.description]
             drows = cur.fetchall()
@@ -90,8 +103,13 @@ def check(spark, sf_dir, names=None, verbose=True):
             diff_a = [r for r in a if r not in set(b)][:3]
             diff_b = [r for r in b if r not in set(a)][:3]
             print(f"FAIL {name}: rows spark={len(a)} duck={len(b)}\n  spark-only {diff_a}\n  duck-only {diff_b}")
-        elif verbose:
-            print(f"ok   {name}: {len(a)} rows ({ts:.1f}s)")
+        else:
+            stypes = {f.name: spark_type(f.dataType) for f in df.schema.fields}
+            tdiff = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+            if tdiff:
+                print(f"TYPE {name}: {tdiff}")
+            if verbose:
+                print(f"ok   {name}: {len(a)} rows ({ts:.1f}s)")
     return bad
 
 
