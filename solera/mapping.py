@@ -44,6 +44,9 @@ CHANNELS = ["push", "email", "sms"]
 # risk profile by c_custkey % 3
 RISK_PROFILES = ["conservador", "moderado", "agresivo"]
 SELL_MARKUP = 1.002          # precio_venta = precio_compra * 1.002
+# metered service of each event kind (usage table for the cost operators)
+SERVICE_BY_EVENT = {"click": "EC2", "view": "S3", "purchase": "RDS",
+                    "signup": "Secrets Manager", "error": "Glue"}
 QUOTE_CURRENCY = "USD"
 # ------------------------------------------------------------------------------------------
 
@@ -232,6 +235,14 @@ def customer_snapshots(lk: Lake) -> DataFrame:
                  F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_pedidos")))
 
 
+def usage_from_events(lk: Lake) -> DataFrame:
+    """Usage records for the cost operators: every event is a metered quantity (``value``)
+    of the service its kind maps to, billed to its user."""
+    svc = F.create_map(*[F.lit(x) for kv in SERVICE_BY_EVENT.items() for x in kv])[F.col("event_type")]
+    return lk.raw("events").select(F.col("user_id").alias("account"), svc.alias("service"),
+                                   F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,6)").alias("quantity"))
+
+
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
     return Lake(spark, sf_dir)
 

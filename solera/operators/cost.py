@@ -28,9 +28,6 @@ SCAN_CAP_BYTES = 1024 ** 3          # 1 GB per query
 BYTES_PER_TB = 1024 ** 4
 # ----------------------------------------------------------------------------------------------
 
-MONEY = "decimal(38,10)"
-
-
 def price_table(spark: SparkSession, rows=PRICE_LIST) -> DataFrame:
     return spark.createDataFrame(
         [(s, u, p, f, m) for s, u, p, f, m in rows],
@@ -45,50 +42,67 @@ def month_fraction(date_col) -> Column:
     return F.round(F.dayofmonth(d).cast("decimal(10,0)") / F.dayofmonth(F.last_day(d)).cast("decimal(10,0)"), 6).cast("decimal(10,6)")
 
 
-def cost_by_service(daily_costs: DataFrame, start: str, end: str, amount: str = "amount") -> DataFrame:
+def daily_costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Usage priced per (service, day): amount = quantity x unit price (exact decimal)."""
+    return (usage.join(prices.select("service", "unit_price"), "service")
+            .groupBy("service", "day")
+            .agg(F.sum(F.col("quantity").cast("decimal(18,6)") * F.col("unit_price").cast("decimal(12,6)")).alias("amount")))
+
+
+def cost_by_service(daily: DataFrame, start, end, amount: str = "amount") -> DataFrame:
     """Sum daily amounts per service over the half-open range [start, end), plus a
-    grand-total row (``rollup``; service NULL), 4 decimals HALF_UP."""
-    rng = daily_costs.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
+    grand-total row (``rollup``, service 'TOTAL'), 4 decimals HALF_UP.  ``start``/``end`` are
+    literals or columns (e.g. scalar subqueries)."""
+    s = start if isinstance(start, Column) else F.lit(start).cast("date")
+    e = end if isinstance(end, Column) else F.lit(end).cast("date")
+    rng = daily.where((F.col("day") >= s) & (F.col("day") < e))
     return (rng.rollup("service").agg(F.round(F.sum(amount), 4).cast("decimal(38,4)").alias("total"))
             .select(F.coalesce("service", F.lit("TOTAL")).alias("service"), "total"))
 
 
 def metered_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Per (account, month, service): list = quantity x unit price; free-tier allowance
-    = min(quantity, monthly free quantity) x unit price, prorated by the month fraction of the
-    last usage day for monthly (storage-like) items; charged = max(list - free, 0)."""
+    = min(quantity, monthly free quantity) x unit price; monthly (storage-like) items are
+    prorated by the month fraction of the last usage day; charged = max(list - free, 0).
+    Exact decimals (every intermediate fits decimal(38)), 4 dp HALF_UP at the end."""
     monthly = (usage.groupBy("account", F.trunc("day", "month").alias("month"), "service")
-               .agg(F.sum("quantity").cast("decimal(38,6)").alias("quantity"), F.max("day").alias("last_day")))
+               .agg(F.sum(F.col("quantity").cast("decimal(18,6)")).cast("decimal(20,6)").alias("quantity"),
+                    F.max("day").alias("last_day")))
     j = monthly.join(prices, "service")             # the price table is a handful of rows
-    frac = F.when(F.col("monthly"), month_fraction("last_day")).otherwise(F.lit(1).cast("decimal(10,6)"))
-    list_price = (F.col("quantity") * F.col("unit_price") * frac).cast(MONEY)
-    free = (F.least(F.col("quantity"), F.col("free_per_month")) * F.col("unit_price") * frac).cast(MONEY)
+    frac = F.when(F.col("monthly"), month_fraction("last_day")).otherwise(F.lit(1)).cast("decimal(8,6)")
+    price = F.col("unit_price").cast("decimal(10,6)")
+    list_price = (F.col("quantity") * price).cast("decimal(25,12)") * frac
+    free_qty = F.least(F.col("quantity"), F.col("free_per_month").cast("decimal(20,6)"))
+    free = (free_qty * price).cast("decimal(25,12)") * frac
     return j.select("account", "month", "service", "quantity",
-                    F.round(list_price, 4).alias("list_usd"),
-                    F.round(free, 4).alias("free_tier_usd"),
-                    F.round(F.greatest(list_price - free, F.lit(0).cast(MONEY)), 4).alias("charged_usd"))
+                    F.round(list_price, 4).cast("decimal(38,4)").alias("list_usd"),
+                    F.round(free, 4).cast("decimal(38,4)").alias("free_tier_usd"),
+                    F.round(F.greatest(list_price - free, F.lit(0)), 4).cast("decimal(38,4)").alias("charged_usd"))
 
 
 def credit_view(costs: DataFrame, starting_credits: str) -> DataFrame:
-    """Per account and month (running): charged so far, credits applied =
-    min(cumulative charged, starting), credits remaining, out of pocket =
-    max(cumulative charged - starting, 0), list = charged + free tier saved.
+    """Per account and month (running): charged, free tier saved, list = charged +
+    saved, credits applied = min(cumulative charged, starting), credits remaining =
+    max(starting - cumulative charged, 0), out of pocket = max(cumulative charged - starting, 0).
     The window runs per account over its monthly rows (one row per month)."""
     start = F.lit(starting_credits).cast("decimal(18,2)")
-    m = costs.groupBy("account", "month").agg(F.sum("charged_usd").alias("charged"), F.sum("free_tier_usd").alias("saved"))
+    m = costs.groupBy("account", "month").agg(F.sum("charged_usd").cast("decimal(38,4)").alias("charged"),
+                                              F.sum("free_tier_usd").cast("decimal(38,4)").alias("saved"))
     w = Window.partitionBy("account").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum("charged").over(w)
+    cum = F.sum("charged").over(w).cast("decimal(38,4)")
+    zero = F.lit(0).cast("decimal(38,4)")
     return m.select("account", "month", "charged", "saved",
-                    (F.col("charged") + F.col("saved")).alias("list_total"),
-                    F.least(cum, start).alias("credits_applied"),
-                    F.greatest(start - cum, F.lit(0)).alias("credits_remaining"),
-                    F.greatest(cum - start, F.lit(0)).alias("out_of_pocket"))
+                    (F.col("charged") + F.col("saved")).cast("decimal(38,4)").alias("list_total"),
+                    F.least(cum, start).cast("decimal(38,4)").alias("credits_applied"),
+                    F.greatest(start - cum, zero).cast("decimal(38,4)").alias("credits_remaining"),
+                    F.greatest(cum - start, zero).cast("decimal(38,4)").alias("out_of_pocket"))
 
 
-def plan_status(credits: DataFrame, as_of: str, ends_on: str) -> DataFrame:
+def plan_status(credits: DataFrame, as_of, ends_on: str) -> DataFrame:
     """Days remaining in the plan (inclusive of today, never negative) next to the credit
-    view of the newest month of each account."""
-    days_left = F.greatest(F.lit(0), F.datediff(F.lit(ends_on).cast("date"), F.lit(as_of).cast("date")) + 1)
+    view of the newest month of each account.  ``as_of`` is a date literal or a column."""
+    ref = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
+    days_left = F.greatest(F.lit(0), F.datediff(F.lit(ends_on).cast("date"), ref) + 1)
     w = Window.partitionBy("account").orderBy(F.col("month").desc())
     newest = credits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return newest.select("account", "credits_applied", "credits_remaining", "out_of_pocket", days_left.alias("days_remaining"))

@@ -499,3 +499,40 @@ def _s3(lk: Lake) -> DataFrame:
 @query("s12_throughput_alarms")
 def _s12(lk: Lake) -> DataFrame:
     return ST.throughput_alarms(lk.ticks(), watermark=None)
+
+
+# ---------------------------------------------------------------- cost metering G17-G21
+from solera.mapping import usage_from_events  # noqa: E402
+from solera.operators import cost as C  # noqa: E402
+
+STARTING_CREDITS = "100.00"
+PLAN_ENDS_ON = "2024-12-31"
+
+
+@query("g17_cost_by_service")
+def _g17(lk: Lake) -> DataFrame:
+    daily = C.daily_costs(usage_from_events(lk), C.price_table(lk.spark))
+    return C.cost_by_service(daily, daily.agg(F.min("day")).scalar(), daily.agg(F.max("day")).scalar())
+
+
+@query("g18_metered_cost")
+def _g18(lk: Lake) -> DataFrame:
+    return C.metered_cost(usage_from_events(lk), C.price_table(lk.spark))
+
+
+@query("g19_month_fraction")
+def _g19(lk: Lake) -> DataFrame:
+    days = usage_from_events(lk).select("day").distinct()
+    return days.select("day", C.month_fraction("day").alias("fraccion_mes"))
+
+
+@query("g20_credit_view")
+def _g20(lk: Lake) -> DataFrame:
+    return C.credit_view(C.metered_cost(usage_from_events(lk), C.price_table(lk.spark)), STARTING_CREDITS)
+
+
+@query("g21_plan_status")
+def _g21(lk: Lake) -> DataFrame:
+    usage = usage_from_events(lk)
+    credits = C.credit_view(C.metered_cost(usage, C.price_table(lk.spark)), STARTING_CREDITS)
+    return C.plan_status(credits, usage.agg(F.max("day")).scalar(), PLAN_ENDS_ON)
