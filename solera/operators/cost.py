@@ -127,7 +127,8 @@ def pipeline_status(stage_runs: DataFrame) -> DataFrame:
 def scan_cost(queries: DataFrame, usd_per_tb: str = ATHENA_USD_PER_TB, cap_bytes: int = SCAN_CAP_BYTES):
     """Total bytes scanned, query count, TB (12 dp), cost (6 dp) and the queries over
     the per-query scan cap.  Returns (summary, overruns)."""
-    tb = F.round(F.sum(F.col("scanned_bytes").cast("decimal(38,0)")) / F.lit(BYTES_PER_TB).cast("decimal(38,0)"), 12)
+    # operand widths chosen so the quotient keeps 15 decimals before rounding to 12
+    tb = F.round(F.sum(F.col("scanned_bytes")).cast("decimal(20,0)") / F.lit(BYTES_PER_TB).cast("decimal(14,0)"), 12)
     summary = queries.agg(F.sum("scanned_bytes").alias("bytes"), F.count(F.lit(1)).alias("queries"),
                           tb.alias("tb")).withColumn("cost_usd", F.round(F.col("tb") * F.lit(usd_per_tb).cast("decimal(10,2)"), 6))
     overruns = queries.where(F.col("scanned_bytes") > cap_bytes)
