@@ -536,3 +536,32 @@ def _g21(lk: Lake) -> DataFrame:
     usage = usage_from_events(lk)
     credits = C.credit_view(C.metered_cost(usage, C.price_table(lk.spark)), STARTING_CREDITS)
     return C.plan_status(credits, usage.agg(F.max("day")).scalar(), PLAN_ENDS_ON)
+
+
+# ---------------------------------------------------------------- governance A18, A20, scalar 2.H
+from solera.functions.scalar import seasonality  # noqa: E402
+from solera.operators import governance as GV  # noqa: E402
+
+FACT_RETENTION = [(365, "archivo"), (3 * 365, "borrar")]
+CHECKSUM_COLS = ["transaccion_id", "fecha", "tipo", "cantidad_mwh", "precio_usd", "monto_usd"]
+
+
+@query("a18_retention_ticks")
+def _a18t(lk: Lake) -> DataFrame:
+    return GV.apply_retention(lk.ticks(), "capturado_en", "ticks")[1]
+
+
+@query("a18_retention_fact")
+def _a18f(lk: Lake) -> DataFrame:
+    return GV.apply_retention(lk.fact(with_customer=False), "fecha", FACT_RETENTION)[1]
+
+
+@query("a20_checksum_fact")
+def _a20(lk: Lake) -> DataFrame:
+    return GV.checksum(lk.fact(with_customer=False), CHECKSUM_COLS)
+
+
+@query("h_seasonality")
+def _hs(lk: Lake) -> DataFrame:
+    days = lk.fact(with_customer=False).select("fecha").distinct()
+    return days.select("fecha", F.round(seasonality("fecha"), 9).alias("estacionalidad"))
