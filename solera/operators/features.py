@@ -112,7 +112,7 @@ def with_returns(tf: DataFrame, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame
     """Tick-to-tick return ``mid / previous mid - 1`` per pair (previous by time, then id)."""
     prev = asof_fill(tf.select("par_id", "t", "tick_id", "mid"), tf, "par_id", "t", ["mid"],
                      order_cols=["tick_id"], strict=True, bucket_s=bucket_s)
-    return prev.withColumn("ret", F.col("mid") / F.col("asof_mid") - 1).drop("asof_mid")
+    return prev.withColumn("ret", F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).drop("asof_mid")
 
 
 def rolling_volatility(ticks: DataFrame, seconds: int = VOLATILITY_WINDOW_S,
@@ -130,7 +130,7 @@ def trailing_return(ticks: DataFrame, seconds: int = RETURN_LAG_S, bucket_s: flo
     shifted = tf.select("par_id", (F.col("t") + seconds).alias("t"), "tick_id", "mid")
     res = asof_fill(shifted, tf, "par_id", "t", ["mid"], order_cols=["tick_id"], bucket_s=bucket_s)
     return res.select("tick_id", "par_id", "capturado_en", "mid", F.col("asof_mid").alias("mid_ref"),
-                      (F.col("mid") / F.col("asof_mid") - 1).alias("retorno"))
+                      (F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).alias("retorno"))
 
 
 def _local_ema(alpha: float):
@@ -189,7 +189,7 @@ def ema(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S)
 def ema_distance(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
     """Distance of the mid to its EMA-n: ``mid / ema - 1``."""
     e = ema(ticks, n, bucket_s)
-    return e.select("tick_id", "par_id", "mid", "ema", (F.col("mid") / F.col("ema") - 1).alias("distancia_ema"))
+    return e.select("tick_id", "par_id", "mid", "ema", (F.try_divide(F.col("mid"), F.col("ema")) - 1).alias("distancia_ema"))
 
 
 def market_features(ticks: DataFrame, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
@@ -199,7 +199,7 @@ def market_features(ticks: DataFrame, bucket_s: float = DEFAULT_BUCKET_S) -> Dat
     out = rolling(tf, "par_id", "t", 3600, {"n_1h": F.count(F.lit(1))}, bucket_s)
     out = rolling(out, "par_id", "t", 300, {"n_5m": F.count(F.lit(1))}, bucket_s)
     return out.select("tick_id", "par_id",
-                      ((F.col("precio_venta") - F.col("precio_compra")) / F.col("mid") * 10000).alias("spread_bps"),
+                      (F.try_divide(F.col("precio_venta") - F.col("precio_compra"), F.col("mid")) * 10000).alias("spread_bps"),
                       "n_5m", "n_1h",
                       (F.col("n_5m") / (F.col("n_1h") / 12.0)).alias("volumen_relativo"))
 
@@ -224,7 +224,7 @@ def portfolio_features(portfolios: DataFrame, ticks: DataFrame, rate_pair: int =
     tf = tick_frame(ticks).where(F.col("par_id") == rate_pair)
     rate = tf.agg(F.max_by("mid", F.struct("t", "tick_id"))).scalar()
     usd = F.col("saldo_usd")
-    cop_usd = F.col("saldo_cop") / rate
+    cop_usd = F.try_divide(F.col("saldo_cop"), rate)
     total = usd + cop_usd
     target = F.create_map(*[F.lit(x) for kv in PROFILE_USD_TARGET.items() for x in kv])[F.col("perfil_riesgo")]
     out = portfolios.select("cliente_id", "perfil_riesgo",

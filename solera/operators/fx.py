@@ -95,12 +95,12 @@ def pnl_change(portfolios: DataFrame, ticks: DataFrame, rate_pair: int = 0, days
     closes = t.groupBy("d").agg(F.max_by("mid", F.struct("t", "tick_id")).alias("close"))
     newest = closes.agg(F.max("d")).scalar()
     r_now = closes.agg(F.max_by("close", "d")).scalar()
-    now = F.col("saldo_usd") + F.col("saldo_cop") / r_now
+    now = F.col("saldo_usd") + F.try_divide(F.col("saldo_cop"), r_now)
     cols = [F.col("cliente_id"), F.round(now, 6).alias("valor")]
     for n in days:
         r_then = closes.where(F.col("d") <= F.date_sub(newest, n)).agg(F.max_by("close", "d")).scalar()
-        then = F.col("saldo_usd") + F.col("saldo_cop") / r_then
-        cols.append(F.round(now / then - 1, 9).alias(f"cambio_{n}d"))
+        then = F.col("saldo_usd") + F.try_divide(F.col("saldo_cop"), r_then)
+        cols.append(F.round(F.try_divide(now, then) - 1, 9).alias(f"cambio_{n}d"))
     return portfolios.select(*cols)
 
 
@@ -119,13 +119,13 @@ def eval_scores(scored: DataFrame, score: str = "score_confianza", label: str =
     sums = ranked.agg(F.sum(F.col("pos") * avg_rank).alias("rank_sum"), F.sum("pos").alias("n_pos"),
                       F.sum("c").alias("n"))
     n_pos, n = F.col("n_pos"), F.col("n")
-    auc = (F.col("rank_sum") - n_pos * (n_pos + 1) / 2.0) / (n_pos * (n - n_pos))
+    auc = F.try_divide(F.col("rank_sum") - n_pos * (n_pos + 1) / 2.0, (n_pos * (n - n_pos)).cast("double"))
     id_col = [c for c in scored.columns if c.endswith("_id")][0]
     top = test.orderBy(F.col(score).desc(), F.col(id_col)).limit(k)
     top_pos = top.agg(F.sum(y)).scalar()
     return sums.select(n.alias("n_test"), n_pos.alias("n_pos"), F.round(auc, 9).alias("auc"),
                        F.round(top_pos / F.lit(float(k)), 9).alias("precision_at_k"),
-                       F.round(top_pos / n_pos, 9).alias("recall_at_k"))
+                       F.round(F.try_divide(top_pos.cast("double"), n_pos.cast("double")), 9).alias("recall_at_k"))
 
 
 def slo_report(decisions: DataFrame, p99_slo_s: int = SLO_P99_SECONDS) -> DataFrame:
@@ -148,7 +148,7 @@ def unit_cost(total_cost: DataFrame, cost_col: str, notif: DataFrame) -> DataFra
     """Cost per notification sent = total cost / notifications."""
     return total_cost.agg(F.sum(cost_col).alias("costo_total")).select(
         "*", notif.agg(F.count(F.lit(1))).scalar().alias("notificaciones"),
-        (F.col("costo_total") / notif.agg(F.count(F.lit(1))).scalar()).alias("costo_unitario"))
+        F.try_divide(F.col("costo_total"), notif.agg(F.count(F.lit(1))).scalar()).alias("costo_unitario"))
 
 
 def attribute_conversions(clicks: DataFrame, txs: DataFrame, user: str, ts: str,
