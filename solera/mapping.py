@@ -69,6 +69,13 @@ class Lake:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def input_bytes(self, name: str) -> int:
+        """On-disk size of a driver table (file-system metadata, no data read)."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(path).getLength())
+
     # ---------------- energy star schema ----------------
     def dim_tipo_energia(self) -> DataFrame:
         types = self.raw("part").select("p_type").where(F.col("p_type").isNotNull()).distinct()

@@ -81,8 +81,10 @@ def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def _dup_groups(df: DataFrame, key: str) -> Column:
-    return df.groupBy(key).count().where(F.col("count") > 1).agg(F.count(F.lit(1))).scalar()
+def _dup_groups(df: DataFrame, key: str, check_id: int) -> DataFrame:
+    """Number of key values occurring more than once (NULLs form one group)."""
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(*_row(check_id, _count_if(F.col("_n") > 1)))
 
 
 def check_1(t: Tables) -> DataFrame:
@@ -94,20 +96,15 @@ def check_2(t: Tables) -> DataFrame:
 
 
 def check_3(t: Tables) -> DataFrame:
-    return _one(t, 3, _dup_groups(t.proveedor, "nombre"))
-
-
-def _one(t: Tables, check_id: int, value: Column) -> DataFrame:
-    """A one-row frame holding a scalar-subquery value (no cross join)."""
-    return t.tipo_energia.sparkSession.range(1).select(*_row(check_id, value))
+    return _dup_groups(t.proveedor, "nombre", 3)
 
 
 def check_4(t: Tables) -> DataFrame:
-    return _one(t, 4, _dup_groups(t.cliente, "id_externo"))
+    return _dup_groups(t.cliente, "id_externo", 4)
 
 
 def check_5(t: Tables) -> DataFrame:
-    return _one(t, 5, _dup_groups(t.transaccion, "transaccion_id"))
+    return _dup_groups(t.transaccion, "transaccion_id", 5)
 
 
 def check_6(t: Tables) -> DataFrame:
@@ -116,8 +113,8 @@ def check_6(t: Tables) -> DataFrame:
            .join(t.proveedor.select(F.col("proveedor_id")), "proveedor_id", "left_anti"))
     sell = (tx.where(F.col("tipo") == "venta")
             .join(t.cliente.select(F.col("cliente_id")), "cliente_id", "left_anti"))
-    n = buy.agg(F.count(F.lit(1))).scalar() + sell.agg(F.count(F.lit(1))).scalar()
-    return _one(t, 6, n)
+    orphans = buy.select(F.lit(1).alias("o")).unionByName(sell.select(F.lit(1).alias("o")))
+    return orphans.agg(*_row(6, F.count(F.lit(1))))
 
 
 def check_7(t: Tables) -> DataFrame:
@@ -243,6 +240,20 @@ def dq_gate(checks: DataFrame, block_on: tuple[str, ...] = ()) -> DataFrame:
     return checks
 
 
-def tables_from_lake(lk) -> Tables:
-    return Tables(proveedor=lk.dim_proveedor(), cliente=lk.dim_cliente(), transaccion=lk.fact(),
+MATERIALIZE_FACT_ABOVE_BYTES = 256 * 1024 * 1024
+
+
+def tables_from_lake(lk, materialize_fact: bool | str = False) -> Tables:
+    """Source tables from the canonical mapping.  With ``materialize_fact`` the fact (three
+    joins) is written once to the checkpoint folder so the checks scan it instead of each
+    re-running the joins (their column sets differ, so Spark cannot reuse the shuffles).
+    ``"auto"`` does so when the line items on disk exceed 256 MB -- below that, re-running
+    the joins is cheaper than a write and a re-read."""
+    fact = lk.fact()
+    if materialize_fact == "auto":
+        materialize_fact = lk.input_bytes("lineitem") > MATERIALIZE_FACT_ABOVE_BYTES
+    if materialize_fact:
+        from solera.session import materialize
+        fact = materialize(fact, "dq_fact")
+    return Tables(proveedor=lk.dim_proveedor(), cliente=lk.dim_cliente(), transaccion=fact,
                   tipo_energia=lk.dim_tipo_energia(), ciudad=lk.dim_ciudad())

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from solera.operators.features import asof_fill, DEFAULT_BUCKET_S
 from solera.functions.scalar import epoch_seconds
+from solera.session import ensure_checkpoint_dir
 
 # --- fixed values ---------------------------------------------------------------------------
 MIN_SCORE = 0.65
@@ -142,6 +143,7 @@ def decide(notif: DataFrame, portfolios: DataFrame, tz: str = DEFAULT_TZ, min_sc
 
     state = None      # per group: last sent order and the sent list
     picks = []
+    ensure_checkpoint_dir(notif.sparkSession)
     for _ in range(cap):
         cand = eligible
         if state is not None:
@@ -164,6 +166,9 @@ def decide(notif: DataFrame, portfolios: DataFrame, tz: str = DEFAULT_TZ, min_sc
                      .select(*group, F.coalesce("_nl", "_last").alias("_last"),
                              F.concat(F.coalesce("_acc", F.array().cast(f"array<{sent_t}>")),
                                       F.coalesce("_na", F.array().cast(f"array<{sent_t}>"))).alias("_acc")))
+        # cut the lineage after every pass: pass k would otherwise re-plan passes 1..k-1
+        # inside its own plan.  The state is one small row per (user, day).
+        state = state.checkpoint(eager=True)
     sent = picks[0]
     for p in picks[1:]:
         sent = sent.unionByName(p)

@@ -123,12 +123,12 @@ for _c in Q.CHECKS:
 
 @query("dq_run")
 def _dq_run(lk: Lake) -> DataFrame:
-    return Q.run_checks(Q.tables_from_lake(lk))
+    return Q.run_checks(Q.tables_from_lake(lk, materialize_fact="auto"))
 
 
 @query("dq_summary")
 def _dq_summary(lk: Lake) -> DataFrame:
-    return Q.dq_summary(Q.run_checks(Q.tables_from_lake(lk)))
+    return Q.dq_summary(Q.run_checks(Q.tables_from_lake(lk, materialize_fact="auto")))
 
 
 # ---------------------------------------------------------------- transforms, sources, listings

@@ -79,3 +79,19 @@ def cut_lineage(df):
     """Reliable checkpoint (written to the shared checkpoint folder, survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table under ``<checkpoint dir>/tables/`` and read it back.
+
+    Used where several jobs (or several branches of one plan) need the same expensive
+    intermediate -- e.g. the fact built from three joins that all fifteen quality checks read.
+    The written table cuts the lineage (an executor loss re-reads files instead of recomputing
+    the joins) and, unlike an RDD checkpoint, stays columnar so each reader prunes columns.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
