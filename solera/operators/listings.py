@@ -55,8 +55,10 @@ def latest_n(df: DataFrame, ts: str, n: int, tiebreak: str | None = None) -> Dat
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Repeatable "random" sample of ``n`` rows: order by a seeded hash of the id."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    """Repeatable "random" sample of ``n`` rows (``ORDER BY random() LIMIT n`` made
+    deterministic): order by SHA-256 of ``seed:id``, a top-k (``TakeOrderedAndProject``)."""
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
+    return df.orderBy(key, F.col(id_col)).limit(n)
 
 
 # ---------------------------------------------------------------- the listings themselves
