@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solera.functions.scalar import clamp, pair_label
+from solera.operators.transform import opt_filter
 
 # --- fixed values: caller clamps ----------------------------------------------------------------
 MAX_SUPPLIERS = 1000
@@ -106,9 +107,7 @@ def fx_ticks(ticks: DataFrame, pairs: DataFrame, label: str | None = None, hours
     df = df.withColumn("spread", F.col("precio_venta") - F.col("precio_compra"))
     ref = ticks.agg(F.max("capturado_en")).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     df = df.where(F.col("capturado_en") >= ref - F.make_interval(hours=F.lit(h)))
-    df = df.where(F.col("par_label").isNotNull())
-    if label is not None:
-        df = df.where(F.col("par_label") == F.lit(label))
+    df = opt_filter(df, "par_label", label)          # B4: label = COALESCE(:par, label)
     return df.select("tick_id", "par_id", "par_label", "precio_compra", "precio_venta", "spread", "fuente",
                      "capturado_en").orderBy(F.col("capturado_en").desc(), F.col("tick_id").desc()).limit(n)
 
