@@ -86,3 +86,25 @@ def test_governed_tables(spark):
     tags = spark.createDataFrame([("dim_cliente", "Internal", True), ("agg", "Public", False), ("raw", "Confidential", False),
                                   ("dim_tipo", "Internal", False)], "table string, sensitivity string, pii boolean")
     assert {r.table for r in B.governed_tables(tags).collect()} == {"agg", "dim_tipo"}
+
+
+def test_loaded_at_from_path_and_projection(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a")], "id string, nombre string")
+    S.write_snapshot(df, str(tmp_path), "t", "2024-02-03T04")
+    raw = spark.read.option("header", True).csv(str(tmp_path / "t" / "loaded_at=2024-02-03T04"))
+    assert S.with_loaded_at_from_path(raw).first().loaded_at == "2024-02-03T04"
+    p = B.project(raw, {"cliente_id": "CAST(id AS BIGINT)", "nombre_upper": "upper(nombre)"})
+    assert p.columns == ["cliente_id", "nombre_upper"] and p.first().nombre_upper == "A"
+
+
+def test_listing_helpers(spark):
+    from solera.operators import listings as L
+    from solera.operators import features as W
+    df = spark.createDataFrame([(1, None, 5), (2, "b", 7), (3, "a", 7), (4, "c", 1)], "id int, nombre string, v int")
+    assert [r.id for r in L.order_by(df, [("v", "desc"), ("nombre", "asc_nulls_last")]).collect()] == [3, 2, 1, 4]
+    assert [r.id for r in L.keyset_page(df, "id", after=2, limit=1).collect()] == [3]
+    assert [r.id for r in L.keyset_page(df, "id", after=3, limit=5, descending=True).collect()] == [2, 1]
+    assert [r.id for r in L.latest_n(df, "v", 2, tiebreak="id").collect()] == [3, 2]
+    assert [r.id for r in L.page(df, ["id"], limit=10, offset=1, cap=2).collect()] == [2, 3]
+    ranked = {r.id: r.rn for r in W.rank_latest(df, "v", "id").collect()}
+    assert ranked[3] == 1 and ranked[2] == 2
