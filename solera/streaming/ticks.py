@@ -99,20 +99,29 @@ def latest_by_key(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFram
             .select(key, *[F.col(f"_l.{c}").alias(c) for c in [ts, *cols]]))
 
 
-def upsert_micro_batch(target_path: str, key: str, ts: str):
+def upsert_micro_batch(target_path: str, key: str, ts: str, buckets: int = 64):
     """S3 sink for ``foreachBatch``: merge the batch's latest rows into a Parquet state table
-    (newer event time wins).  The merged table is checkpointed to the shared checkpoint folder
-    before it overwrites its own source."""
+    (newer event time wins).  The table is partitioned by ``pmod(hash(key), buckets)``; each
+    micro-batch reads and rewrites only the buckets its keys fall in (the current rows come
+    through a semi join on the bucket column, i.e. partition pruning, and the write uses
+    dynamic partition overwrite), so a batch costs O(touched buckets), not O(state).  The
+    merged rows are checkpointed before they overwrite their own source folders."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        b = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
         try:
             cur = spark.read.parquet(target_path)
         except Exception:  # noqa: BLE001 - first batch, no table yet
             cur = None
-        merged = batch if cur is None else cur.unionByName(batch)
-        cols = [c for c in merged.columns if c not in (key, ts)]
-        out = latest_by_key(merged, key, ts, cols).checkpoint(eager=True)
-        out.write.mode("overwrite").parquet(target_path)
+        if cur is None:
+            merged = b
+        else:
+            touched = b.select("_bucket").distinct()
+            merged = cur.join(touched, "_bucket", "left_semi").unionByName(b)
+        cols = [c for c in merged.columns if c not in (key, ts, "_bucket")]
+        out = latest_by_key(merged, key, ts, cols + ["_bucket"]).checkpoint(eager=True)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_bucket").parquet(target_path))
     return fn
 
 

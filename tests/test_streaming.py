@@ -101,7 +101,9 @@ def test_s3_latest_state_stream_equals_batch(spark, tick_files, tmp_path):
     q = (latest.writeStream.outputMode("update").foreachBatch(S.upsert_micro_batch(target, "par_id", "capturado_en"))
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = sorted(spark.read.parquet(target).select("par_id", "tick_id").collect())
+    state = spark.read.parquet(target)
+    assert state.groupBy("par_id").count().where("count > 1").count() == 0      # one row per key
+    got = sorted(state.select("par_id", "tick_id").collect())
     want = sorted(S.latest_by_key(batch, "par_id", "capturado_en", ["tick_id"]).select("par_id", "tick_id").collect())
     assert got == want
 
@@ -153,3 +155,19 @@ def test_a15_only_new_files(spark, tmp_path):
     assert spark.read.parquet(out).count() == 15
     assert q.lastProgress is None or q.lastProgress["numInputRows"] <= 5
     assert sch
+
+
+def test_s3_state_sink_rewrites_only_touched_buckets(spark, tmp_path):
+    target = str(tmp_path / "state")
+    sink = S.upsert_micro_batch(target, "k", "ts", buckets=8)
+    t0 = dt.datetime(2024, 1, 1)
+    sch = "k long, ts timestamp, v string"
+    sink(spark.createDataFrame([(i, t0, f"a{i}") for i in range(40)], sch), 0)
+    before = {d.name: sorted(p.name for p in d.iterdir()) for d in (tmp_path / "state").iterdir() if d.is_dir()}
+    # key 7 gets a newer value, key 8 an older one (must not win)
+    sink(spark.createDataFrame([(7, t0 + dt.timedelta(hours=1), "new"), (8, t0 - dt.timedelta(hours=1), "old")], sch), 1)
+    after = {d.name: sorted(p.name for p in d.iterdir()) for d in (tmp_path / "state").iterdir() if d.is_dir()}
+    changed = {b for b in before if before[b] != after.get(b)}
+    assert 1 <= len(changed) <= 2 < len(before)
+    state = {r.k: r.v for r in spark.read.parquet(target).collect()}
+    assert len(state) == 40 and state[7] == "new" and state[8] == "a8"
