@@ -17,9 +17,23 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings every query relies on, applied to whatever session the caller passes:
+    event times are UTC wall clock (``timestamp_ntz``), so the session zone must be UTC for
+    epoch arithmetic and day boundaries; a checkpoint folder must exist for the plans that
+    cut lineage."""
+    from solera.session import ensure_checkpoint_dir
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def query(name: str):
     def deco(fn: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(Lake(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            prepare(spark)
+            return _fn(Lake(spark, sf_dir))
+        QUERIES[name] = run
         return fn
     return deco
 
