@@ -261,3 +261,24 @@ def rank_latest(df: DataFrame, key, order_col: str) -> DataFrame:
     """``row_number() over (partition by key order by order_col desc)`` kept as a column."""
     w = Window.partitionBy(*_keys(key)).orderBy(F.col(order_col).desc())
     return df.withColumn("rn", F.row_number().over(w))
+
+
+# ---------------------------------------------------------------- S13 sessions
+def sessionize(events: DataFrame, user: str, ts: str, id_col: str, gap_s: int = 1800,
+               bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+    """Gap-based sessions per user (a new session starts when the previous event of the
+    user is more than ``gap_s`` seconds earlier).  Built from two bucketed as-of lookups
+    (previous event, then the latest session start at or before each event), so a user with a
+    third of all events is still split by time; then one aggregate per (user, session)."""
+    t = events.select(user, id_col, epoch_seconds(ts).alias("_t"))
+    prev = asof_fill(t.select(user, "_t", id_col, F.col("_t").alias("tp")), t, user, "_t", ["tp"],
+                     order_cols=[id_col], strict=True, bucket_s=bucket_s)
+    flagged = prev.withColumn("_start", F.col("asof_tp").isNull() | (F.col("_t") - F.col("asof_tp") > gap_s))
+    starts = flagged.where("_start").select(user, "_t", id_col, F.col("_t").alias("s"))
+    sess = asof_fill(starts, flagged.select(user, "_t", id_col), user, "_t", ["s"], order_cols=[id_col],
+                     bucket_s=bucket_s)
+    return (sess.groupBy(user, F.col("asof_s").alias("_s"))
+            .agg(F.count(F.lit(1)).alias("eventos"), F.max("_t").alias("_e"))
+            .select(user, F.timestamp_micros((F.col("_s") * 1e6).cast("long")).cast("timestamp_ntz").alias("inicio"),
+                    F.timestamp_micros((F.col("_e") * 1e6).cast("long")).cast("timestamp_ntz").alias("ultimo_evento"),
+                    "eventos"))

@@ -581,3 +581,8 @@ def _a20(lk: Lake) -> DataFrame:
 def _hs(lk: Lake) -> DataFrame:
     days = lk.fact(with_customer=False).select("fecha").distinct()
     return days.select("fecha", F.round(seasonality("fecha"), 9).alias("estacionalidad"))
+
+
+@query("s13_sessions")
+def _s13(lk: Lake) -> DataFrame:
+    return W.sessionize(lk.raw("events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 1800)

@@ -196,3 +196,14 @@ def ingest_new_files(spark: SparkSession, source_dir: str, schema: T.StructType,
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+# ---------------------------------------------------------------- S13 sessions (stream)
+def session_counts_stream(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes",
+                          watermark: str = WATERMARK) -> DataFrame:
+    """S13 on a stream: ``session_window`` per user with a watermark (append mode emits a
+    session once the watermark passes its end).  The batch twin is ``features.sessionize``."""
+    return (events.withWatermark(ts, watermark)
+            .groupBy(user, F.session_window(ts, gap).alias("s"))
+            .agg(F.count(F.lit(1)).alias("eventos"), F.max(ts).alias("ultimo_evento"))
+            .select(user, F.col("s.start").alias("inicio"), "ultimo_evento", "eventos"))

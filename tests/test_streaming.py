@@ -171,3 +171,18 @@ def test_s3_state_sink_rewrites_only_touched_buckets(spark, tmp_path):
     assert 1 <= len(changed) <= 2 < len(before)
     state = {r.k: r.v for r in spark.read.parquet(target).collect()}
     assert len(state) == 40 and state[7] == "new" and state[8] == "a8"
+
+
+def test_s13_sessions_stream_equals_batch(spark, tmp_path):
+    from solera.operators import features as W
+    ev = S.as_event_time(Lake(spark, SF001).raw("events"), "ts").select("event_id", "user_id", "ts")
+    src = tmp_path / "ev"
+    ev.coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema(ev.schema).parquet(str(src))
+    _run_to_memory(S.session_counts_stream(stream, "user_id", "ts", "30 minutes"), "s13")
+    got = {(r.user_id, r.inicio.replace(tzinfo=None)): r.eventos for r in spark.table("s13").collect()}
+    want = {(r.user_id, r.inicio): r.eventos for r in W.sessionize(ev, "user_id", "ts", "event_id", 1800).collect()}
+    assert got and all(want.get(k) == v for k, v in got.items())     # every emitted (closed) session agrees
+    hi = ev.agg(F.max("ts")).first()[0].replace(tzinfo=None)
+    closed = {k for k in want if k[1] < hi - dt.timedelta(hours=2)}
+    assert closed <= set(got)
