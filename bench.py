@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from solera.plans import etl  # noqa: E402
 from solera.plans.registry import QUERIES  # noqa: E402
-from solera.session import build_session  # noqa: E402
+from solera.session import build_session, recommended_conf  # noqa: E402
 
 HEADLINE = [
     "q1_monthly_sales", "q2_top_customers", "q3_margin", "g1_agg_monthly", "g10_kpis",
@@ -34,8 +34,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+    input_bytes = sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(sf_dir) for f in fs)
+    conf = recommended_conf(input_bytes, int(cpus))
+    conf["spark.driver.memory"] = os.environ.get("BENCH_DRIVER_MEM", "16g")
+    spark = build_session(master=f"local[{cpus}]", extra=conf)
     names = HEADLINE + [n for n in OPTIONAL if n in QUERIES]
     # warm-up: JVM class loading and the parquet footers
     QUERIES["q1_monthly_sales"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -108,3 +108,12 @@ def test_listing_helpers(spark):
     assert [r.id for r in L.page(df, ["id"], limit=10, offset=1, cap=2).collect()] == [2, 3]
     ranked = {r.id: r.rn for r in W.rank_latest(df, "v", "id").collect()}
     assert ranked[3] == 1 and ranked[2] == 2
+
+
+def test_recommended_conf_scales_with_input():
+    from solera.session import recommended_conf
+    small = recommended_conf(40 * 1024 ** 2, 8)
+    big = recommended_conf(100 * 1024 ** 4, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert big["spark.sql.shuffle.partitions"] == "50000"
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
