@@ -17,17 +17,44 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def exact_ratio(num, den, scale: int) -> Column:
+    """``num / den`` for integral ``num`` and ``den`` (any sign of ``num``, ``den`` > 0), rounded
+    to ``scale`` decimals with ties toward +infinity, computed exactly on decimal(38,0)
+    integers -- ``floor((2 * num * 10^scale + den) / (2 * den))`` -- and returned as the
+    nearest double.  No floating-point sum or division precedes the rounding, so the result
+    does not depend on summation order or engine.  NULL when ``den`` is 0 or NULL."""
+    n = col_(num).cast("decimal(38,0)")
+    d = col_(den).cast("decimal(38,0)")
+    a = n * F.lit(2 * 10 ** scale).cast("decimal(38,0)") + d
+    b = d * F.lit(2).cast("decimal(38,0)")
+    q = ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")          # exact floor division
+    return F.when(d > 0, (q / F.lit(10 ** scale).cast("decimal(38,0)")).cast("double"))
+
+
+def scaled_int(c, in_scale: int) -> Column:
+    """A value with at most ``in_scale`` decimals as the exact integer ``value * 10^in_scale``."""
+    return (col_(c).cast(f"decimal(38,{in_scale})") * F.lit(10 ** in_scale)).cast("decimal(38,0)")
+
+
+def exact_avg(c, in_scale: int, out_scale: int = 6, window=None) -> Column:
+    """Mean of a column whose values have at most ``in_scale`` decimals, rounded exactly to
+    ``out_scale`` decimals (see ``exact_ratio``); NULLs ignored like ``avg``.  With ``window``
+    it is the windowed mean over that frame."""
+    total, n = F.sum(scaled_int(c, in_scale)), F.count(col_(c))
+    if window is not None:
+        total, n = total.over(window), n.over(window)
+    return exact_ratio(total, n * F.lit(10 ** in_scale), out_scale)
+
+
 def rate_pct(num, den, scale: int = 2) -> Column:
-    """``num * 100 / den`` rounded HALF_UP to ``scale`` decimals; 0 when the denominator is 0/NULL."""
-    num, den = col_(num), col_(den)
-    return (F.when(den > 0, F.round(num.cast("double") * 100.0 / den.cast("double"), scale))
-            .otherwise(F.lit(0.0)))
+    """``num * 100 / den`` (integral counts) rounded to ``scale`` decimals, exactly; 0 when the
+    denominator is 0 or NULL."""
+    return F.coalesce(exact_ratio(col_(num) * 100, col_(den), scale), F.lit(0.0))
 
 
 def pct_of(num, den, scale: int = 2) -> Column:
     """Share in percent without the zero default (NULL when the denominator is 0)."""
-    num, den = col_(num), col_(den)
-    return F.round(num.cast("double") * 100.0 / F.nullif(den.cast("double"), F.lit(0.0)), scale)
+    return exact_ratio(col_(num) * 100, col_(den), scale)
 
 
 def seasonality(date_col) -> Column:

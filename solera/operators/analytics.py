@@ -3,7 +3,8 @@
 Conventions shared with the SQL twins (``solera.plans.oracle``):
 
 * quantity sums are ``decimal(38,3)``, amount sums ``decimal(38,5)`` -- exact, no float drift;
-* averages of prices are computed in double and rounded to 6 decimals;
+* averages (and rates) are exact: integer sums of the scaled values divided with one
+  rounding to 6 decimals (``exact_avg``), returned as double -- no float summation order;
 * every computed column carries an explicit alias.
 
 Scale: each report aggregates the fact *before* it meets a dimension that can grow with the
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solera.functions.scalar import rate_pct
+from solera.functions.scalar import exact_avg, exact_ratio, rate_pct, scaled_int
 
 QTY = "decimal(38,3)"
 AMT = "decimal(38,5)"
@@ -32,8 +33,8 @@ def sum_amt(c: str = "monto_usd") -> Column:
 
 
 def avg_price(c: Column | str = "precio_usd") -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(F.avg(c.cast("double")), 6)
+    """Exact mean of a 2-decimal price, 6 decimals."""
+    return exact_avg(c, 2, 6)
 
 
 def _types(dim_tipo: DataFrame, alias: str = "tipo_energia") -> DataFrame:
@@ -99,14 +100,14 @@ def q3_margin(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
     """Average price per side per energy type and the sale-minus-purchase margin,
     ``DESC NULLS LAST``.  One aggregation with conditional averages (same values as the
     reference's two-level aggregate + conditional MAX pivot, one shuffle fewer)."""
-    buy = F.when(F.col("tipo") == "compra", F.col("precio_usd").cast("double"))
-    sell = F.when(F.col("tipo") == "venta", F.col("precio_usd").cast("double"))
+    buy = F.when(F.col("tipo") == "compra", F.col("precio_usd"))
+    sell = F.when(F.col("tipo") == "venta", F.col("precio_usd"))
     agg = (fact.join(_types(dim_tipo), "tipo_energia_id")
            .groupBy("tipo_energia")
-           .agg(F.avg(buy).alias("_c"), F.avg(sell).alias("_v")))
+           .agg(avg_price(buy).alias("_c"), avg_price(sell).alias("_v")))
     return (agg.select("tipo_energia",
-                       F.round("_c", 6).alias("precio_compra_avg"),
-                       F.round("_v", 6).alias("precio_venta_avg"),
+                       F.col("_c").alias("precio_compra_avg"),
+                       F.col("_v").alias("precio_venta_avg"),
                        F.round(F.col("_v") - F.col("_c"), 6).alias("margen_absoluto"))
             .orderBy(F.desc_nulls_last("margen_absoluto"), "tipo_energia"))
 
@@ -114,12 +115,12 @@ def q3_margin(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
 def margin_pivot(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
     """G9 view form of the margin with ``groupBy().pivot()`` over the fixed side values."""
     p = (fact.join(_types(dim_tipo), "tipo_energia_id")
-         .withColumn("precio", F.col("precio_usd").cast("double"))
-         .groupBy("tipo_energia").pivot("tipo", ["compra", "venta"]).avg("precio"))
-    return p.select("tipo_energia",
-                    F.round("compra", 6).alias("precio_compra_avg"),
-                    F.round("venta", 6).alias("precio_venta_avg"),
-                    F.round(F.col("venta") - F.col("compra"), 6).alias("margen_absoluto"))
+         .groupBy("tipo_energia").pivot("tipo", ["compra", "venta"])
+         .agg(F.sum(scaled_int("precio_usd", 2)).alias("s"), F.count("precio_usd").alias("n")))
+    c = exact_ratio(F.col("compra_s"), F.col("compra_n") * 100, 6)
+    v = exact_ratio(F.col("venta_s"), F.col("venta_n") * 100, 6)
+    return p.select("tipo_energia", c.alias("precio_compra_avg"), v.alias("precio_venta_avg"),
+                    F.round(v - c, 6).alias("margen_absoluto"))
 
 
 # ---------------------------------------------------------------- aggregate tables / views
@@ -264,7 +265,7 @@ def fx_dashboard(pairs: DataFrame, ticks: DataFrame, portfolios: DataFrame, noti
         F.count(F.lit(1)).alias("notificaciones_total"),
         F.count_if(F.col("leida")).alias("notificaciones_leidas"),
         F.count_if(F.col("convertida")).alias("notificaciones_convertidas"),
-        F.round(F.avg("score_confianza"), 4).alias("score_promedio"))
+        exact_avg("score_confianza", 2, 4).alias("score_promedio"))
     return row.select("*",
                       F.lit(active_model).cast("string").alias("modelo_activo"),
                       rate_pct("notificaciones_leidas", "notificaciones_total").alias("ctr_pct"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solera.functions.scalar import epoch_seconds, rate_pct
+from solera.functions.scalar import epoch_seconds, exact_ratio, rate_pct
 from solera.operators.features import asof_fill
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -73,14 +73,18 @@ def ab_uplift(notif: DataFrame, arm_col: str = "brazo", ts: str = "enviada_en")
     """Hourly conversion per arm (A control, B treatment), uplift = B/A - 1 and the
     rollback flag when the uplift stays below -15 % for 24 consecutive hourly points.
     The window runs over one row per hour (bounded by the time span)."""
+    conv = F.coalesce(F.col("convertida"), F.lit(False))
     hourly = (notif.groupBy(F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hora"))
-              .agg(*[F.avg(F.when(F.col(arm_col) == a, F.col("convertida").cast("double"))).alias(f"conv_{a}")
-                     for a in ("A", "B")]))
-    up = hourly.withColumn("uplift", F.col("conv_B") / F.nullif(F.col("conv_A"), F.lit(0.0)) - 1)
+              .agg(*[c for a in ("A", "B") for c in (
+                  F.count_if((F.col(arm_col) == a) & conv).alias(f"c_{a}"),
+                  F.count_if(F.col(arm_col) == a).alias(f"n_{a}"))]))
+    # exact ratios: conversion = c/n per arm, uplift = (c_B n_A) / (n_B c_A) - 1
+    up = hourly.select("hora", exact_ratio("c_A", "n_A", 9).alias("conv_A"), exact_ratio("c_B", "n_B", 9).alias("conv_B"),
+                       exact_ratio(F.col("c_B") * F.col("n_A") - F.col("n_B") * F.col("c_A"),
+                                   F.col("n_B") * F.col("c_A"), 9).alias("uplift"))
     hour_idx = (F.unix_micros(F.col("hora").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     w = Window.orderBy(hour_idx).rangeBetween(-(UPLIFT_WINDOW_HOURS - 1), 0)
-    return up.select("hora", F.round("conv_A", 9).alias("conv_A"), F.round("conv_B", 9).alias("conv_B"),
-                     F.round("uplift", 9).alias("uplift"),
+    return up.select("hora", "conv_A", "conv_B", "uplift",
                      ((F.count("uplift").over(w) == UPLIFT_WINDOW_HOURS)
                       & (F.max("uplift").over(w) < UPLIFT_ROLLBACK)).alias("rollback"))
 
@@ -115,17 +119,17 @@ def eval_scores(scored: DataFrame, score: str = "score_confianza", label: str =
     hist = test.groupBy(score).agg(F.count(F.lit(1)).alias("c"), F.sum(y).alias("pos"))
     w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = hist.select("*", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
-    avg_rank = F.col("before") + (F.col("c") + 1) / 2.0
-    sums = ranked.agg(F.sum(F.col("pos") * avg_rank).alias("rank_sum"), F.sum("pos").alias("n_pos"),
+    two_avg_rank = 2 * F.col("before") + F.col("c") + 1          # twice the average rank of a tie group
+    sums = ranked.agg(F.sum(F.col("pos") * two_avg_rank).alias("rank_sum2"), F.sum("pos").alias("n_pos"),
                       F.sum("c").alias("n"))
     n_pos, n = F.col("n_pos"), F.col("n")
-    auc = F.try_divide(F.col("rank_sum") - n_pos * (n_pos + 1) / 2.0, (n_pos * (n - n_pos)).cast("double"))
+    auc = exact_ratio(F.col("rank_sum2") - n_pos * (n_pos + 1), 2 * n_pos * (n - n_pos), 9)
     id_col = [c for c in scored.columns if c.endswith("_id")][0]
     top = test.orderBy(F.col(score).desc(), F.col(id_col)).limit(k)
     top_pos = top.agg(F.sum(y)).scalar()
-    return sums.select(n.alias("n_test"), n_pos.alias("n_pos"), F.round(auc, 9).alias("auc"),
-                       F.round(top_pos / F.lit(float(k)), 9).alias("precision_at_k"),
-                       F.round(F.try_divide(top_pos.cast("double"), n_pos.cast("double")), 9).alias("recall_at_k"))
+    return sums.select(n.alias("n_test"), n_pos.alias("n_pos"), auc.alias("auc"),
+                       exact_ratio(top_pos, F.lit(k), 9).alias("precision_at_k"),
+                       exact_ratio(top_pos, n_pos, 9).alias("recall_at_k"))
 
 
 def slo_report(decisions: DataFrame, p99_slo_s: int = SLO_P99_SECONDS) -> DataFrame:

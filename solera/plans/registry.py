@@ -373,13 +373,15 @@ def _w8(lk: Lake) -> DataFrame:
 def _w9(lk: Lake) -> DataFrame:
     purchases = lk.raw("events").where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
     u = W.user_features(purchases, "user_id", "ts", "value", days=30)
-    return u.select("event_id", "user_id", "frecuencia_tx", _r9("ticket_promedio"))
+    return u.select("event_id", "user_id", "frecuencia_tx", F.round("ticket_promedio", 6).alias("ticket_promedio"))
 
 
 @query("w10_multi_window")
 def _w10(lk: Lake) -> DataFrame:
     m = W.multi_window(lk.ticks())
-    return m.select("tick_id", "par_id", *[c if c.startswith("n_") else _r9(c) for c in m.columns if c not in ("tick_id", "par_id")])
+    # window means of short decimals can sit exactly on a rounding boundary: 6 decimals
+    return m.select("tick_id", "par_id", *[c if c.startswith("n_") else F.round(c, 6).alias(c)
+                                           for c in m.columns if c not in ("tick_id", "par_id")])
 
 
 @query("c9_enrich_asof")
@@ -494,7 +496,8 @@ from solera.streaming import ticks as ST  # noqa: E402
 
 
 def _r9w(df: DataFrame) -> DataFrame:
-    return df.select("inicio", "fin", "par_id", "ticks", _r9("mid_medio"), _r9("mid_min"), _r9("mid_max"))
+    return df.select("inicio", "fin", "par_id", "ticks", F.round("mid_medio", 6).alias("mid_medio"),
+                     _r9("mid_min"), _r9("mid_max"))
 
 
 @query("s2_window_tumbling_5m")
