@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solera.llm import line_dedup, mixing, packing, simhash, toxicity
+from solera.llm import language, line_dedup, mixing, packing, pii, quality, sharding, simhash, sketch, toxicity
 from solera.llm.common import table
 
 
@@ -14,10 +14,26 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    out = language.labelled(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_switches")
+
+
+def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.scored(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -29,12 +45,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op4_line_winnowing, op6_pu_toxicity, op7_best_fit_packing, op10_simhash_near_dedup)}
+    op1_pareto_mix, op2_crf_language, op3_ngram_quality, op4_line_winnowing, op5_label_propagation, op6_pu_toxicity,
+    op7_best_fit_packing, op8_scaled_sketch, op9_feistel_pii, op10_simhash_near_dedup)}
 
 SQL = {
     "op1_pareto_mix": mixing.SQL,

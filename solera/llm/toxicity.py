@@ -8,10 +8,11 @@ With the class prior pi, the risk of a classifier g is
 The second part estimates the loss on clean documents from unlabelled ones by taking out the
 toxic share; where it falls below zero the classifier fits noise, and the step goes up that
 part instead of down the whole (the non-negative correction).  The classifier is logistic over
-the words that a document has, trained in numpy.
+the words and the word beginnings (four and five letters) that a document has, trained in numpy;
+the model is the mean of the later half of the steps.
 
 The sample that it is trained on is bounded: ``POSITIVES`` and ``UNLABELLED`` documents, the
-first in the order of a hash of the id, whole texts.  Words enter the model if the positives
+first in the order of a hash of the id, whole texts.  Words and beginnings enter the model if the positives
 hold them more often than the unlabelled by the G test (``G_LEAST``), at most ``WORDS`` of them.
 The prior is the toxic share of the labelled documents that may be learnt from, or a parameter.
 
@@ -46,7 +47,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str) -> set[str]:
-    return set(_LETTERS.findall(text.lower()))
+    words = set(_LETTERS.findall(text.lower()))
+    return words | {w[:5] + "*" for w in words} | {w[:4] + "*" for w in words}
 
 
 class Model:
@@ -88,7 +90,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 4
     rows, cols, n = np.array(rows, np.int64), np.array(cols, np.int64), len(p) + len(u)
     is_p = np.arange(n) < len(p)
     w, b = np.zeros(len(best)), -2.0
-    m1, m2 = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    m1, m2, late = np.zeros(len(best) + 1), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(rows, w[cols], n) if len(rows) else np.full(n, b)
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -103,7 +105,9 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 4
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model({x: float(v) for x, v in zip(best, w)}, float(b))
+        late += np.append(w, b) * (step > steps // 2)
+    late /= steps - steps // 2
+    return Model({x: float(v) for x, v in zip(best, late)}, float(late[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
