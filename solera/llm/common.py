@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,14 @@ def text_batches(spark: SparkSession) -> None:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null ids count as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]):
+    """``fit`` of a bounded sample's rows, run in one task, so that the driver holds but the model."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if rows:
+            yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(rows, ignore_index=True)))]})
+
+    found = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(pd.DataFrame(columns=sample.columns))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solera.llm.common import crc_mod, text_batches, text_of
+from solera.llm.common import crc_mod, fitted, text_batches, text_of
 
 FOLDS, HELD_OUT = 5, 0
 DOCS_PER_LANG = 300
@@ -237,8 +237,7 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, chars: int = TRAIN_CHA
     ids = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     sample = usable.join(ids, usable["doc_id"].eqNullSafe(ids["__id"]) & (usable["lang"] == ids["__lang"]), "left_semi")
-    sample = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").distinct().collect())
-    return fit(sample, **kw)
+    return fitted(sample.select("lang", "text").distinct(), lambda pdf: fit(sorted(zip(pdf["lang"], pdf["text"])), **kw))
 
 
 def labelled(docs: DataFrame, model: Crf) -> DataFrame:

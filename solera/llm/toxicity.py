@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solera.llm.common import crc_mod, text_batches, text_of
+from solera.llm.common import crc_mod, fitted, text_batches, text_of
 
 POSITIVES = 1500
 UNLABELLED = 4500
@@ -76,19 +76,18 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 4
     """Train on texts.  Gradient descent (Adam) on the non-negative risk with logistic loss."""
     if not positive or not unlabelled:
         return Model({}, None)
-    p, u = [words_in(t) for t in positive], [words_in(t) for t in unlabelled]
-    in_p, in_u = Counter(w for d in p for w in d), Counter(w for d in u for w in d)
-    seen = sorted(w for w, k in in_p.items() if k > 1)
-    g = _g_test(np.array([in_p[w] for w in seen], float), len(p), np.array([in_u[w] for w in seen], float), len(u))
+    in_p, in_u = Counter(w for t in positive for w in words_in(t)), Counter()
+    in_p = {w: k for w, k in in_p.items() if k > 1}
+    for t in unlabelled:
+        in_u.update(w for w in words_in(t) if w in in_p)
+    seen = sorted(in_p)
+    g = _g_test(np.array([in_p[w] for w in seen], float), len(positive), np.array([in_u[w] for w in seen], float), len(unlabelled))
     best = [seen[k] for k in sorted(np.flatnonzero(g >= G_LEAST), key=lambda k: (-g[k], seen[k]))[:WORDS]]
     at = {w: k for k, w in enumerate(best)}
-    rows, cols = [], []
-    for r, d in enumerate(p + u):
-        own = [at[w] for w in d if w in at]
-        cols += own
-        rows += [r] * len(own)
-    rows, cols, n = np.array(rows, np.int64), np.array(cols, np.int64), len(p) + len(u)
-    is_p = np.arange(n) < len(p)
+    own = [np.array(sorted(at[w] for w in words_in(t) if w in at), np.int64) for t in [*positive, *unlabelled]]
+    n = len(own)
+    rows, cols = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
+    is_p = np.arange(n) < len(positive)
     w, b = np.zeros(len(best)), -2.0
     m1, m2, late = np.zeros(len(best) + 1), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for step in range(1, steps + 1):
@@ -96,7 +95,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 4
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         # mean logistic losses: of positives as positive / negative, of unlabelled as negative
         loss_pn, loss_un = np.logaddexp(0, z[is_p]).mean(), np.logaddexp(0, z[~is_p]).mean()
-        d_pp, d_pn, d_un = np.where(is_p, (s - 1) / len(p), 0), np.where(is_p, s / len(p), 0), np.where(is_p, 0, s / len(u))
+        d_pp, d_pn, d_un = np.where(is_p, (s - 1) / len(positive), 0), np.where(is_p, s / len(positive), 0), np.where(is_p, 0, s / len(unlabelled))
         if loss_un - prior * loss_pn >= 0:
             d = prior * d_pp + d_un - prior * d_pn
         else:
@@ -127,8 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     ids = (known.filter("toxic").orderBy(*order).limit(positives)
            .unionByName(known.filter("not toxic").orderBy(*order).limit(unlabelled)).select("doc_id", "toxic"))
     text = docs.select("doc_id", text_of(F.col("text")).alias("text"))
-    sample = text.join(ids, "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates()
-    return fit(sample.loc[sample["toxic"], "text"].tolist(), sample.loc[~sample["toxic"], "text"].tolist(), min(max(prior, 1e-4), 0.9))
+    prior = min(max(prior, 1e-4), 0.9)
+
+    def run(sample):
+        sample = sample.sort_values(["doc_id", "text"]).drop_duplicates()
+        toxic = sample["toxic"].astype(bool)
+        return fit(sample.loc[toxic, "text"].tolist(), sample.loc[~toxic, "text"].tolist(), prior)
+
+    return fitted(text.join(ids, "doc_id"), run)
 
 
 def score_column(spark, text: Column, model: Model) -> Column:
