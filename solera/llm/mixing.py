@@ -39,7 +39,7 @@ MOST = 2
 PASSES = 3
 SEED = "mix"
 #: Expected rows of a chunk of a source's ranking.
-CHUNK = 20000
+CHUNK = 2000
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
