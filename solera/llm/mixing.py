@@ -7,7 +7,7 @@ for all; sorted by size / weight, the level is the largest of (budget left) / (w
 over the prefixes of capped sources, so no loop is needed.
 
 *Inclusion.*  Within a source a document's expected copies are its own weight times a level,
-``most`` at the most (found the same way): weight 24 less the bit length of its size (16 at the
+``most`` at the most (found the same way): weight 64 less the bit length of its size (16 at the
 most), so that short documents, which place the total finely, are a little more likely than the
 few very long ones.  The whole part is taken for certain, the rest is the inclusion probability
 p of the Pareto sample.
@@ -15,7 +15,8 @@ p of the Pareto sample.
 *Order.*  A document's rank is odds(u) / odds(p), u uniform from a hash of the id: the sample
 is the front of the ranking, and its size is fixed in words: as many as the certain copies
 leave of the target.  The front ends at the last document that fits; two more passes over the
-rest of the ranking fill what gap is left with the next documents that fit into it.
+rest of the ranking fill what gap is left with the next documents that fit into it, and one
+document more is drawn where that ends nearer to the target.
 
 A source may hold any share of the rows: ranks are cut into chunks of about ``CHUNK`` rows by
 value, running sums go over the chunk totals of a source, and then within each chunk.
@@ -65,8 +66,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def _band(size: Column) -> Column:
-    """The document's own weight: 24 less the bit length of its size, 16 at the most."""
-    return F.lit(24).cast("long") - F.least(F.length(F.bin(size)), F.lit(16))
+    """The document's own weight: 64 less the bit length of its size, 16 at the most."""
+    return F.lit(64).cast("long") - F.least(F.length(F.bin(size)), F.lit(16))
 
 
 def _levels(sized: DataFrame, most: int) -> DataFrame:
@@ -108,6 +109,19 @@ def _pass(rows: DataFrame) -> DataFrame:
             .drop("gap", "fits", "adds", "before", "total"))
 
 
+def _nearest(rows: DataFrame) -> DataFrame:
+    """Draw one document more in each source whose total ends nearer to the target with it."""
+    used = F.sum(F.col("size") * (F.col("certain") + F.col("drawn").cast("long")))
+    gap = rows.groupBy("sid").agg((F.first("target") - used).alias("gap"))
+    rows = rows.join(gap, "sid").withColumn("off", F.abs(F.col("size") - F.col("gap")))
+    open_ = F.col("rank").isNotNull() & ~F.col("drawn") & (F.col("off") < F.col("gap"))
+    best = rows.filter(open_).groupBy("sid").agg(F.min(F.struct("off", "rank", "doc_id", "size")).alias("best"))
+    same = Window.partitionBy("sid", "chunk", "doc_id", "size").orderBy("rank")  # one of equal rows
+    is_best = open_ & (F.struct("off", "rank", "doc_id", "size") == F.col("best"))
+    rows = rows.join(best, "sid", "left").withColumn("nth", F.row_number().over(same))
+    return rows.withColumn("drawn", F.col("drawn") | F.coalesce(is_best & (F.col("nth") == 1), F.lit(False))).drop("gap", "off", "best", "nth")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, passes: int = PASSES, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text): doc_id, source, size, source_size,
     target, certain (whole copies), p (inclusion probability), copies, taken (words)."""
@@ -129,6 +143,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
                                F.lit(False).alias("drawn")), "mix-ranked")
     for _ in range(passes):
         rows = written(_pass(rows), "mix-drawn")
+    rows = _nearest(rows)
     copies = F.col("certain") + F.col("drawn").cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", "certain", "p", copies.alias("copies"),
                        (F.col("size") * copies).alias("taken"))
@@ -160,7 +175,7 @@ lev AS (
     / (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM src),
 goal AS (SELECT source, source_size, least({MOST}::DOUBLE * source_size::DOUBLE, (max(level) OVER ()) * weight::DOUBLE) AS target FROM lev),
 own AS (
-  SELECT s.*, g.source_size, g.target, 24 - least(length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END), 16) AS own
+  SELECT s.*, g.source_size, g.target, 64 - least(length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END), 16) AS own
   FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 band AS (SELECT source, target, own, sum(size)::BIGINT AS b FROM own WHERE size > 0 GROUP BY source, target, own),
 blev AS (
@@ -183,8 +198,15 @@ f{k} AS (
 r{k + 1} AS (
   SELECT * EXCLUDE (gap, fits, drawn, total), drawn OR (fits AND total::DOUBLE <= gap) AS drawn FROM (
     SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS total FROM f{k}))"""
-    return out + f"""
-SELECT doc_id, source, size, source_size, target, certain + drawn::BIGINT AS copies, size * (certain + drawn::BIGINT) AS taken FROM r{PASSES}"""
+    return out + f""",
+near AS (SELECT source, any_value(target) - sum(size * (certain + drawn::BIGINT))::DOUBLE AS gap FROM r{PASSES} GROUP BY source),
+one AS (
+  SELECT doc_id FROM (
+    SELECT doc_id, row_number() OVER (PARTITION BY r.source ORDER BY abs(size::DOUBLE - gap), rank, doc_id, size) AS nth
+    FROM r{PASSES} r JOIN near n ON r.source IS NOT DISTINCT FROM n.source
+    WHERE rank IS NOT NULL AND NOT drawn AND abs(size::DOUBLE - gap) < gap) WHERE nth = 1),
+final AS (SELECT * EXCLUDE (drawn), drawn OR doc_id IN (SELECT doc_id FROM one) AS drawn FROM r{PASSES})
+SELECT doc_id, source, size, source_size, target, certain + drawn::BIGINT AS copies, size * (certain + drawn::BIGINT) AS taken FROM final"""
 
 
 SQL = _sql()

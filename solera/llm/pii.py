@@ -2,11 +2,11 @@
 
 Validated values are found in whole texts and permuted, under a key, within their own format:
 
-* payment cards: 13 to 19 digits, spaced or not, with a right Luhn digit; the digits before it
+* payment cards: 13 to 19 digits, also as 4-4-4-4 or 4-6-5 with spaces or hyphens, with a right Luhn digit; the digits before it
   are permuted, the Luhn digit is made anew;
 * IBANs with right check digits: letters stay letters, digits digits, the check digits are made anew;
 * social security numbers (3-2-4) with an assignable area, group and serial;
-* North American phone numbers whose area and exchange start with 2 to 9;
+* North American phone numbers (3-3-4, the area in parentheses or not, with or without +1);
 * IPv4 addresses;
 * dates (year-month-day, and day and month in either order with a four-digit year, joined by
   ``-``, ``/`` or ``.``) that are in the calendar between 1900 and 2099, as days of that span;
@@ -52,8 +52,8 @@ _FIND = re.compile(r"""
 | (?<![0-9.\-/])(?P<date>(?:(?:19|20)[0-9]{2}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)(?:19|20)[0-9]{2}))(?![0-9\-/]|\.[0-9])
 | (?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
 | (?<![0-9\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9\-])
-| (?<![0-9])(?P<phone>(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4})(?![0-9])
-| (?<![0-9])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9])
+| (?<![0-9])(?P<phone>(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?![0-9])
+| (?<![0-9])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<s3>[ \-])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{4}|[0-9]{4}(?P<s4>[ \-])[0-9]{6}(?P=s4)[0-9]{5})(?![0-9])
 """, re.X)
 _MAYBE = re.compile("[0-9@]")
 
@@ -169,7 +169,7 @@ def pseudonym(kind: str, text: str, make: Callable[[str, int], Feistel]) -> str
         return _refill(text, _permuted(bare, make, kind, _ssn_ok)) if _ssn_ok(bare) else None
     if kind == "phone":
         head, local = bare[:-10], bare[-10:]
-        return _refill(text, head + _permuted(local, make, kind, lambda d: d[0] in "23456789" and d[3] in "23456789"))
+        return _refill(text, head + _permuted(local, make, kind))
     if kind == "ip":
         parts = [int(x) for x in text.split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):

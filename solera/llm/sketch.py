@@ -57,20 +57,23 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+#: A document's key, without nulls, so that every join and window on it shares one partitioning.
+KEY = ["has_id", "id", "text_hash"]
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """(id, hash, prev_id, prev_hash, prev_chars) of every distinct document: the one before it
-    in ascending (doc_id, text hash), around the end."""
-    ids = docs.select("doc_id", "text_hash", F.length("text").alias("chars")).distinct()
+    """KEY, prev (the key of the document before it in ascending order, around the end) and
+    prev_chars of every distinct document."""
+    ids = docs.select(*KEY, F.length("text").alias("chars")).distinct()
     # range partitions, written with their numbers: each is ordered by itself, the ends meet
-    dealt = written(ids.repartitionByRange("doc_id", "text_hash").withColumn("chunk", F.spark_partition_id()), "sketch-ids")
-    place = F.struct("doc_id", "text_hash", "chars")
+    dealt = written(ids.repartitionByRange(*KEY).withColumn("chunk", F.spark_partition_id()), "sketch-ids")
+    place = F.struct(*KEY, "chars")
     ends = dealt.groupBy("chunk").agg(F.max(place).alias("last"))
     by_chunk = Window.orderBy("chunk")
     ends = ends.select("chunk", F.coalesce(F.lag("last").over(by_chunk), F.last("last").over(by_chunk.rowsBetween(0, Window.unboundedFollowing))).alias("wrap"))
-    inside = F.lag(place).over(Window.partitionBy("chunk").orderBy("doc_id", "text_hash"))
+    inside = F.lag(place).over(Window.partitionBy("chunk").orderBy(*KEY))
     prev = dealt.withColumn("prev", inside).join(ends, "chunk").withColumn("prev", F.coalesce("prev", "wrap"))
-    return prev.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
-                       F.col("prev.doc_id").alias("prev_id"), F.col("prev.text_hash").alias("prev_hash"), F.col("prev.chars").alias("prev_chars"))
+    return prev.select(*KEY, "prev")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -80,18 +83,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> D
 
     The texts are shuffled once, by document; from there each document sends the code points
     that the one before it needs, and its sketch."""
-    docs = docs.select("doc_id", text_of(F.col("text")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    near = _neighbours(docs)
-    own = docs.join(near, docs["doc_id"].eqNullSafe(near["__id"]) & (docs["text_hash"] == near["__hash"])).drop("__id", "__hash")
-    sent = own.dropDuplicates(["doc_id", "text_hash"])
-    sent = with_sketch(sent.withColumn("start", F.expr("left(text, int(prev_chars div 2))")), "text", "next_sketch", shingle, bits)
-    sent = sent.select(F.col("prev_id").alias("__id"), F.col("prev_hash").alias("__hash"), "start", "next_sketch")
-    d = own.select("doc_id", "text_hash", "text")
-    d = d.join(sent, d["doc_id"].eqNullSafe(sent["__id"]) & (d["text_hash"] == sent["__hash"])).drop("__id", "__hash")
-    d = d.withColumn("n_chars", F.length("text").cast("long"))
+    docs = (docs.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"),
+                        text_of(F.col("text")).alias("text")).withColumn("text_hash", F.xxhash64("text")))
+    own = docs.join(_neighbours(docs), KEY)
+    sent = own.dropDuplicates(KEY)
+    sent = with_sketch(sent.withColumn("start", F.expr("left(text, int(prev.chars div 2))")), "text", "next_sketch", shingle, bits)
+    sent = sent.select(*[F.col(f"prev.{k}").alias(k) for k in KEY], "start", "next_sketch")
+    d = own.select(*KEY, "text").join(sent, KEY).withColumn("n_chars", F.length("text").cast("long"))
     d = d.withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 2)), start)")).drop("start")
     d = with_sketch(with_sketch(d, "text", "sketch", shingle, bits), "edited", "edited_sketch", shingle, bits)
-    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
-                    as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+    return d.select(F.when(F.col("has_id"), F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                    as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
                     containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                     containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
