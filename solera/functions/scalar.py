@@ -19,15 +19,16 @@ def col_(c) -> Column:
 
 def exact_ratio(num, den, scale: int) -> Column:
     """``num / den`` for integral ``num`` and ``den`` (any sign of ``num``, ``den`` > 0), rounded
-    to ``scale`` decimals with ties toward +infinity, computed exactly on decimal(38,0)
-    integers -- ``floor((2 * num * 10^scale + den) / (2 * den))`` -- and returned as the
-    nearest double.  No floating-point sum or division precedes the rounding, so the result
+    to ``scale`` decimals with ties away from zero, computed exactly on decimal(38,0)
+    integers -- ``floor((2 * |num| * 10^scale + den) / (2 * den))`` with the sign of ``num`` --
+    and returned as the nearest double.  No floating-point sum or division precedes the rounding, so the result
     does not depend on summation order or engine.  NULL when ``den`` is 0 or NULL."""
     n = col_(num).cast("decimal(38,0)")
     d = col_(den).cast("decimal(38,0)")
-    a = n * F.lit(2 * 10 ** scale).cast("decimal(38,0)") + d
+    a = F.abs(n) * F.lit(2 * 10 ** scale).cast("decimal(38,0)") + d
     b = d * F.lit(2).cast("decimal(38,0)")
     q = ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")          # exact floor division
+    q = F.when(n < 0, -q).otherwise(q)
     return F.when(d > 0, (q / F.lit(10 ** scale).cast("decimal(38,0)")).cast("double"))
 
 
@@ -52,11 +53,6 @@ def rate_pct(num, den, scale: int = 2) -> Column:
     return F.coalesce(exact_ratio(col_(num) * 100, col_(den), scale), F.lit(0.0))
 
 
-def pct_of(num, den, scale: int = 2) -> Column:
-    """Share in percent without the zero default (NULL when the denominator is 0)."""
-    return exact_ratio(col_(num) * 100, col_(den), scale)
-
-
 def seasonality(date_col) -> Column:
     """``1 + 0.25 * sin(2*pi*dayofyear / 182.5)``."""
     return 1 + SEASON_AMPLITUDE * F.sin(2 * math.pi * F.dayofyear(col_(date_col)) / SEASON_PERIOD_DAYS)

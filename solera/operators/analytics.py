@@ -104,23 +104,26 @@ def q3_margin(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
     sell = F.when(F.col("tipo") == "venta", F.col("precio_usd"))
     agg = (fact.join(_types(dim_tipo), "tipo_energia_id")
            .groupBy("tipo_energia")
-           .agg(avg_price(buy).alias("_c"), avg_price(sell).alias("_v")))
-    return (agg.select("tipo_energia",
-                       F.col("_c").alias("precio_compra_avg"),
-                       F.col("_v").alias("precio_venta_avg"),
-                       F.round(F.col("_v") - F.col("_c"), 6).alias("margen_absoluto"))
+           .agg(F.sum(scaled_int(buy, 2)).alias("s_c"), F.count(buy).alias("n_c"),
+                F.sum(scaled_int(sell, 2)).alias("s_v"), F.count(sell).alias("n_v")))
+    return (_margins(agg, "s_c", "n_c", "s_v", "n_v")
             .orderBy(F.desc_nulls_last("margen_absoluto"), "tipo_energia"))
 
 
+def _margins(df: DataFrame, s_c: str, n_c: str, s_v: str, n_v: str) -> DataFrame:
+    """Averages per side and their unrounded difference, each rounded once, from the sums in
+    cents and the counts."""
+    c, v = exact_ratio(F.col(s_c), F.col(n_c) * 100, 6), exact_ratio(F.col(s_v), F.col(n_v) * 100, 6)
+    diff = exact_ratio(F.col(s_v) * F.col(n_c) - F.col(s_c) * F.col(n_v), F.col(n_v) * F.col(n_c) * 100, 6)
+    return df.select("tipo_energia", c.alias("precio_compra_avg"), v.alias("precio_venta_avg"), diff.alias("margen_absoluto"))
+
+
 def margin_pivot(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
     """G9 view form of the margin with ``groupBy().pivot()`` over the fixed side values."""
     p = (fact.join(_types(dim_tipo), "tipo_energia_id")
          .groupBy("tipo_energia").pivot("tipo", ["compra", "venta"])
          .agg(F.sum(scaled_int("precio_usd", 2)).alias("s"), F.count("precio_usd").alias("n")))
-    c = exact_ratio(F.col("compra_s"), F.col("compra_n") * 100, 6)
-    v = exact_ratio(F.col("venta_s"), F.col("venta_n") * 100, 6)
-    return p.select("tipo_energia", c.alias("precio_compra_avg"), v.alias("precio_venta_avg"),
-                    F.round(v - c, 6).alias("margen_absoluto"))
+    return _margins(p, "compra_s", "compra_n", "venta_s", "venta_n")
 
 
 # ---------------------------------------------------------------- aggregate tables / views

@@ -44,7 +44,8 @@ def month_fraction(date_col) -> Column:
 
 def daily_costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage priced per (service, day): amount = quantity x unit price (exact decimal)."""
-    return (usage.join(prices.select("service", "unit_price"), "service")
+    # a service without a price stays, its amount NULL
+    return (usage.join(prices.select("service", "unit_price"), "service", "left")
             .groupBy("service", "day")
             .agg(F.sum(F.col("quantity").cast("decimal(18,6)") * F.col("unit_price").cast("decimal(12,6)")).alias("amount")))
 
@@ -68,7 +69,7 @@ def metered_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     monthly = (usage.groupBy("account", F.trunc("day", "month").alias("month"), "service")
                .agg(F.sum(F.col("quantity").cast("decimal(18,6)")).cast("decimal(20,6)").alias("quantity"),
                     F.max("day").alias("last_day")))
-    j = monthly.join(prices, "service")             # the price table is a handful of rows
+    j = monthly.join(prices, "service", "left")     # a service without a price stays, its amounts NULL
     frac = F.when(F.col("monthly"), month_fraction("last_day")).otherwise(F.lit(1)).cast("decimal(8,6)")
     price = F.col("unit_price").cast("decimal(10,6)")
     list_price = (F.col("quantity") * price).cast("decimal(25,12)") * frac
@@ -77,7 +78,7 @@ def metered_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return j.select("account", "month", "service", "quantity",
                     F.round(list_price, 4).cast("decimal(38,4)").alias("list_usd"),
                     F.round(free, 4).cast("decimal(38,4)").alias("free_tier_usd"),
-                    F.round(F.greatest(list_price - free, F.lit(0)), 4).cast("decimal(38,4)").alias("charged_usd"))
+                    F.round(F.when(list_price.isNotNull(), F.greatest(list_price - free, F.lit(0))), 4).cast("decimal(38,4)").alias("charged_usd"))
 
 
 def credit_view(costs: DataFrame, starting_credits: str) -> DataFrame:

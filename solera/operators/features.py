@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solera.functions.scalar import epoch_seconds
+from solera.functions.scalar import epoch_seconds, exact_avg, exact_ratio, scaled_int
 
 # --- fixed values ---------------------------------------------------------------------------
 EMA_SPAN = 200                         # EMA-200
@@ -92,10 +92,16 @@ def asof_fill(data: DataFrame, queries: DataFrame, key, t_col: str, value_cols:
     # bucket level: last data row per (key, bucket) and, per bucket, the last one before it
     last_in = (u.where(is_data).groupBy(*keys, "_b")
                .agg(F.max_by(F.struct(*[F.col(v) for v in vals]), F.struct(*order)).alias("_last")))
-    buckets = u.select(*keys, "_b").distinct().join(last_in, keys + ["_b"], "left")
+    buckets = u.select(*keys, "_b", F.lit(None).cast(last_in.schema["_last"].dataType).alias("_last")).distinct().unionByName(last_in)
+    buckets = buckets.groupBy(*keys, "_b").agg(F.first("_last", ignorenulls=True).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.select(*keys, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
-    res = (local.where(~is_data).join(carry, keys + ["_b"], "left")
+    # a NULL key is a key like any other, inside a bucket (window) and across buckets (join)
+    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_carry")
+    same = local["_b"] == carry["_k_b"]
+    for k in keys:
+        same = same & local[k].eqNullSafe(carry[f"_k_{k}"])
+    res = (local.where(~is_data).join(carry, same, "left")
            .withColumn("_v", F.coalesce("_local", "_carry")))
     return res.select(*keys, t_col, *order_cols, *payload, *[F.col(f"_v.{v}").alias(v) for v in vals])
 
@@ -127,8 +133,9 @@ def trailing_return(ticks: DataFrame, seconds: int = RETURN_LAG_S, bucket_s: flo
     """``mid / mid_asof(t - seconds) - 1`` where the reference price is the last tick at
     least ``seconds`` old (no staleness cap)."""
     tf = tick_frame(ticks)
-    shifted = tf.select("par_id", (F.col("t") + seconds).alias("t"), "tick_id", "mid")
-    res = asof_fill(shifted, tf, "par_id", "t", ["mid"], order_cols=["tick_id"], bucket_s=bucket_s)
+    # one reference per instant, the last by id; only the time decides what is old enough
+    shifted = (tf.groupBy("par_id", (F.col("t") + seconds).alias("t")).agg(F.max_by("mid", "tick_id").alias("mid")))
+    res = asof_fill(shifted, tf, "par_id", "t", ["mid"], bucket_s=bucket_s)
     return res.select("tick_id", "par_id", "capturado_en", "mid", F.col("asof_mid").alias("mid_ref"),
                       (F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).alias("retorno"))
 
@@ -181,7 +188,8 @@ def ema(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S)
     wp = Window.partitionBy("par_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     summ = summ.withColumn("first_mid", F.first("first_mid").over(wp))
     incoming = summ.groupBy("par_id").applyInPandas(_bucket_scan(alpha), "par_id int, _b long, e_in double")
-    res = local.join(incoming, ["par_id", "_b"])
+    incoming = incoming.select(F.col("par_id").alias("_par"), F.col("_b").alias("_bb"), "e_in")
+    res = local.join(incoming, local["par_id"].eqNullSafe(incoming["_par"]) & (local["_b"] == incoming["_bb"]))
     return res.select("tick_id", "par_id", "t", "mid",
                       (F.col("local") + F.pow(F.lit(1.0 - alpha), F.col("k")) * F.col("e_in")).alias("ema"))
 
@@ -213,7 +221,7 @@ def multi_window(ticks: DataFrame, windows: dict[str, int] | None = None, bucket
     cols = []
     for name, secs in windows.items():
         w = Window.partitionBy("par_id", "_b").orderBy("t").rangeBetween(-secs, 0)
-        cols += [F.count(F.lit(1)).over(w).alias(f"n_{name}"), F.avg("mid").over(w).alias(f"mid_{name}")]
+        cols += [F.count(F.lit(1)).over(w).alias(f"n_{name}"), exact_avg("mid", 5, window=w).alias(f"mid_{name}")]
     out = h.select("tick_id", "par_id", "_own", *cols).where(F.col("_own")).drop("_own")
     return out
 
@@ -241,9 +249,9 @@ def user_features(tx: DataFrame, user: str, ts: str, amount: str, days: int = 30
     third of the rows is still spread over many tasks."""
     secs = days * 86400
     tf = tx.withColumn("t", epoch_seconds(ts))
-    out = rolling(tf, user, "t", secs, {"frecuencia_tx": F.count(F.lit(1)), "ticket_promedio": F.avg(amount)},
+    out = rolling(tf, user, "t", secs, {"frecuencia_tx": F.count(F.lit(1)), "_total": F.sum(scaled_int(amount, 2)), "_n": F.count(amount)},
                   bucket_s or float(secs))
-    return out.drop("t")
+    return out.withColumn("ticket_promedio", exact_ratio("_total", F.col("_n") * 100, 6)).drop("t", "_total", "_n")
 
 
 def enrich_asof(events: DataFrame, state: DataFrame, key: str, ts: str, value_cols: list[str],

@@ -70,21 +70,23 @@ def active_users(events: DataFrame, user: str = "user_id", ts: str = "ts") -> Da
 
 
 def ab_uplift(notif: DataFrame, arm_col: str = "brazo", ts: str = "enviada_en") -> DataFrame:
-    """Hourly conversion per arm (A control, B treatment), uplift = B/A - 1 and the
-    rollback flag when the uplift stays below -15 % for 24 consecutive hourly points.
-    The window runs over one row per hour (bounded by the time span)."""
-    conv = F.coalesce(F.col("convertida"), F.lit(False))
+    """Hourly click-through rate (read / sent) and conversion per arm (A control, B
+    treatment), CTR uplift = B/A - 1 and the rollback flag when it stays below -15 % for 24
+    consecutive hourly points.  The window runs over one row per hour (bounded by the time span)."""
+    conv, read = F.coalesce(F.col("convertida"), F.lit(False)), F.coalesce(F.col("leida"), F.lit(False))
     hourly = (notif.groupBy(F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hora"))
               .agg(*[c for a in ("A", "B") for c in (
                   F.count_if((F.col(arm_col) == a) & conv).alias(f"c_{a}"),
+                  F.count_if((F.col(arm_col) == a) & read).alias(f"r_{a}"),
                   F.count_if(F.col(arm_col) == a).alias(f"n_{a}"))]))
-    # exact ratios: conversion = c/n per arm, uplift = (c_B n_A) / (n_B c_A) - 1
+    # exact ratios: rate = r/n per arm, uplift = (r_B n_A) / (n_B r_A) - 1
     up = hourly.select("hora", exact_ratio("c_A", "n_A", 9).alias("conv_A"), exact_ratio("c_B", "n_B", 9).alias("conv_B"),
-                       exact_ratio(F.col("c_B") * F.col("n_A") - F.col("n_B") * F.col("c_A"),
-                                   F.col("n_B") * F.col("c_A"), 9).alias("uplift"))
+                       exact_ratio("r_A", "n_A", 9).alias("ctr_A"), exact_ratio("r_B", "n_B", 9).alias("ctr_B"),
+                       exact_ratio(F.col("r_B") * F.col("n_A") - F.col("n_B") * F.col("r_A"),
+                                   F.col("n_B") * F.col("r_A"), 9).alias("uplift"))
     hour_idx = (F.unix_micros(F.col("hora").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     w = Window.orderBy(hour_idx).rangeBetween(-(UPLIFT_WINDOW_HOURS - 1), 0)
-    return up.select("hora", "conv_A", "conv_B", "uplift",
+    return up.select("hora", "ctr_A", "ctr_B", "conv_A", "conv_B", "uplift",
                      ((F.count("uplift").over(w) == UPLIFT_WINDOW_HOURS)
                       & (F.max("uplift").over(w) < UPLIFT_ROLLBACK)).alias("rollback"))
 

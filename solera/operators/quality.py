@@ -240,20 +240,7 @@ def dq_gate(checks: DataFrame, block_on: tuple[str, ...] = ()) -> DataFrame:
     return checks
 
 
-MATERIALIZE_FACT_ABOVE_BYTES = 256 * 1024 * 1024
-
-
-def tables_from_lake(lk, materialize_fact: bool | str = False) -> Tables:
-    """Source tables from the canonical mapping.  With ``materialize_fact`` the fact (three
-    joins) is written once to the checkpoint folder so the checks scan it instead of each
-    re-running the joins (their column sets differ, so Spark cannot reuse the shuffles).
-    ``"auto"`` does so when the line items on disk exceed 256 MB -- below that, re-running
-    the joins is cheaper than a write and a re-read."""
-    fact = lk.fact()
-    if materialize_fact == "auto":
-        materialize_fact = lk.input_bytes("lineitem") > MATERIALIZE_FACT_ABOVE_BYTES
-    if materialize_fact:
-        from solera.session import materialize
-        fact = materialize(fact, "dq_fact")
-    return Tables(proveedor=lk.dim_proveedor(), cliente=lk.dim_cliente(), transaccion=fact,
+def tables_from_lake(lk) -> Tables:
+    """Source tables from the canonical mapping (one plan at every size)."""
+    return Tables(proveedor=lk.dim_proveedor(), cliente=lk.dim_cliente(), transaccion=lk.fact(),
                   tipo_energia=lk.dim_tipo_energia(), ciudad=lk.dim_ciudad())

@@ -113,7 +113,9 @@ def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, bucket_s: float = DE
     per_b = t.groupBy("par_id", "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy("par_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select("par_id", "_b", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
-    pos = local.join(offs, ["par_id", "_b"]).withColumn("posicion", F.col("_rn") + F.col("_off"))
+    offs = offs.select(F.col("par_id").alias("_par"), F.col("_b").alias("_bb"), "_off")
+    pos = (local.join(offs, local["par_id"].eqNullSafe(offs["_par"]) & (local["_b"] == offs["_bb"]))
+           .withColumn("posicion", F.col("_rn") + F.col("_off")))
     return pos.select("tick_id", "par_id", "capturado_en", "posicion",
                       ((F.col("posicion") % n) == 0).alias("evalua"))
 

@@ -45,6 +45,7 @@ def write_partitioned(df: DataFrame, root: str, name: str, cols: list[str],
     (out.observe(obs, F.count(F.lit(1)).alias("rows"))
      .write.mode("overwrite").option("compression", "snappy")
      .option("maxRecordsPerFile", max_records_per_file)
+     .option("partitionOverwriteMode", "static")  # the whole table: months that are gone go
      .partitionBy(*cols).parquet(f"{root.rstrip('/')}/{name}"))
     return int(obs.get["rows"])
 

@@ -46,6 +46,7 @@ def write_snapshot(df: DataFrame, root: str, table: str, loaded_at: str,
         as_text = as_text.repartition(files_per_load)
     path = f"{root.rstrip('/')}/{table}"
     (as_text.write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")  # only this load, whatever the session's mode
      .option("header", True).option("quoteAll", False).option("emptyValue", "").option("nullValue", "")
      .partitionBy("loaded_at").csv(path))
     return path

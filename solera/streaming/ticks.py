@@ -15,10 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from solera.functions.scalar import exact_avg
+
 # --- fixed values ---------------------------------------------------------------------------
 WATERMARK = "10 minutes"
 MIN_TICKS_PER_S = 2              # alarm when fewer than 2 ticks/s over a 60 s window
@@ -85,7 +87,7 @@ def window_features(ticks: DataFrame, size: str = "5 minutes", slide: str | None
         df = df.withWatermark("capturado_en", watermark)
     win = F.window("capturado_en", size, slide) if slide else F.window("capturado_en", size)
     return (df.groupBy(win.alias("ventana"), "par_id")
-            .agg(F.count(F.lit(1)).alias("ticks"), F.avg("mid").alias("mid_medio"),
+            .agg(F.count(F.lit(1)).alias("ticks"), exact_avg("mid", 5).alias("mid_medio"),
                  F.min("mid").alias("mid_min"), F.max("mid").alias("mid_max"))
             .select(F.col("ventana.start").alias("inicio"), F.col("ventana.end").alias("fin"), "par_id",
                     "ticks", "mid_medio", "mid_min", "mid_max"))
@@ -93,9 +95,10 @@ def window_features(ticks: DataFrame, size: str = "5 minutes", slide: str | None
 
 # ---------------------------------------------------------------- S3 latest state per key
 def latest_by_key(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
-    """S3: latest row per key (``max_by`` on the event time) -- a streaming aggregation whose
-    state is one row per key (update mode), or the batch twin."""
-    return (df.groupBy(key).agg(F.max_by(F.struct(ts, *cols), F.col(ts)).alias("_l"))
+    """S3: latest row per key (the greatest event time, of equal ones the greatest values of
+    ``cols`` in order) -- a streaming aggregation whose state is one row per key (update mode),
+    or the batch twin."""
+    return (df.groupBy(key).agg(F.max(F.struct(ts, *cols)).alias("_l"))
             .select(key, *[F.col(f"_l.{c}").alias(c) for c in [ts, *cols]]))
 
 
@@ -109,15 +112,11 @@ def upsert_micro_batch(target_path: str, key: str, ts: str, buckets: int = 64):
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-        try:
-            cur = spark.read.parquet(target_path)
-        except Exception:  # noqa: BLE001 - first batch, no table yet
-            cur = None
-        if cur is None:
-            merged = b
-        else:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+        merged = b
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # a read error is an error
             touched = b.select("_bucket").distinct()
-            merged = cur.join(touched, "_bucket", "left_semi").unionByName(b)
+            merged = spark.read.parquet(target_path).join(touched, "_bucket", "left_semi").unionByName(b)
         cols = [c for c in merged.columns if c not in (key, ts, "_bucket")]
         out = latest_by_key(merged, key, ts, cols + ["_bucket"]).checkpoint(eager=True)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -164,7 +163,8 @@ def feedback_labels(clicks: DataFrame, txs: DataFrame, minutes: int = 30, waterm
 def throughput_alarms(ticks: DataFrame, window: str = ALARM_WINDOW, min_per_s: float = MIN_TICKS_PER_S,
                       watermark: str | None = WATERMARK) -> DataFrame:
     """Ticks per tumbling window and the alarm flag when the rate is below ``min_per_s``.
-    (Windows with no tick at all do not exist in a grouped count; the batch twin fills them.)"""
+    A grouped count has no row for a window without ticks: ``throughput_alarms_batch`` fills
+    them; on a stream the backlog alarm and the source's progress show that nothing comes."""
     df = ticks.withWatermark("capturado_en", watermark) if watermark else ticks
     secs = int(window.split()[0])
     return (df.groupBy(F.window("capturado_en", window).alias("w")).agg(F.count(F.lit(1)).alias("ticks"))
@@ -172,6 +172,25 @@ def throughput_alarms(ticks: DataFrame, window: str = ALARM_WINDOW, min_per_s: f
                     (F.col("ticks") / F.lit(float(secs)) < min_per_s).alias("alarma")))
 
 
+def throughput_alarms_batch(ticks: DataFrame, window: str = ALARM_WINDOW, min_per_s: float = MIN_TICKS_PER_S) -> DataFrame:
+    """S12 over a table: every window from the first tick to the last, with 0 ticks and an alarm
+    where there are none.  A window fills the gap up to the next one, so no calendar is joined."""
+    found = throughput_alarms(ticks, window, min_per_s, watermark=None).select("inicio", "ticks")
+    secs = int(window.split()[0])
+    # the next window by day, and the first of the next day that has one: no window over all rows
+    day = F.date_trunc("day", "inicio")
+    found = found.withColumn("dia", day)
+    days = found.groupBy("dia").agg(F.min("inicio").alias("primera"))
+    days = days.select("dia", F.lead("primera").over(Window.orderBy("dia")).alias("dia_siguiente"))
+    nxt = F.lead("inicio").over(Window.partitionBy("dia").orderBy("inicio"))
+    found = found.withColumn("sig", nxt).join(days, "dia").withColumn("sig", F.coalesce("sig", "dia_siguiente"))
+    step = F.expr(f"INTERVAL {secs} SECOND")
+    starts = F.when(F.col("sig").isNull(), F.array("inicio")).otherwise(F.sequence(F.col("inicio"), F.col("sig") - step, step))
+    return (found.select("inicio", F.explode(starts).alias("w"), "ticks")
+            .select(F.col("w").alias("inicio"), F.when(F.col("w") == F.col("inicio"), F.col("ticks")).otherwise(F.lit(0).cast("long")).alias("ticks"))
+            .withColumn("alarma", F.col("ticks") / F.lit(float(secs)) < min_per_s))
+
+
 def backlog_alarm(progress: dict | None, threshold: int = BACKLOG_MAX) -> bool:
     """Backlog alarm from a ``StreamingQueryProgress`` (driver-side metadata): true when
     a source reports more than ``threshold`` offsets behind latest."""
