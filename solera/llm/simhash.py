@@ -103,7 +103,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST_ROWS
     within ``max_bits`` bits (2 or 4: an even number has a middle)."""
     if max_bits not in (2, 4):
         raise ValueError("max_bits must be 2 or 4")
-    posted = _postings(nodes, max_bits)
+    # 70 postings a row: small nodes must not be merged into a few tasks before
+    posted = _postings(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), max_bits)
     lists = written(posted.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                     .filter("n > 1"), "simhash-lists")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
@@ -113,7 +114,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST_ROWS
     def forest(col: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in spanning_links(np.asarray(x), max_bits)] for x in col])
 
-    more = (posted.join(lists.filter(F.col("n").between(3, list_rows)).select("c", "key"), ["c", "key"])
+    more = (posted.join(lists.filter(F.col("n").between(3, list_rows)).select("c", "key").hint("merge"), ["c", "key"])
             .groupBy("c", "key").agg(F.collect_list("fp").alias("fps"))
             .select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b"))
 
