@@ -103,10 +103,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST_ROWS
     within ``max_bits`` bits (2 or 4: an even number has a middle)."""
     if max_bits not in (2, 4):
         raise ValueError("max_bits must be 2 or 4")
-    # 70 postings a row: small nodes must not be merged into a few tasks before
-    posted = _postings(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), max_bits)
+    # 70 postings a row: nodes must not be merged into a few tasks before, nor stay as dealt by "fp"
+    posted = _postings(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")), max_bits)
     lists = written(posted.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                     .filter("n > 1"), "simhash-lists")
+    # the one other time that all postings are dealt out; only entries of longer lists are left
+    entries = written(posted.join(lists.filter("n > 2").select("c", "key", "n").hint("merge"), ["c", "key"]), "simhash-entries")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     two = lists.filter("n = 2").filter(apart("a", "b") <= max_bits).select("a", "b")
 
@@ -114,12 +116,11 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = LIST_ROWS
     def forest(col: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in spanning_links(np.asarray(x), max_bits)] for x in col])
 
-    more = (posted.join(lists.filter(F.col("n").between(3, list_rows)).select("c", "key").hint("merge"), ["c", "key"])
-            .groupBy("c", "key").agg(F.collect_list("fp").alias("fps"))
+    more = (entries.filter(F.col("n") <= list_rows).groupBy("c", "key").agg(F.collect_list("fp").alias("fps"))
             .select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b"))
 
     # entries of an over-long list, each with the values within two bits in its free bytes
-    long_lists = posted.join(lists.filter(F.col("n") > list_rows).select("c", "key"), ["c", "key"])
+    long_lists = entries.filter(F.col("n") > list_rows)
     free = F.expr("filter(transform(sequence(0, 63), i -> shiftleft(1L, i)), x -> (x & mask) = 0)")
     mask_of = F.element_at(F.array(*[F.lit(m) for m in _masks(8 - max_bits)]), F.col("c").cast("int") + 1)
     around = F.expr("concat(array(0L), free" + (", flatten(transform(free, x -> transform(filter(free, y -> y > x), y -> x | y))))" if max_bits == 4 else ")"))
