@@ -93,12 +93,18 @@ def _odds(p: Column) -> Column:
     return p / (1 - p)
 
 
+def _by_chunk(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """A table of one row per source spread over the chunks of each, so that rows join it by chunk
+    and are never dealt out by source alone."""
+    return rows.select("sid", "chunk").distinct().join(per_source, "sid")
+
+
 def _pass(rows: DataFrame) -> DataFrame:
     """Draw the front of each source's ranking that fits into what its target still lacks, among
     the documents not drawn yet that fit at all."""
     used = F.sum(F.col("size") * (F.col("certain") + F.col("drawn").cast("long")))
     gap = rows.groupBy("sid").agg((F.first("target") - used).alias("gap"))
-    rows = rows.join(gap, "sid").withColumn("fits", F.col("rank").isNotNull() & ~F.col("drawn") & (F.col("size") <= F.col("gap")))
+    rows = rows.join(_by_chunk(rows, gap), ["sid", "chunk"]).withColumn("fits", F.col("rank").isNotNull() & ~F.col("drawn") & (F.col("size") <= F.col("gap")))
     rows = rows.withColumn("adds", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0).cast("long")))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (rows.groupBy("sid", "chunk").agg(F.sum("adds").alias("words"))
@@ -113,12 +119,12 @@ def _nearest(rows: DataFrame) -> DataFrame:
     """Draw one document more in each source whose total ends nearer to the target with it."""
     used = F.sum(F.col("size") * (F.col("certain") + F.col("drawn").cast("long")))
     gap = rows.groupBy("sid").agg((F.first("target") - used).alias("gap"))
-    rows = rows.join(gap, "sid").withColumn("off", F.abs(F.col("size") - F.col("gap")))
+    rows = rows.join(_by_chunk(rows, gap), ["sid", "chunk"]).withColumn("off", F.abs(F.col("size") - F.col("gap")))
     open_ = F.col("rank").isNotNull() & ~F.col("drawn") & (F.col("off") < F.col("gap"))
     best = rows.filter(open_).groupBy("sid").agg(F.min(F.struct("off", "rank", "doc_id", "size")).alias("best"))
     same = Window.partitionBy("sid", "chunk", "doc_id", "size").orderBy("rank")  # one of equal rows
     is_best = open_ & (F.struct("off", "rank", "doc_id", "size") == F.col("best"))
-    rows = rows.join(best, "sid", "left").withColumn("nth", F.row_number().over(same))
+    rows = rows.join(_by_chunk(rows, best), ["sid", "chunk"], "left").withColumn("nth", F.row_number().over(same))
     return rows.withColumn("drawn", F.col("drawn") | F.coalesce(is_best & (F.col("nth") == 1), F.lit(False))).drop("gap", "off", "best", "nth")
 
 
