@@ -4,15 +4,16 @@ Scale design
 ------------
 The natural window key of a tick feature is the currency pair, and there are only a handful
 of pairs: ``Window.partitionBy(pair)`` would put a fifth (or a third) of all ticks in one
-task.  Every time-ordered feature here is therefore computed per **(key, time bucket)**:
+task.  Time-ordered features are computed per **(key, chunk)** instead, a chunk being about
+``CHUNK_ROWS`` consecutive rows of a key (``chunk_starts``), however dense the key is:
 
-* bounded look-back (rolling 5 min / 1 h / 24 h frames): each row is also copied into the
-  following bucket(s) whose start is within the look-back (a *halo*), the frame is
-  evaluated per (key, bucket), and only the bucket's own rows are kept.  Exact; the data is
-  duplicated by at most ``ceil(lookback / bucket)`` copies of the rows near bucket edges.
-* unbounded look-back (previous tick, price "at least 1 h ago", EMA): the value is first
-  resolved inside the bucket and the remainder comes from a carry computed over a
-  *bucket-level* table (one row per key and bucket, sized by the time span, not the data).
+* unbounded look-back (previous tick, price "at least 1 h ago", EMA, position): the value is
+  first resolved inside the chunk and the remainder comes from a carry computed over a
+  *chunk-level* table (one row per key and chunk).
+* counts and sums over trailing windows are differences of two running totals of integers,
+  which are exact, so no row is copied whatever the window's length (``trailing``).
+* the rolling deviation (5 min frames) copies each row into the following time bucket (a
+  *halo*), the frame is evaluated per (key, bucket), and the bucket's own rows are kept.
 
 Timestamps are handled as epoch seconds (double) so frames are plain numeric ranges.
 """
@@ -25,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solera.functions.scalar import epoch_seconds, exact_avg, exact_ratio, scaled_int
+from solera.functions.scalar import epoch_seconds, exact_ratio, scaled_int
+from solera.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 EMA_SPAN = 200                         # EMA-200
@@ -36,13 +38,82 @@ MULTI_WINDOWS_S = {"5m": 300, "1h": 3600, "24h": 86400}
 PROFILE_USD_TARGET = {"conservador": 70.0, "moderado": 50.0, "agresivo": 30.0}
 # --------------------------------------------------------------------------------------------
 
-DEFAULT_BUCKET_S = 86400
+#: Rows of a chunk, about: a chunk ends on a whole second, and with the day.
+CHUNK_ROWS = 500_000
+_DAY_S = 86400
+_CHUNKS_A_DAY = 1 << 30
 
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _day(t: Column) -> Column:
+    return F.floor(F.floor(t) / _DAY_S).cast("long")
+
+
+def chunk_starts(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, ``_day``, ``_starts``): the seconds at which the second and later chunks of a key's
+    day begin; days of one chunk have no row.  Rows are counted per (key, second) with partial
+    counts, and the counts run over the seconds of one (key, day)."""
+    keys = _keys(key)
+    n = (df.where(F.col(t_col).isNotNull()).groupBy(*keys, F.floor(F.col(t_col)).cast("long").alias("_sec"))
+         .agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(F.col("_sec"))))
+    w = Window.partitionBy(*keys, "_day").orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.floor(F.coalesce(F.sum("_n").over(w), F.lit(0)) / rows).alias("_nth")
+    return (n.select(*keys, "_day", "_sec", nth).where("_nth > 0").groupBy(*keys, "_day", "_nth").agg(F.min("_sec").alias("_sec"))
+            .groupBy(*keys, "_day").agg(F.collect_list("_sec").alias("_starts")))
+
+
+def chunked(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with ``_b``, the number of the row's chunk: within a key it grows with time.  The
+    rows are written once, as they are read for the bounds and for the feature."""
+    keys = _keys(key)
+    df = materialize(df, "chunk_rows")
+    starts = materialize(chunk_starts(df, keys, t_col, rows), "chunk_starts")
+    starts = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_day").alias("_of_day"), "_starts")
+    same = _day(df[t_col]) == starts["_of_day"]
+    for k in keys:
+        same = same & df[k].eqNullSafe(starts[f"_of_{k}"])
+    nth = F.coalesce(F.size(F.filter("_starts", lambda s: s <= F.col(t_col))), F.lit(0))
+    nth = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(nth)
+    return (df.join(starts, same, "left").withColumn("_b", _day(F.col(t_col)) * _CHUNKS_A_DAY + nth)
+            .drop("_of_day", "_starts", *[f"_of_{k}" for k in keys]))
+
+
+def trailing(df: DataFrame, key, t_col: str, windows: dict[str, int], sums: dict[str, Column], rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with a column ``<sum>_<window>`` for each of ``sums`` (integers, NULL as 0) and of
+    ``windows`` (seconds): the sum over the key's rows in ``[t - seconds, t]``.
+
+    Every instant of a key asks for the running total at its end and just before each window's
+    start; the running totals go over chunks, then over the chunks of a key.  A row without a
+    time gets NULL sums."""
+    keys = _keys(key)
+    names = list(sums)
+    inst = (df.where(F.col(t_col).isNotNull()).groupBy(*keys, F.col(t_col).alias("_t0"))
+            .agg(*[F.coalesce(F.sum(sums[n].cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(n) for n in names]))
+    none = [F.lit(0).cast("decimal(38,0)").alias(n) for n in names]
+    here = F.struct(F.col("_t0").alias("_at"), F.lit(1).alias("_side"), F.lit("").alias("_w"), *names)
+    asks = [F.struct((F.col("_t0") - secs).alias("_at"), F.lit(0).alias("_side"), F.lit(w).alias("_w"), *none) for w, secs in windows.items()]
+    line = chunked(inst.select(*keys, "_t0", F.inline(F.array(here, *asks))), keys, "_at", rows)
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_b = line.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
+    per_b = per_b.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_b").alias("_of_b"),
+                         *[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"_before_{n}") for n in names])
+    same = line["_b"] == per_b["_of_b"]
+    for k in keys:
+        same = same & line[k].eqNullSafe(per_b[f"_of_{k}"])
+    line = line.join(per_b, same).select(*keys, "_t0", "_w", *[(F.sum(n).over(w) + F.col(f"_before_{n}")).alias(n) for n in names])
+    at = {(n, x): F.max(F.when(F.col("_w") == x, F.col(n))) for n in names for x in ["", *windows]}
+    out = line.groupBy(*keys, "_t0").agg(*[(at[n, ""] - at[n, x]).cast("decimal(38,0)").alias(f"{n}_{x}") for n in names for x in windows])
+    out = out.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_t0", *[f"{n}_{x}" for n in names for x in windows])
+    same = df[t_col] == out["_t0"]
+    for k in keys:
+        same = same & df[k].eqNullSafe(out[f"_of_{k}"])
+    return df.join(out, same, "left").drop("_t0", *[f"_of_{k}" for k in keys])
+
+
 def with_halo(df: DataFrame, t_col: str, lookback_s: float, bucket_s: float) -> DataFrame:
     """Copy each row into its own bucket (``_own`` true) and into every later bucket whose
     frame can reach it (``t >= bucket_start - lookback``)."""
@@ -55,11 +126,12 @@ def with_halo(df: DataFrame, t_col: str, lookback_s: float, bucket_s: float) ->
 
 
 def rolling(df: DataFrame, key, t_col: str, lookback_s: float, aggs: dict[str, Column],
-            bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
-    """Frame ``[t - lookback, t]`` per key, evaluated per (key, bucket) with a halo.
+            bucket_s: float | None = None) -> DataFrame:
+    """Frame ``[t - lookback, t]`` per key, evaluated per (key, bucket) with a halo.  A bucket is
+    as long as the look-back unless given, so a task sees two frames of a key.
     ``aggs`` maps output name -> aggregate expression (e.g. ``F.stddev_samp('r')``)."""
     keys = _keys(key)
-    h = with_halo(df, t_col, lookback_s, bucket_s)
+    h = with_halo(df, t_col, lookback_s, bucket_s or lookback_s)
     w = Window.partitionBy(*keys, "_b").orderBy(F.col(t_col)).rangeBetween(-lookback_s, 0)
     out = h.select("*", *[expr.over(w).alias(name) for name, expr in aggs.items()])
     return out.where(F.col("_own")).drop("_b", "_own")
@@ -67,11 +139,11 @@ def rolling(df: DataFrame, key, t_col: str, lookback_s: float, aggs: dict[str, C
 
 def asof_fill(data: DataFrame, queries: DataFrame, key, t_col: str, value_cols: list[str],
               order_cols: list[str] | None = None, strict: bool = False,
-              bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+              rows: int = CHUNK_ROWS) -> DataFrame:
     """For each query row, the values of the last data row of the same key at or before it
     (strictly before when ``strict``), ordered by ``(t_col, *order_cols)``.  No look-back cap:
-    rows with nothing earlier in their bucket take the carry from earlier buckets, resolved on
-    a bucket-level table.  Returns ``queries`` plus ``value_cols`` (prefixed ``asof_``)."""
+    rows with nothing earlier in their chunk take the carry from earlier chunks, resolved on
+    a chunk-level table.  Returns ``queries`` plus ``value_cols`` (prefixed ``asof_``)."""
     keys = _keys(key)
     order_cols = order_cols or []
     vals = [f"asof_{c}" for c in value_cols]
@@ -82,21 +154,19 @@ def asof_fill(data: DataFrame, queries: DataFrame, key, t_col: str, value_cols:
     q = queries.select(*keys, t_col, *order_cols, *[F.lit(None).cast(data.schema[c].dataType).alias(v)
                                                     for c, v in zip(value_cols, vals)],
                        *payload, F.lit(1 if not strict else 0).alias("_side"))
-    u = d.unionByName(q).withColumn("_b", F.floor(F.col(t_col) / bucket_s).cast("long"))
+    u = chunked(d.unionByName(q), keys, t_col, rows)
     order = [F.col(t_col), *[F.col(c) for c in order_cols], F.col("_side")]
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     is_data = F.col("_side") == (0 if not strict else 1)
     # carry the whole data row as one struct so all values come from the same row
     pack = F.when(is_data, F.struct(*[F.col(v) for v in vals]))
     local = u.select("*", F.last(pack, ignorenulls=True).over(w).alias("_local"))
-    # bucket level: last data row per (key, bucket) and, per bucket, the last one before it
-    last_in = (u.where(is_data).groupBy(*keys, "_b")
-               .agg(F.max_by(F.struct(*[F.col(v) for v in vals]), F.struct(*order)).alias("_last")))
-    buckets = u.select(*keys, "_b", F.lit(None).cast(last_in.schema["_last"].dataType).alias("_last")).distinct().unionByName(last_in)
-    buckets = buckets.groupBy(*keys, "_b").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    # chunk level: last data row per (key, chunk) and, per chunk, the last one before it
+    chunks = (u.groupBy(*keys, "_b")
+              .agg(F.max_by(pack, F.when(is_data, F.struct(*order))).alias("_last")))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(*keys, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
-    # a NULL key is a key like any other, inside a bucket (window) and across buckets (join)
+    carry = chunks.select(*keys, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+    # a NULL key is a key like any other, inside a chunk (window) and across chunks (join)
     carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_carry")
     same = local["_b"] == carry["_k_b"]
     for k in keys:
@@ -114,28 +184,28 @@ def tick_frame(ticks: DataFrame) -> DataFrame:
                         ((F.col("precio_compra") + F.col("precio_venta")) / 2).alias("mid"))
 
 
-def with_returns(tf: DataFrame, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def with_returns(tf: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Tick-to-tick return ``mid / previous mid - 1`` per pair (previous by time, then id)."""
     prev = asof_fill(tf.select("par_id", "t", "tick_id", "mid"), tf, "par_id", "t", ["mid"],
-                     order_cols=["tick_id"], strict=True, bucket_s=bucket_s)
+                     order_cols=["tick_id"], strict=True, rows=rows)
     return prev.withColumn("ret", F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).drop("asof_mid")
 
 
 def rolling_volatility(ticks: DataFrame, seconds: int = VOLATILITY_WINDOW_S,
-                       bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+                       rows: int = CHUNK_ROWS, bucket_s: float | None = None) -> DataFrame:
     """Sample std-dev of tick returns over ``[t - seconds, t]`` per pair."""
-    r = with_returns(tick_frame(ticks), bucket_s)
+    r = with_returns(tick_frame(ticks), rows)
     out = rolling(r, "par_id", "t", seconds, {"volatilidad": F.stddev_samp("ret")}, bucket_s)
     return out.select("tick_id", "par_id", "capturado_en", "ret", "volatilidad")
 
 
-def trailing_return(ticks: DataFrame, seconds: int = RETURN_LAG_S, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def trailing_return(ticks: DataFrame, seconds: int = RETURN_LAG_S, rows: int = CHUNK_ROWS) -> DataFrame:
     """``mid / mid_asof(t - seconds) - 1`` where the reference price is the last tick at
     least ``seconds`` old (no staleness cap)."""
     tf = tick_frame(ticks)
     # one reference per instant, the last by id; only the time decides what is old enough
     shifted = (tf.groupBy("par_id", (F.col("t") + seconds).alias("t")).agg(F.max_by("mid", "tick_id").alias("mid")))
-    res = asof_fill(shifted, tf, "par_id", "t", ["mid"], bucket_s=bucket_s)
+    res = asof_fill(shifted, tf, "par_id", "t", ["mid"], rows=rows)
     return res.select("tick_id", "par_id", "capturado_en", "mid", F.col("asof_mid").alias("mid_ref"),
                       (F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).alias("retorno"))
 
@@ -169,15 +239,15 @@ def _bucket_scan(alpha: float):
     return fn
 
 
-def ema(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def ema(ticks: DataFrame, n: int = EMA_SPAN, rows: int = CHUNK_ROWS) -> DataFrame:
     """W6 helper: exact EMA (alpha = 2/(n+1), seeded with the first mid) per pair.
 
-    Two-level scan: (1) per (pair, bucket) the zero-started EMA of the bucket's ticks
-    (``applyInPandas``; a bucket is bounded by its time span); (2) per pair a scan over the
-    bucket summaries (one row per bucket) gives each bucket's incoming EMA; (3) ema =
+    Two-level scan: (1) per (pair, chunk) the zero-started EMA of the chunk's ticks
+    (``applyInPandas``; a chunk is bounded by its rows); (2) per pair a scan over the
+    chunk summaries (one row per chunk) gives each chunk's incoming EMA; (3) ema =
     local + (1-alpha)^k * incoming.  Nothing holds a whole pair in one task."""
     alpha = 2.0 / (n + 1)
-    tf = tick_frame(ticks).withColumn("_b", F.floor(F.col("t") / bucket_s).cast("long"))
+    tf = chunked(tick_frame(ticks).select("tick_id", "par_id", "t", "mid"), "par_id", "t", rows)
     local = (tf.select("tick_id", "par_id", "_b", "t", "mid").groupBy("par_id", "_b")
              .applyInPandas(_local_ema(alpha), "tick_id long, par_id int, _b long, t double, mid double, k double, local double"))
     summ = (local.groupBy("par_id", "_b")
@@ -194,36 +264,31 @@ def ema(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S)
                       (F.col("local") + F.pow(F.lit(1.0 - alpha), F.col("k")) * F.col("e_in")).alias("ema"))
 
 
-def ema_distance(ticks: DataFrame, n: int = EMA_SPAN, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def ema_distance(ticks: DataFrame, n: int = EMA_SPAN, rows: int = CHUNK_ROWS) -> DataFrame:
     """Distance of the mid to its EMA-n: ``mid / ema - 1``."""
-    e = ema(ticks, n, bucket_s)
+    e = ema(ticks, n, rows)
     return e.select("tick_id", "par_id", "mid", "ema", (F.try_divide(F.col("mid"), F.col("ema")) - 1).alias("distancia_ema"))
 
 
-def market_features(ticks: DataFrame, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def market_features(ticks: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """``spread_bps`` and relative volume = ticks in the last 5 min / (ticks in the last
     hour / 12)."""
-    tf = tick_frame(ticks)
-    out = rolling(tf, "par_id", "t", 3600, {"n_1h": F.count(F.lit(1))}, bucket_s)
-    out = rolling(out, "par_id", "t", 300, {"n_5m": F.count(F.lit(1))}, bucket_s)
+    out = trailing(tick_frame(ticks), "par_id", "t", {"1h": 3600, "5m": 300}, {"n": F.lit(1)}, rows)
+    n_5m, n_1h = F.col("n_5m").cast("long"), F.col("n_1h").cast("long")
     return out.select("tick_id", "par_id",
                       (F.try_divide(F.col("precio_venta") - F.col("precio_compra"), F.col("mid")) * 10000).alias("spread_bps"),
-                      "n_5m", "n_1h",
-                      (F.col("n_5m") / (F.col("n_1h") / 12.0)).alias("volumen_relativo"))
+                      n_5m.alias("n_5m"), n_1h.alias("n_1h"), (n_5m / (n_1h / 12.0)).alias("volumen_relativo"))
 
 
-def multi_window(ticks: DataFrame, windows: dict[str, int] | None = None, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
-    """Tick count and mean mid over several trailing windows (one halo for the longest)."""
+def multi_window(ticks: DataFrame, windows: dict[str, int] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Tick count and exact mean mid over several trailing windows."""
     windows = windows or MULTI_WINDOWS_S
-    tf = tick_frame(ticks)
-    longest = max(windows.values())
-    h = with_halo(tf, "t", longest, bucket_s)
-    cols = []
-    for name, secs in windows.items():
-        w = Window.partitionBy("par_id", "_b").orderBy("t").rangeBetween(-secs, 0)
-        cols += [F.count(F.lit(1)).over(w).alias(f"n_{name}"), exact_avg("mid", 5, window=w).alias(f"mid_{name}")]
-    out = h.select("tick_id", "par_id", "_own", *cols).where(F.col("_own")).drop("_own")
-    return out
+    tf = tick_frame(ticks).select("tick_id", "par_id", "t", "mid")
+    out = trailing(tf, "par_id", "t", windows, {"n": F.lit(1), "_total": scaled_int("mid", 5), "_k": F.col("mid").isNotNull().cast("int")}, rows)
+    cols = [c for name in windows for c in (
+        F.col(f"n_{name}").cast("long").alias(f"n_{name}"),
+        exact_ratio(F.col(f"_total_{name}"), F.col(f"_k_{name}").cast("long") * 100000, 6).alias(f"mid_{name}"))]
+    return out.select("tick_id", "par_id", *cols)
 
 
 def portfolio_features(portfolios: DataFrame, ticks: DataFrame, rate_pair: int = 0) -> DataFrame:
@@ -242,25 +307,24 @@ def portfolio_features(portfolios: DataFrame, ticks: DataFrame, rate_pair: int =
     return out.withColumn("desviacion_perfil_objetivo", F.round(F.col("usd_pct_total") - F.col("_target"), 6)).drop("_target")
 
 
-def user_features(tx: DataFrame, user: str, ts: str, amount: str, days: int = 30,
-                  bucket_s: float | None = None) -> DataFrame:
+def user_features(tx: DataFrame, user: str, ts: str, amount: str, days: int = 30, rows: int = CHUNK_ROWS) -> DataFrame:
     """Per transaction, the user's count and mean amount over the trailing ``days`` days
-    (``[t - days, t]``).  Partitioned by (user, time bucket) with a halo, so a user holding a
-    third of the rows is still spread over many tasks."""
-    secs = days * 86400
+    (``[t - days, t]``), from running totals over row-bounded chunks, so a user holding a third
+    of the rows is spread over many tasks."""
     tf = tx.withColumn("t", epoch_seconds(ts))
-    out = rolling(tf, user, "t", secs, {"frecuencia_tx": F.count(F.lit(1)), "_total": F.sum(scaled_int(amount, 2)), "_n": F.count(amount)},
-                  bucket_s or float(secs))
-    return out.withColumn("ticket_promedio", exact_ratio("_total", F.col("_n") * 100, 6)).drop("t", "_total", "_n")
+    out = trailing(tf, user, "t", {"w": days * 86400},
+                   {"_f": F.lit(1), "_total": scaled_int(amount, 2), "_n": F.col(amount).isNotNull().cast("int")}, rows)
+    return (out.withColumn("frecuencia_tx", F.col("_f_w").cast("long"))
+            .withColumn("ticket_promedio", exact_ratio(F.col("_total_w"), F.col("_n_w").cast("long") * 100, 6)).drop("t", "_f_w", "_total_w", "_n_w"))
 
 
 def enrich_asof(events: DataFrame, state: DataFrame, key: str, ts: str, value_cols: list[str],
-                bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+                rows: int = CHUNK_ROWS) -> DataFrame:
     """Each event enriched with the latest state row of its key at or before the event
     (latest price per pair, latest portfolio per user).  Exact, no look-back cap."""
     ev = events.withColumn("_t", epoch_seconds(ts))
     st = state.withColumn("_t", epoch_seconds(ts)).drop(ts)
-    res = asof_fill(st.select(key, "_t", *value_cols), ev, key, "_t", value_cols, bucket_s=bucket_s)
+    res = asof_fill(st.select(key, "_t", *value_cols), ev, key, "_t", value_cols, rows=rows)
     return res.drop("_t")
 
 
@@ -273,18 +337,18 @@ def rank_latest(df: DataFrame, key, order_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S13 sessions
 def sessionize(events: DataFrame, user: str, ts: str, id_col: str, gap_s: int = 1800,
-               bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+               rows: int = CHUNK_ROWS) -> DataFrame:
     """Gap-based sessions per user (a new session starts when the previous event of the
-    user is more than ``gap_s`` seconds earlier).  Built from two bucketed as-of lookups
+    user is more than ``gap_s`` seconds earlier).  Built from two chunked as-of lookups
     (previous event, then the latest session start at or before each event), so a user with a
-    third of all events is still split by time; then one aggregate per (user, session)."""
+    third of all events is still split by rows; then one aggregate per (user, session)."""
     t = events.select(user, id_col, epoch_seconds(ts).alias("_t"))
     prev = asof_fill(t.select(user, "_t", id_col, F.col("_t").alias("tp")), t, user, "_t", ["tp"],
-                     order_cols=[id_col], strict=True, bucket_s=bucket_s)
+                     order_cols=[id_col], strict=True, rows=rows)
     flagged = prev.withColumn("_start", F.col("asof_tp").isNull() | (F.col("_t") - F.col("asof_tp") > gap_s))
     starts = flagged.where("_start").select(user, "_t", id_col, F.col("_t").alias("s"))
     sess = asof_fill(starts, flagged.select(user, "_t", id_col), user, "_t", ["s"], order_cols=[id_col],
-                     bucket_s=bucket_s)
+                     rows=rows)
     return (sess.groupBy(user, F.col("asof_s").alias("_s"))
             .agg(F.count(F.lit(1)).alias("eventos"), F.max("_t").alias("_e"))
             .select(user, F.timestamp_micros((F.col("_s") * 1e6).cast("long")).cast("timestamp_ntz").alias("inicio"),

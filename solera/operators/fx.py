@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solera.functions.scalar import epoch_seconds, exact_ratio, rate_pct
-from solera.operators.features import asof_fill
+from solera.operators.features import CHUNK_ROWS, asof_fill
 
 # --- fixed values ---------------------------------------------------------------------------
 ATTRIBUTION_MINUTES = 30
@@ -158,14 +158,14 @@ def unit_cost(total_cost: DataFrame, cost_col: str, notif: DataFrame) -> DataFra
 
 
 def attribute_conversions(clicks: DataFrame, txs: DataFrame, user: str, ts: str,
-                          minutes: int = ATTRIBUTION_MINUTES, bucket_s: float = 86400.0) -> DataFrame:
+                          minutes: int = ATTRIBUTION_MINUTES, rows: int = CHUNK_ROWS) -> DataFrame:
     """A click converts when the same user has a transaction within ``minutes``
     after it (``(click, click + minutes]``).  The first transaction after each click is an
-    as-of lookup on reversed time (bucketed, exact, no pair enumeration), so a user with a
-    third of all clicks is still split by time."""
+    as-of lookup on reversed time (chunked, exact, no pair enumeration), so a user with a
+    third of all clicks is still split by rows."""
     c = clicks.withColumn("_nt", -epoch_seconds(ts))
     tx = txs.select(user, (-epoch_seconds(ts)).alias("_nt"), epoch_seconds(ts).alias("t_tx"))
-    nxt = asof_fill(tx, c, user, "_nt", ["t_tx"], strict=True, bucket_s=bucket_s)
+    nxt = asof_fill(tx, c, user, "_nt", ["t_tx"], strict=True, rows=rows)
     delay = F.col("asof_t_tx") + F.col("_nt")        # t_tx - t_click
     return (nxt.withColumn("segundos_a_conversion", delay)
             .withColumn("convertida", F.coalesce(delay <= minutes * 60, F.lit(False)))

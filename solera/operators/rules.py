@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solera.operators.features import asof_fill, DEFAULT_BUCKET_S
+from solera.operators.features import CHUNK_ROWS, asof_fill, chunked
 from solera.functions.scalar import epoch_seconds
 from solera.session import ensure_checkpoint_dir
 
@@ -80,7 +80,7 @@ def rule_contradiction(df: DataFrame, minutes: int = CONTRADICTION_MINUTES, ts:
                        id_col: str = "notificacion_id") -> DataFrame:
     """S8 on its own: flag rows with an opposite-type row of the same user and pair in the
     ``minutes`` before (strictly earlier by (time, id)).  Exact as-of lookup keyed by
-    (user, pair, type), bucketed by time, so hot users are split."""
+    (user, pair, type), chunked by rows, so hot users are split."""
     t = epoch_seconds(ts)
     data = df.select("cliente_id", "par_id", F.col("tipo").alias("_k"), t.alias("_t"), F.col(id_col).alias("_id"),
                      t.alias("t_prev"))
@@ -102,12 +102,12 @@ def rule_opt_in(df: DataFrame, portfolios: DataFrame) -> DataFrame:
     return df.join(prefs.select("cliente_id", "canal"), ["cliente_id", "canal"], "left_semi")
 
 
-def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, rows: int = CHUNK_ROWS) -> DataFrame:
     """S4 batch twin: mark every n-th tick of each pair (by time, then id).  The position in
-    the pair is the position inside a (pair, day) bucket plus the ticks of earlier buckets
-    (a running sum over the small bucket table), so no pair sits in one task."""
+    the pair is the position inside a (pair, chunk) plus the ticks of earlier chunks
+    (a running sum over the small chunk table), so no pair sits in one task."""
     from pyspark.sql import Window
-    t = ticks.withColumn("t", epoch_seconds("capturado_en")).withColumn("_b", F.floor(F.col("t") / bucket_s).cast("long"))
+    t = chunked(ticks.select("tick_id", "par_id", "capturado_en", epoch_seconds("capturado_en").alias("t")), "par_id", "t", rows)
     w = Window.partitionBy("par_id", "_b").orderBy("t", "tick_id")
     local = t.withColumn("_rn", F.row_number().over(w))
     per_b = t.groupBy("par_id", "_b").agg(F.count(F.lit(1)).alias("_c"))

@@ -1,4 +1,4 @@
-"""Bucketed window features do not depend on the bucket size (i.e. on how the work is split)."""
+"""Window features do not depend on the chunk size (i.e. on how the work is split)."""
 
 from pyspark.sql import functions as F
 
@@ -12,26 +12,51 @@ def _rows(df, cols):
     return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
 
 
-def test_rolling_and_asof_independent_of_bucket_size(spark):
+def test_rolling_and_asof_independent_of_chunk_size(spark):
     ticks = Lake(spark, SF001).ticks()
     a = W.rolling_volatility(ticks, bucket_s=86400)
-    b = W.rolling_volatility(ticks, bucket_s=600)        # lookback 300 s, many small buckets
+    b = W.rolling_volatility(ticks, rows=7, bucket_s=600)   # many small chunks, lookback 300 s
     assert _rows(a, ["tick_id", "ret", "volatilidad"]) == _rows(b, ["tick_id", "ret", "volatilidad"])
-    r1 = W.trailing_return(ticks, bucket_s=86400)
-    r2 = W.trailing_return(ticks, bucket_s=900)          # lookup crosses several buckets
+    r1 = W.trailing_return(ticks)
+    r2 = W.trailing_return(ticks, rows=5)                 # the look-up crosses several chunks
     assert _rows(r1, ["tick_id", "mid_ref"]) == _rows(r2, ["tick_id", "mid_ref"])
 
 
-def test_ema_independent_of_bucket_size(spark):
+def test_ema_independent_of_chunk_size(spark):
     ticks = Lake(spark, SF001).ticks()
-    e1 = W.ema(ticks, bucket_s=86400 * 30)               # one bucket per pair: plain recurrence
-    e2 = W.ema(ticks, bucket_s=3600)
+    e1 = W.ema(ticks)                                     # one chunk per pair and day
+    e2 = W.ema(ticks, rows=9)
     a = dict(e1.select("tick_id", "ema").collect())
     b = dict(e2.select("tick_id", "ema").collect())
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
 
 
+def test_trailing_sums_independent_of_chunk_size(spark):
+    lk = Lake(spark, SF001)
+    cols = ["tick_id", "n_5m", "mid_5m", "n_24h", "mid_24h"]
+    assert _rows(W.multi_window(lk.ticks()), cols) == _rows(W.multi_window(lk.ticks(), rows=11), cols)
+
+
+def test_chunks_follow_rows_also_for_a_null_key(spark):
+    # 100 rows of one key in 50 seconds, a null key, a null time, all rows of a second together
+    df = spark.createDataFrame([("a", float(k // 2)) for k in range(100)] + [(None, float(k)) for k in range(30)] + [("a", None)],
+                               "k string, t double")
+    got = W.chunked(df, "k", "t", rows=10).collect()
+    assert len(got) == 131
+    chunks: dict = {}
+    for r in got:
+        if r.t is not None:
+            chunks.setdefault((r.k, r._b), []).append(r.t)
+    assert all(len(c) <= 11 for c in chunks.values()) and len(chunks) == 10 + 3
+    for k in ("a", None):
+        spans = sorted((b, min(c), max(c)) for (key, b), c in chunks.items() if key == k)
+        assert all(x[2] < y[1] for x, y in zip(spans, spans[1:]))
+    sums = W.trailing(df, "k", "t", {"3s": 3}, {"n": F.lit(1)}, rows=10)
+    assert {(r.k, r.t): r.n_3s for r in sums.collect()} == {
+        ("a", None): None, **{("a", float(t)): 2 * min(t + 1, 4) for t in range(50)}, **{(None, float(t)): min(t + 1, 4) for t in range(30)}}
+
+
 def test_attribution_windows(spark):
     import datetime as dt
     t = lambda m: dt.datetime(2024, 1, 1, 10, 0) + dt.timedelta(minutes=m)
