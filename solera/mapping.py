@@ -31,7 +31,7 @@ in the driver data, so ``transaccion_id`` is not a key (check E5 reports it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --- fixed values of the mapping (FIXTURES.md §3) ---------------------------------------
@@ -128,20 +128,23 @@ class Lake:
             F.lit(None).cast("date").alias("fecha_alta"),
         )
 
-    def fact(self, with_customer: bool = True) -> DataFrame:
+    def fact(self, with_customer: bool = True, with_price: bool = True) -> DataFrame:
         """Transaction fact at line-item grain.
 
         ``with_customer=False`` skips the orders join; it is the same fact minus ``cliente_id``
         because ``o_orderkey`` is the key of ``orders`` (a left join on a key neither adds nor
         drops rows).  Queries that do not need the client use it and save a full shuffle of the
-        line items.
+        line items.  ``with_price=False`` skips ``part`` (its key is ``p_partkey``) in the same way:
+        no energy type, price or amount.
         """
         li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                          "l_quantity", "l_returnflag", "l_shipdate")
-        part = self.raw("part").select("p_partkey", "p_type", "p_retailprice")
-        types = self.dim_tipo_energia().select("tipo_energia_id", F.col("codigo").alias("p_type"))
-        part_t = part.join(types, "p_type", "left")
-        df = li.join(part_t, li.l_partkey == part_t.p_partkey, "left")
+        df = li
+        if with_price:
+            part = self.raw("part").select("p_partkey", "p_type", "p_retailprice")
+            types = self.dim_tipo_energia().select("tipo_energia_id", F.col("codigo").alias("p_type"))
+            part_t = part.join(types, "p_type", "left")
+            df = li.join(part_t, li.l_partkey == part_t.p_partkey, "left")
         is_buy = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
         if with_customer:
             o = self.raw("orders").select("o_orderkey", "o_custkey")
@@ -153,7 +156,7 @@ class Lake:
             (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long").alias("transaccion_id"),
             fecha.alias("fecha"),
             F.date_format(fecha, "yyyyMMdd").cast("int").alias("fecha_id"),
-            F.col("tipo_energia_id"),
+            *([F.col("tipo_energia_id")] if with_price else []),
             F.when(is_buy, F.col("l_suppkey")).alias("proveedor_id"),
         ]
         if with_customer:
@@ -161,8 +164,7 @@ class Lake:
         cols += [
             F.when(is_buy, F.lit("compra")).otherwise(F.lit("venta")).alias("tipo"),
             qty.alias("cantidad_mwh"),
-            price.alias("precio_usd"),
-            (qty * price).alias("monto_usd"),
+            *([price.alias("precio_usd"), (qty * price).alias("monto_usd")] if with_price else []),
             F.year(fecha).alias("anio"),
             F.month(fecha).alias("mes"),
         ]
@@ -248,11 +250,3 @@ def usage_from_events(lk: Lake) -> DataFrame:
     svc = F.create_map(*[F.lit(x) for kv in SERVICE_BY_EVENT.items() for x in kv])[F.col("event_type")]
     return lk.raw("events").select(F.col("user_id").alias("account"), svc.alias("service"),
                                    F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,6)").alias("quantity"))
-
-
-def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    return Lake(spark, sf_dir)
-
-
-def bool_col(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))

@@ -1,9 +1,8 @@
 """FX notification analytics (G24-G30) and conversion attribution.
 
 Exact percentiles and AUC are computed over a *histogram* of the value (``groupBy(value)``
-with map-side partial counts), so the only ordered, single-task step runs over the distinct
-values -- scores carry two decimals and latencies whole seconds, so that set is bounded by
-the value precision, not by the row count.
+with map-side partial counts), whose running counts go over ranges of values and then over one
+row per range (``running_counts``); a continuous score has as many values as rows.
 """
 
 from __future__ import annotations
@@ -11,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solera.functions.scalar import epoch_seconds, exact_ratio, rate_pct
+from solera.functions.scalar import epoch_seconds, exact_ratio, rate_pct, scaled_int
 from solera.operators.features import CHUNK_ROWS, asof_fill
+from solera.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 ATTRIBUTION_MINUTES = 30
@@ -39,19 +39,35 @@ def recommendation_mix(notif: DataFrame) -> DataFrame:
         "tipo", "n", rate_pct(F.col("n"), total).alias("pct"))
 
 
+def running_counts(hist: DataFrame, col: str, count: str, group: list[str] | None = None) -> DataFrame:
+    """``hist`` (one row per value) with ``_before`` (the sum of ``count`` over smaller values of
+    the group) and ``_n`` (the group's sum).  Values are dealt out by range and written; sums run
+    within a range, then over one row per range, so no task sees all distinct values."""
+    group = group or []
+    h = materialize(hist.repartitionByRange(*group, col).withColumn("_range", F.spark_partition_id()), "value_ranges")
+    w = Window.partitionBy(*group, "_range").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    per = h.groupBy(*group, "_range").agg(F.sum(count).alias("_c"))
+    wr = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_range").alias("_of_range"),
+                     F.coalesce(F.sum("_c").over(wr), F.lit(0)).alias("_offset"), F.sum("_c").over(Window.partitionBy(*group)).alias("_n"))
+    same = h["_range"] == per["_of_range"]
+    for g in group:
+        same = same & h[g].eqNullSafe(per[f"_of_{g}"])
+    local = F.coalesce(F.sum(count).over(w), F.lit(0))
+    return h.join(per, same).select(*hist.columns, (local + F.col("_offset")).alias("_before"), "_n")
+
+
 def discrete_percentiles(df: DataFrame, col: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
     """Exact lower percentiles: the smallest value whose cumulative count reaches
     ``ceil(p * n)`` (p = 0 -> the minimum).  Computed on the value histogram."""
     group = group or []
     hist = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    wn = Window.partitionBy(*group)
-    cum = hist.select(*group, col, F.sum("_c").over(w).alias("_cum"), F.sum("_c").over(wn).alias("_n"))
+    cum = running_counts(hist, col, "_c", group)
     # integer arithmetic for the rank (basis points) so no float rounding moves a boundary
-    probs_df = df.sparkSession.createDataFrame([(float(p), int(round(p * 10000))) for p in probs], "p double, _bp long")
-    need = F.greatest(F.lit(1), ((F.col("_bp") * F.col("_n") + 9999) / 10000).cast("long"))
-    return (cum.join(F.broadcast(probs_df), F.col("_cum") >= need)
-            .groupBy(*group, "p").agg(F.min(col).alias("valor")))
+    asked = F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(int(round(p * 10000))).cast("long").alias("_bp")) for p in probs]))
+    need = F.greatest(F.lit(1), F.floor((F.col("_bp") * F.col("_n") + 9999) / 10000))
+    return (cum.select("*", asked).where((F.col("_before") < need) & (need <= F.col("_before") + F.col("_c")))
+            .select(*group, "p", F.col(col).alias("valor")))
 
 
 def score_percentiles(notif: DataFrame, probs=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
@@ -60,13 +76,14 @@ def score_percentiles(notif: DataFrame, probs=(0.05, 0.25, 0.5, 0.75, 0.95)) ->
 
 
 def active_users(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """DAU / WAU / MAU -- distinct users per day, ISO week and month."""
-    parts = []
-    for grain, unit in (("dia", "day"), ("semana", "week"), ("mes", "month")):
-        parts.append(events.groupBy(F.date_trunc(unit, F.col(ts)).cast("date").alias("periodo"))
-                     .agg(F.count_distinct(user).alias("usuarios_activos"))
-                     .select(F.lit(grain).alias("granularidad"), "periodo", "usuarios_activos"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """DAU / WAU / MAU -- distinct users per day, ISO week and month, all three from one
+    pass over the distinct (user, day) pairs."""
+    days = events.select(user, F.to_date(ts).alias("_d")).distinct()
+    grains = F.inline(F.array(*[F.struct(F.lit(g).alias("granularidad"), F.trunc("_d", unit).alias("periodo"))
+                                for g, unit in (("semana", "week"), ("mes", "month"))],
+                              F.struct(F.lit("dia").alias("granularidad"), F.col("_d").alias("periodo"))))
+    return (days.select(user, grains).distinct().groupBy("granularidad", "periodo")
+            .agg(F.count(user).alias("usuarios_activos")))
 
 
 def ab_uplift(notif: DataFrame, arm_col: str = "brazo", ts: str = "enviada_en") -> DataFrame:
@@ -111,22 +128,20 @@ def pnl_change(portfolios: DataFrame, ticks: DataFrame, rate_pair: int = 0, days
 
 
 def eval_scores(scored: DataFrame, score: str = "score_confianza", label: str = "convertida",
-                ts: str = "enviada_en", holdout_days: int = 14, k: int = 100) -> DataFrame:
+                ts: str = "enviada_en", holdout_days: int = 14, k: int = 100, id_col: str = "notificacion_id") -> DataFrame:
     """Temporal holdout (the last ``holdout_days`` days before the newest row) and, on
     it, rank-sum AUC (ties get the average rank), precision@k and recall@k (top k by score,
-    ties by id).  Ranks come from the score histogram; top-k is ``TakeOrderedAndProject``."""
+    ties by ``id_col``).  Ranks come from the score histogram; top-k is ``TakeOrderedAndProject``."""
     newest = scored.agg(F.max(ts)).scalar()
     test = scored.where(F.col(ts) >= newest - F.make_interval(days=F.lit(holdout_days)))
     y = F.col(label).cast("int")
     hist = test.groupBy(score).agg(F.count(F.lit(1)).alias("c"), F.sum(y).alias("pos"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist.select("*", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
-    two_avg_rank = 2 * F.col("before") + F.col("c") + 1          # twice the average rank of a tie group
+    ranked = running_counts(hist, score, "c")
+    two_avg_rank = 2 * F.col("_before") + F.col("c") + 1          # twice the average rank of a tie group
     sums = ranked.agg(F.sum(F.col("pos") * two_avg_rank).alias("rank_sum2"), F.sum("pos").alias("n_pos"),
                       F.sum("c").alias("n"))
     n_pos, n = F.col("n_pos"), F.col("n")
     auc = exact_ratio(F.col("rank_sum2") - n_pos * (n_pos + 1), 2 * n_pos * (n - n_pos), 9)
-    id_col = [c for c in scored.columns if c.endswith("_id")][0]
     top = test.orderBy(F.col(score).desc(), F.col(id_col)).limit(k)
     top_pos = top.agg(F.sum(y)).scalar()
     return sums.select(n.alias("n_test"), n_pos.alias("n_pos"), auc.alias("auc"),
@@ -146,7 +161,8 @@ def slo_report(decisions: DataFrame, p99_slo_s: int = SLO_P99_SECONDS) -> DataFr
     p99 = pct.where(F.col("p") == 0.99).agg(F.max("valor")).scalar()
     return sent.agg(F.count(F.lit(1)).alias("enviadas"),
                     F.count_if(F.col("latencia_s") > p99_slo_s).alias("fuera_slo"),
-                    F.round(F.sum(F.when(F.col("convertida"), F.col("precio_referencia") * SPREAD_RATE)), 6).alias("ingreso_atribuido")
+                    exact_ratio(F.sum(F.when(F.col("convertida"), scaled_int("precio_referencia", 2))) * round(SPREAD_RATE * 10**6),
+                                F.lit(10**8), 6).alias("ingreso_atribuido")
                     ).select("*", p50.alias("p50_s"), p99.alias("p99_s"))
 
 

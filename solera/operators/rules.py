@@ -135,50 +135,34 @@ def decide(notif: DataFrame, portfolios: DataFrame, tz: str = DEFAULT_TZ, min_sc
             .drop("_prefs"))
     group = ["cliente_id", "_day"]
     eligible = base.where(F.col("_score_ok") & F.col("_optin_ok")).select(
-        *group, "_ord", "_s", "tipo", "par_id", "notificacion_id")
-    sent_t = "struct<s:double,tipo:string,par_id:int>"
+        *group, "_ord", "_s", "tipo", "par_id")
     opp = F.create_map(*[F.lit(x) for kv in OPPOSITE.items() for x in kv])
 
     def contradicted(acc: Column) -> Column:
         return F.exists(acc, lambda x: (x["par_id"] == F.col("par_id")) & (x["tipo"] == opp[F.col("tipo")])
                         & (x["s"] >= F.col("_s") - minutes * 60))
 
-    state = None      # per group: last sent order and the sent list
-    picks = []
+    state = None      # per group: the order of the last sent and the list of the sent
     ensure_checkpoint_dir(notif.sparkSession)
     for _ in range(cap):
         cand = eligible
         if state is not None:
-            cand = cand.join(state, group, "left")
-            cand = cand.where(F.col("_last").isNull() | (F.col("_ord") > F.col("_last")))
-            cand = cand.where(~F.coalesce(contradicted(F.col("_acc")), F.lit(False)))
-        pick = (cand.groupBy(*group)
-                .agg(F.min_by(F.struct("_ord", "_s", "tipo", "par_id", "notificacion_id"), F.col("_ord")).alias("_p")))
-        pick = pick.select(*group, F.col("_p._ord").alias("_ord"), F.col("_p._s").alias("_s"),
-                           F.col("_p.tipo").alias("tipo"), F.col("_p.par_id").alias("par_id"),
-                           F.col("_p.notificacion_id").alias("notificacion_id"))
-        picks.append(pick)
-        new = pick.select(*group, F.col("_ord").alias("_last"),
-                          F.array(F.struct(F.col("_s").alias("s"), F.col("tipo"), F.col("par_id").cast("int").alias("par_id")))
-                          .alias("_acc"))
+            # cut the lineage between passes: pass k would otherwise plan passes 1..k-1 again
+            # inside its own plan.  The state is one small row per (user, day).
+            state = state.checkpoint(eager=True)
+            cand = cand.join(state, group).where((F.col("_ord") > F.col("_last")) & ~F.coalesce(contradicted(F.col("_acc")), F.lit(False)))
+        pick = cand.groupBy(*group).agg(F.min_by(F.struct("_ord", "_s", "tipo", "par_id"), F.col("_ord")).alias("_p"))
+        sent = F.struct(F.col("_p._ord").alias("o"), F.col("_p._s").alias("s"), F.col("_p.tipo").alias("tipo"),
+                        F.col("_p.par_id").alias("par_id"))
+        new = pick.select(*group, F.col("_p._ord").alias("_nl"), F.array(sent).alias("_na"))
         if state is None:
-            state = new
-        else:
-            state = (state.join(new.withColumnRenamed("_last", "_nl").withColumnRenamed("_acc", "_na"), group, "full")
-                     .select(*group, F.coalesce("_nl", "_last").alias("_last"),
-                             F.concat(F.coalesce("_acc", F.array().cast(f"array<{sent_t}>")),
-                                      F.coalesce("_na", F.array().cast(f"array<{sent_t}>"))).alias("_acc")))
-        # cut the lineage after every pass: pass k would otherwise re-plan passes 1..k-1
-        # inside its own plan.  The state is one small row per (user, day).
-        state = state.checkpoint(eager=True)
-    sent = picks[0]
-    for p in picks[1:]:
-        sent = sent.unionByName(p)
-    sent_list = (sent.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("_ord").alias("o"), F.col("_s").alias("s"), "tipo", F.col("par_id").cast("int").alias("par_id"))))
-        .alias("_sent")))
-    # the sent list per group has at most ``cap`` entries, so collect_list is bounded
-    res = base.join(sent_list, group, "left").withColumn("_sent", F.coalesce("_sent", F.array()))
+            state = new.withColumnsRenamed({"_nl": "_last", "_na": "_acc"})
+        else:       # every group with a candidate has a state since the first pass
+            state = (state.join(new, group, "left")
+                     .select(*group, F.coalesce("_nl", "_last").alias("_last"), F.concat("_acc", F.coalesce("_na", F.array())).alias("_acc")))
+    # the sent list per group has at most ``cap`` entries
+    res = (base.join(state.select(*group, F.col("_acc").alias("_sent")), group, "left")
+           .withColumn("_sent", F.coalesce("_sent", F.array())))
     before = F.filter(F.col("_sent"), lambda x: x["o"] < F.col("_ord"))
     n_before = F.size(before)
     contra = F.exists(before, lambda x: (x["par_id"] == F.col("par_id")) & (x["tipo"] == opp[F.col("tipo")])

@@ -68,12 +68,12 @@ def _g1(lk: Lake) -> DataFrame:
 
 @query("g5_monthly_balance")
 def _g5(lk: Lake) -> DataFrame:
-    return A.monthly_balance(lk.fact(with_customer=False))
+    return A.monthly_balance(lk.fact(with_customer=False, with_price=False))
 
 
 @query("g6_duplicate_transactions")
 def _g6(lk: Lake) -> DataFrame:
-    return A.duplicates(lk.fact(with_customer=False), "transaccion_id")
+    return A.duplicates(lk.fact(with_customer=False, with_price=False), "transaccion_id")
 
 
 @query("g7_vw_monthly_summary")
@@ -205,13 +205,13 @@ def _b5(lk: Lake) -> DataFrame:
 
 @query("b6_sales_last_days")
 def _b6(lk: Lake) -> DataFrame:
-    f = lk.fact(with_customer=False).where(F.col("tipo") == "venta")
+    f = lk.fact(with_customer=False, with_price=False).where(F.col("tipo") == "venta")
     return B.last_days(f, "fecha", 30).groupBy("fecha").agg(F.count(F.lit(1)).alias("ventas"))
 
 
 @query("b13_date_dim")
 def _b13(lk: Lake) -> DataFrame:
-    f = lk.fact(with_customer=False)
+    f = lk.fact(with_customer=False, with_price=False)
     return B.date_dim(f.agg(F.min("fecha")).scalar(), f.agg(F.max("fecha")).scalar())
 
 
@@ -337,7 +337,7 @@ def _r9(c: str) -> F.Column:
 
 @query("w1_date_gaps")
 def _w1(lk: Lake) -> DataFrame:
-    return Q.date_gaps(lk.fact(with_customer=False).select("fecha"), "fecha", 7)
+    return Q.date_gaps(lk.fact(with_customer=False, with_price=False).select("fecha"), "fecha", 7)
 
 
 @query("w4_rolling_volatility")
@@ -570,7 +570,7 @@ def _a18t(lk: Lake) -> DataFrame:
 
 @query("a18_retention_fact")
 def _a18f(lk: Lake) -> DataFrame:
-    return GV.apply_retention(lk.fact(with_customer=False), "fecha", FACT_RETENTION)[1]
+    return GV.apply_retention(lk.fact(with_customer=False, with_price=False), "fecha", FACT_RETENTION)[1]
 
 
 @query("a20_checksum_fact")
@@ -580,7 +580,7 @@ def _a20(lk: Lake) -> DataFrame:
 
 @query("h_seasonality")
 def _hs(lk: Lake) -> DataFrame:
-    days = lk.fact(with_customer=False).select("fecha").distinct()
+    days = lk.fact(with_customer=False, with_price=False).select("fecha").distinct()
     return days.select("fecha", F.round(seasonality("fecha"), 9).alias("estacionalidad"))
 
 
