@@ -1,7 +1,9 @@
 """Quality rules: base rules and a hashed n-gram log-likelihood ratio (operator 3, DataFrame
 functions only).
 
-Words and word pairs are hashed into ``BUCKETS`` buckets.  Two multinomials over the buckets are
+Words and word pairs are hashed into ``BUCKETS`` buckets, or as many doublings of that as leave
+at most ``LOAD`` bytes of text a bucket: the hash space grows with the corpus, so that the ratios
+and the weight of the prior are alike at every size.  Two multinomials over the buckets are
 counted: the raw corpus (every document) and the trusted target (documents that ``labels`` marks
 with quality 1, at most ``TRUSTED`` of them in the order of a hash of the id; the bound lets
 their ids be broadcast).  A document's score is the mean over its n-grams of
@@ -9,9 +11,10 @@ log(target / raw), so that length does not matter; it is kept if no base rule fa
 score reaches ``THRESHOLD``.  The log ratios are rounded to 1/10000, so sums are exact and every
 run decides alike.
 
-The corpus is scanned twice (counting, scoring) and the text is never shuffled: counts are
-combined per task, at most one row a bucket; the ratios are one array of ``BUCKETS`` numbers,
-whatever the corpus.
+The corpus is scanned for its size, for counting and for scoring, and the text is never shuffled:
+counts are combined per task, at most one row a bucket.  For scoring the n-grams are joined with
+the ratios of their buckets, broadcast up to ``BROADCAST`` buckets and shuffled beyond (a frequent
+bucket is split by AQE), and summed per row; the rule's counts travel with one extra entry a row.
 
 Defined cases: a null text has no words; a document without n-grams has score 0 (and fails the
 base rules); labels that conflict are not trusted; without trusted documents every score is 0; a
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 
 from solera.llm.common import text_of, words_of, written
 
-BUCKETS = 1 << 16
+#: Least number of buckets, and bytes of text a bucket at the most (some 20 n-grams).
+BUCKETS, LOAD = 1 << 16, 64
+#: Ratios of so many buckets are broadcast.
+BROADCAST = 1 << 20
 TRUSTED = 32768
 #: Added to every bucket's count.
 PRIOR = 1.0
@@ -44,26 +50,31 @@ def _hashed(docs: DataFrame, *keep: str | Column) -> DataFrame:
     return docs.select(*keep, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
 
 
-#: Buckets of the words and word pairs of ``wh``.
-_GRAMS = (f"concat(transform(wh, h -> int(pmod(h, {BUCKETS}))), if(size(wh) < 2, array(),"
-          f" transform(sequence(0, size(wh) - 2), i -> int(pmod(xxhash64(wh[i], wh[i + 1]), {BUCKETS})))))")
+def _grams(buckets: int) -> str:
+    """Buckets of the words and word pairs of ``wh``."""
+    return (f"concat(transform(wh, h -> pmod(h, {buckets})), if(size(wh) < 2, array(),"
+            f" transform(sequence(0, size(wh) - 2), i -> pmod(xxhash64(wh[i], wh[i + 1]), {buckets}))))")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior: float = PRIOR) -> list[int]:
-    """log(target / raw) of every bucket in units of 1 / SCALE; zeros without trusted documents."""
+def n_buckets(docs: DataFrame, load: int = LOAD) -> int:
+    size, n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKETS
+    while n * load < size:
+        n *= 2
+    return n
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
+    """(bucket, ratio): log(target / raw) of every bucket that the corpus has, in units of
+    1 / SCALE; zeros without trusted documents."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
     good = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("is_trusted", F.lit(1).cast("long"))
     d = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(0).cast("long")))
-    grams = _hashed(d, "is_trusted").select("is_trusted", F.explode(F.expr(_GRAMS)).alias("bucket"))
+    grams = _hashed(d, "is_trusted").select("is_trusted", F.explode(F.expr(_grams(buckets))).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("target")), "quality-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
-    out = [0] * BUCKETS
-    if target:
-        share = lambda c, total: F.log((F.col(c) + prior) / (total + prior * BUCKETS))
-        ratio = F.round((share("target", target) - share("raw", raw)) * SCALE).cast("int")
-        for bucket, r in counts.select("bucket", ratio).collect():  # BUCKETS rows at the most
-            out[bucket] = r
-    return out
+    share = lambda c, total: F.log((F.col(c) + prior) / (total + prior * buckets))
+    ratio = F.round((share("target", target) - share("raw", raw)) * SCALE) if target else F.lit(0)
+    return counts.select("bucket", ratio.cast("int").alias("ratio"))
 
 
 def _base(d: DataFrame) -> DataFrame:
@@ -88,15 +99,19 @@ def _base(d: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, load: int = LOAD, broadcast: int = BROADCAST, **kw) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, score."""
-    ratios = log_ratios(docs, labels, **kw)
-    # a constant array: folded once, sent with the tasks
-    table = F.split(F.lit(" ".join(map(str, ratios))), " ").cast("array<int>")
-    d = _hashed(docs, "doc_id", "text").withColumn("grams", F.expr(_GRAMS))
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.element_at(table, g + 1))
-    d = d.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams") / SCALE).otherwise(0.0)).drop("grams")
-    d = _base(d)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+    buckets = n_buckets(docs, load)
+    ratios = log_ratios(docs, labels, buckets, **kw)
+    found = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    # rows of one key are alike; one entry a row, below all buckets, carries what the rules found
+    d = _base(_hashed(docs, "doc_id", "text")).select(
+        F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("key"), F.struct(*found).alias("found"), F.expr(_grams(buckets)).alias("grams"))
+    own = F.array(-1 - F.pmod("key", F.lit(buckets)))
+    d = d.select("key", "found", F.explode(F.concat(own, "grams")).alias("bucket")).withColumn("found", F.when(F.col("bucket") < 0, F.col("found")))
+    d = d.join(F.broadcast(ratios) if buckets <= broadcast else ratios.hint("merge"), "bucket", "left")
+    d = d.groupBy("key").agg(F.max("found").alias("found"), F.count("found").cast("int").alias("rows"), F.sum("ratio").alias("total"), F.count("ratio").alias("grams"))
+    d = d.withColumn("score", F.when(F.col("grams") > 0, F.col("total") / F.col("grams") / SCALE).otherwise(0.0))
+    d = d.select(F.explode(F.expr("array_repeat(found, rows)")).alias("found"), "score").select("found.*", "score")
+    return d.select(*found, (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")

@@ -179,6 +179,18 @@ def test_quality_against_brute_force(spark):
         assert got["kept"] == (not got["base_failed"] and got["score"] >= quality.THRESHOLD)
 
 
+def test_quality_hash_space_grows(spark, docs):
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    big = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("x " * (1 << 22)).alias("text"))
+    assert quality.n_buckets(big) == 2 * quality.BUCKETS
+    # eight times the buckets, ratios broadcast or shuffled: the same rows, and n-grams kept apart
+    load = quality.LOAD // 8
+    assert quality.n_buckets(docs, load) == 8 * quality.BUCKETS
+    a, b = (quality.judge(docs, labels, load=load, broadcast=n).orderBy("doc_id").collect() for n in (1 << 30, 0))
+    assert a == b and len(a) == docs.count()
+    assert quality.log_ratios(docs, labels, 8 * quality.BUCKETS).count() > 2 * quality.BUCKETS
+
+
 # ---------------------------------------------------------------- 4 line dedup
 def _dedup_brute(texts, t):
     """Delete every line that lies in a run of whole lines of t words or more that stands earlier."""
