@@ -4,17 +4,17 @@ functions only).
 Words and word pairs are hashed into ``BUCKETS`` buckets, or as many doublings of that as leave
 at most ``LOAD`` bytes of text a bucket: the hash space grows with the corpus, so that the ratios
 and the weight of the prior are alike at every size.  Two multinomials over the buckets are
-counted: the raw corpus (every document) and the trusted target (documents that ``labels`` marks
-with quality 1, at most ``TRUSTED`` of them in the order of a hash of the id; the bound lets
-their ids be broadcast).  A document's score is the mean over its n-grams of
+counted: the raw corpus (every document) and the trusted target (all documents
+that ``labels`` marks with quality 1).  A document's score is the mean over its n-grams of
 log(target / raw), so that length does not matter; it is kept if no base rule fails and the
 score reaches ``THRESHOLD``.  The log ratios are rounded to 1/10000, so sums are exact and every
 run decides alike.
 
-The corpus is scanned for its size, for counting and for scoring, and the text is never shuffled:
-counts are combined per task, at most one row a bucket.  For scoring the n-grams are joined with
-the ratios of their buckets, broadcast up to ``BROADCAST`` buckets and shuffled beyond (a frequent
-bucket is split by AQE), and summed per row; the rule's counts travel with one extra entry a row.
+The corpus is scanned for its size, for counting and for scoring, and the text is shuffled at
+most once, to join the trusted ids when Spark finds them too many to broadcast: counts are
+combined per task, at most one row a bucket.  For scoring the n-grams are joined with the ratios
+of their buckets, broadcast up to ``BROADCAST`` buckets and shuffled beyond (a frequent bucket is
+split by AQE), and summed per row; the rule's counts travel with one extra entry a row.
 
 Defined cases: a null text has no words; a document without n-grams has score 0 (and fails the
 base rules); labels that conflict are not trusted; without trusted documents every score is 0; a
@@ -33,7 +33,6 @@ from solera.llm.common import text_of, words_of, written
 BUCKETS, LOAD = 1 << 16, 64
 #: Ratios of so many buckets are broadcast.
 BROADCAST = 1 << 20
-TRUSTED = 32768
 #: Added to every bucket's count.
 PRIOR = 1.0
 #: Least mean log ratio of a document that is kept.
@@ -63,12 +62,13 @@ def n_buckets(docs: DataFrame, load: int = LOAD) -> int:
     return n
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float = PRIOR) -> DataFrame:
     """(bucket, ratio): log(target / raw) of every bucket that the corpus has, in units of
     1 / SCALE; zeros without trusted documents."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    good = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("is_trusted", F.lit(1).cast("long"))
-    d = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(0).cast("long")))
+    # written, so that Spark knows its size and broadcasts the ids as long as they are few
+    good = written(good.select("doc_id", F.lit(1).cast("long").alias("is_trusted")), "quality-trusted")
+    d = docs.select("doc_id", "text").join(good, "doc_id", "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(0).cast("long")))
     grams = _hashed(d, "is_trusted").select("is_trusted", F.explode(F.expr(_grams(buckets))).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("target")), "quality-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()

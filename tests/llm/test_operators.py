@@ -191,6 +191,11 @@ def test_quality_hash_space_grows(spark, docs):
     assert quality.log_ratios(docs, labels, 8 * quality.BUCKETS).count() > 2 * quality.BUCKETS
 
 
+def test_quality_counts_every_trusted_row(spark, docs):
+    labels = docs.select("doc_id").union(spark.range(1 << 40, (1 << 40) + 200000)).withColumn("quality", F.lit(1))
+    assert quality.log_ratios(docs, labels, quality.BUCKETS).filter("ratio != 0").count() == 0
+
+
 # ---------------------------------------------------------------- 4 line dedup
 def _dedup_brute(texts, t):
     """Delete every line that lies in a run of whole lines of t words or more that stands earlier."""
