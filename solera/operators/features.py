@@ -245,9 +245,11 @@ def ema(ticks: DataFrame, n: int = EMA_SPAN, rows: int = CHUNK_ROWS) -> DataFram
     Two-level scan: (1) per (pair, chunk) the zero-started EMA of the chunk's ticks
     (``applyInPandas``; a chunk is bounded by its rows); (2) per pair a scan over the
     chunk summaries (one row per chunk) gives each chunk's incoming EMA; (3) ema =
-    local + (1-alpha)^k * incoming.  Nothing holds a whole pair in one task."""
+    local + (1-alpha)^k * incoming.  Nothing holds a whole pair in one task.  A tick without a
+    time has a NULL ema and counts for no other."""
     alpha = 2.0 / (n + 1)
-    tf = chunked(tick_frame(ticks).select("tick_id", "par_id", "t", "mid"), "par_id", "t", rows)
+    every = tick_frame(ticks).select("tick_id", "par_id", "t", "mid")
+    tf = chunked(every.where(F.col("t").isNotNull()), "par_id", "t", rows)
     local = (tf.select("tick_id", "par_id", "_b", "t", "mid").groupBy("par_id", "_b")
              .applyInPandas(_local_ema(alpha), "tick_id long, par_id int, _b long, t double, mid double, k double, local double"))
     summ = (local.groupBy("par_id", "_b")
@@ -260,8 +262,10 @@ def ema(ticks: DataFrame, n: int = EMA_SPAN, rows: int = CHUNK_ROWS) -> DataFram
     incoming = summ.groupBy("par_id").applyInPandas(_bucket_scan(alpha), "par_id int, _b long, e_in double")
     incoming = incoming.select(F.col("par_id").alias("_par"), F.col("_b").alias("_bb"), "e_in")
     res = local.join(incoming, local["par_id"].eqNullSafe(incoming["_par"]) & (local["_b"] == incoming["_bb"]))
-    return res.select("tick_id", "par_id", "t", "mid",
-                      (F.col("local") + F.pow(F.lit(1.0 - alpha), F.col("k")) * F.col("e_in")).alias("ema"))
+    res = res.select("tick_id", "par_id", "t", "mid",
+                     (F.col("local") + F.pow(F.lit(1.0 - alpha), F.col("k")) * F.col("e_in")).alias("ema"))
+    untimed = every.where(F.col("t").isNull()).select(*[F.col(c).cast(res.schema[c].dataType) for c in ("tick_id", "par_id", "t", "mid")])
+    return res.unionByName(untimed.withColumn("ema", F.lit(None).cast("double")))
 
 
 def ema_distance(ticks: DataFrame, n: int = EMA_SPAN, rows: int = CHUNK_ROWS) -> DataFrame:

@@ -105,9 +105,11 @@ def rule_opt_in(df: DataFrame, portfolios: DataFrame) -> DataFrame:
 def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, rows: int = CHUNK_ROWS) -> DataFrame:
     """S4 batch twin: mark every n-th tick of each pair (by time, then id).  The position in
     the pair is the position inside a (pair, chunk) plus the ticks of earlier chunks
-    (a running sum over the small chunk table), so no pair sits in one task."""
+    (a running sum over the small chunk table), so no pair sits in one task.  A tick without a time
+    has no position (NULL) and marks nothing."""
     from pyspark.sql import Window
-    t = chunked(ticks.select("tick_id", "par_id", "capturado_en", epoch_seconds("capturado_en").alias("t")), "par_id", "t", rows)
+    every = ticks.select("tick_id", "par_id", "capturado_en", epoch_seconds("capturado_en").alias("t"))
+    t = chunked(every.where(F.col("t").isNotNull()), "par_id", "t", rows)
     w = Window.partitionBy("par_id", "_b").orderBy("t", "tick_id")
     local = t.withColumn("_rn", F.row_number().over(w))
     per_b = t.groupBy("par_id", "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -116,8 +118,10 @@ def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, rows: int = CHUNK_RO
     offs = offs.select(F.col("par_id").alias("_par"), F.col("_b").alias("_bb"), "_off")
     pos = (local.join(offs, local["par_id"].eqNullSafe(offs["_par"]) & (local["_b"] == offs["_bb"]))
            .withColumn("posicion", F.col("_rn") + F.col("_off")))
-    return pos.select("tick_id", "par_id", "capturado_en", "posicion",
-                      ((F.col("posicion") % n) == 0).alias("evalua"))
+    untimed = every.where(F.col("t").isNull()).withColumn("posicion", F.lit(None).cast("long"))
+    return (pos.select("tick_id", "par_id", "capturado_en", "posicion")
+            .unionByName(untimed.select("tick_id", "par_id", "capturado_en", "posicion"))
+            .withColumn("evalua", (F.col("posicion") % n) == 0))
 
 
 def decide(notif: DataFrame, portfolios: DataFrame, tz: str = DEFAULT_TZ, min_score: float = MIN_SCORE,

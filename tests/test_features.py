@@ -32,6 +32,18 @@ def test_ema_independent_of_chunk_size(spark):
     assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
 
 
+def test_ticks_without_a_time_stay_and_count_for_no_other(spark):
+    from solera.operators import rules as R
+    ticks = Lake(spark, SF001).ticks()
+    lost = {r["tick_id"] for r in ticks.orderBy("tick_id").limit(3).collect()}
+    gone = F.col("tick_id").isin(*lost)
+    holed = ticks.withColumn("capturado_en", F.when(~gone, F.col("capturado_en")))
+    for made, col in ((lambda t: W.ema_distance(t, rows=9), "distancia_ema"), (lambda t: R.trigger_every(t, rows=9), "posicion")):
+        got, want = (dict(made(t).select("tick_id", col).collect()) for t in (holed, ticks.where(~gone)))
+        assert got.keys() == want.keys() | lost and all(got[k] is None for k in lost)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_trailing_sums_independent_of_chunk_size(spark):
     lk = Lake(spark, SF001)
     cols = ["tick_id", "n_5m", "mid_5m", "n_24h", "mid_24h"]
