@@ -1,5 +1,5 @@
 """Training-data operators: mixing, language ID, quality, line dedup, sharding, toxicity, packing,
-fingerprints, PII and SimHash near-dedup.
+fingerprints, PII, SimHash near-dedup, cross-tokenizer alignment, license scans and hard negatives.
 
 Each module holds one operator with a general interface; ``queries`` registers one
 ``opN_<name>`` query per operator over its whole table, with the SQL where SQL can state it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solera.llm import language, line_dedup, mixing, packing, pii, quality, sharding, simhash, sketch, toxicity
+from solera.llm import alignment, language, licenses, line_dedup, mixing, negatives, packing, pii, quality, sharding, simhash, sketch, toxicity
 from solera.llm.common import table
 
 
@@ -57,11 +57,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pareto_mix, op2_crf_language, op3_ngram_quality, op4_line_winnowing, op5_label_propagation, op6_pu_toxicity,
-    op7_best_fit_packing, op8_scaled_sketch, op9_feistel_pii, op10_simhash_near_dedup)}
+    op7_best_fit_packing, op8_scaled_sketch, op9_feistel_pii, op10_simhash_near_dedup, op11_cross_tokenizer,
+    op12_license_scan, op13_hard_negatives)}
 
 SQL = {
     "op1_pareto_mix": mixing.SQL,
     "op4_line_winnowing": line_dedup.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
