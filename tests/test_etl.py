@@ -3,7 +3,7 @@ same-hour rerun; then the whole batch run with reconciliation."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from solera.mapping import Lake
 from solera.operators import transform as B
 from solera.plans import etl

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from solera.mapping import Lake
 from solera.operators import features as W
 from solera.operators import fx as FX

@@ -6,7 +6,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conftest import SF001  # noqa: E402
+from paths import SF001  # noqa: E402
 import oracle_check  # noqa: E402
 
 

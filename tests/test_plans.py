@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from solera.mapping import Lake
 from solera.operators import analytics as A
 from solera.operators import features as W

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pandas as pd
 
-from conftest import SF001
+from paths import SF001
 from solera.mapping import Lake
 from solera.operators import rules as R
 

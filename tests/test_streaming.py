@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from solera.mapping import Lake
 from solera.operators import fx as FX
 from solera.operators import rules as R
