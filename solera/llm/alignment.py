@@ -32,6 +32,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ BUCKET_KEYS = 1 << 14
 #: Chunks in a leaf of the tree of vectors, and vectors added up at a time.
 FAN = 32
 #: Pieces whose alignment a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SHIFT = 32
@@ -94,40 +95,37 @@ class Aligner:
         self.shown_len = np.fromiter(map(len, self.shown), np.int64, len(self.shown))
         self.known: dict[str, tuple] = {}
 
-    def encode_a(self, pieces: list[str]) -> list[np.ndarray]:
-        """A's ids of a space and each piece.  Pieces without white space at their ends are
-        encoded in one go and cut apart where they end."""
-        out: list = [None] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if not (p[0].isspace() or p[-1].isspace())]
-        if plain:
-            ids = np.array(self.a.encode_batch_fast(["".join(" " + pieces[k] for k in plain)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(np.fromiter((1 + len(pieces[k].encode()) for k in plain), np.int64, len(plain)))
-            token_ends = np.cumsum(self.a_len[ids])
+    def encode_a(self, pieces: list[str], raw_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of a space and each piece, one after the other, and their number in each.
+        Pieces without white space at their ends are encoded in one go and cut where they end."""
+        if not any(p[0].isspace() or p[-1].isspace() for p in pieces):
+            ids = np.array(self.a.encode_batch_fast(["".join(" " + p for p in pieces)], add_special_tokens=False)[0].ids, np.int64)
+            ends, token_ends = np.cumsum(raw_len), np.cumsum(self.a_len[ids])
             cut = np.searchsorted(token_ends, ends)
-            if cut[-1] < len(ids) and (token_ends[cut] == ends).all():
-                for k, own in zip(plain, np.split(ids, cut[:-1] + 1), strict=True):
-                    out[k] = own
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.a.encode_batch_fast([" " + pieces[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.int64)
-        return out
+            if cut[-1] == len(ids) - 1 and (token_ends[cut] == ends).all():
+                return ids, np.diff(cut, prepend=-1)
+        each = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
 
     def learn(self, pieces: list[str]) -> None:
         """Align pieces: (A tokens, B tokens, groups, groups as text, links' keys) of each; None
         for one whose tokens' bytes are not its own."""
-        a = self.encode_a(pieces)
-        b = [np.array(x, np.int64) for x in self.b.encode(pieces, num_threads=1)]
-        whole = []
-        for k, p in enumerate(pieces):
-            raw = b" " + p.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[k].tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b[k].tolist())):
-                whole.append(k)
-            else:
-                self.known[p] = None
-        if not whole:
+        raw = [b" " + p.encode() for p in pieces]
+        raw_len = np.fromiter(map(len, raw), np.int64, len(raw))
+        a, n_a = self.encode_a(pieces, raw_len)
+        each = self.b.encode(pieces, num_threads=1)
+        b, n_b = np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+        same = True
+        for ids, n, lens, of in ((a, n_a, self.a_len, self.a_bytes), (b, n_b, self.b_len, self.b_bytes)):
+            same &= bool((np.add.reduceat(lens[ids], np.cumsum(n) - n) == raw_len).all() if n.all() else False)
+            same = same and b"".join(map(of.__getitem__, ids.tolist())) == b"".join(raw)
+        if not same:
+            if len(pieces) == 1:
+                self.known[pieces[0]] = None
+            else:  # the halves, until the pieces whose bytes differ are alone
+                self.learn(pieces[:len(pieces) // 2])
+                self.learn(pieces[len(pieces) // 2:])
             return
-        n_a, n_b = (np.array([len(x[k]) for k in whole]) for x in (a, b))
-        a, b = (np.concatenate([x[k] for k in whole]) for x in (a, b))
         end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
@@ -142,9 +140,9 @@ class Aligner:
         text = "".join(map(self.shown.__getitem__, shown.tolist()))
         text_end = np.cumsum(self.shown_len[shown])[np.cumsum(n_a + n_b) - 1].tolist()
         groups = np.searchsorted(at_a, np.cumsum(n_a) - 1) + 1  # groups up to each piece's last token
-        raw, at, was = keys.tobytes(), 0, 0
-        for k, x, y, g, e in zip(whole, n_a.tolist(), n_b.tolist(), groups.tolist(), text_end, strict=True):
-            self.known[pieces[k]] = (x, y, g - was, text[at:e], raw[8 * was:8 * g])
+        links, at, was = keys.tobytes(), 0, 0
+        for p, x, y, g, e in zip(pieces, n_a.tolist(), n_b.tolist(), groups.tolist(), text_end, strict=True):
+            self.known[p] = (x, y, g - was, text[at:e], links[8 * was:8 * g])
             at, was = e, g
 
     def pieces_of(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -168,8 +166,12 @@ class Aligner:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [p for p in pieces if p not in self.known]
-        for at in range(0, len(new), 1 << 16):
-            self.learn(new[at:at + (1 << 16)])
+        # those with white space at an end (of a text) are encoded one by one
+        odd = [p for p in new if p[0].isspace() or p[-1].isspace()]
+        plain = [p for p in new if not (p[0].isspace() or p[-1].isspace())] if odd else new
+        for some in (plain, odd):
+            for at in range(0, len(some), 1 << 16):
+                self.learn(some[at:at + (1 << 16)])
         found = [self.known[p] for p in pieces]
         bad = np.fromiter((x is None for x in found), bool, len(found))
         found = [x or (0, 0, 0, "", b"") for x in found]
