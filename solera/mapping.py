@@ -244,6 +244,16 @@ def customer_snapshots(lk: Lake) -> DataFrame:
                  F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_pedidos")))
 
 
+def portfolio_updates(lk: Lake) -> DataFrame:
+    """Portfolio versions derived from ``orders``: every order is an update of its client's
+    portfolio, whose risk profile follows the order's priority (its first digit modulo the number
+    of profiles); two orders of equal profile are an update without a change."""
+    o = lk.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    nth = F.substring("o_orderpriority", 1, 1).cast("int") % len(RISK_PROFILES)
+    return o.select(F.col("o_custkey").alias("cliente_id"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("actualizado_en"),
+                    F.element_at(F.array(*[F.lit(p) for p in RISK_PROFILES]), nth + 1).alias("perfil_riesgo"))
+
+
 def usage_from_events(lk: Lake) -> DataFrame:
     """Usage records for the cost operators: every event is a metered quantity (``value``)
     of the service its kind maps to, billed to its user."""

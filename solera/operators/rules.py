@@ -36,6 +36,8 @@ CONTRADICTION_MINUTES = 30
 OPPOSITE = {"comprar": "vender", "vender": "comprar"}
 DEFAULT_TZ = "America/Bogota"
 EVERY_N_TICKS = 5
+FROM_TICKS, FROM_PORTFOLIO = "ticks", "portafolio"
+TRIGGER_REASONS = {FROM_TICKS: "cada_n_ticks", FROM_PORTFOLIO: "cambio_portafolio"}
 # --------------------------------------------------------------------------------------------
 
 
@@ -124,6 +126,37 @@ def trigger_every(ticks: DataFrame, n: int = EVERY_N_TICKS, rows: int = CHUNK_RO
             .withColumn("evalua", (F.col("posicion") % n) == 0))
 
 
+def trigger_events(ticks: DataFrame, updates: DataFrame) -> DataFrame:
+    """What the two triggers of S4 look at, in one shape: ticks keyed by pair, portfolio updates
+    (cliente_id, version_id, actualizado_en, perfil_riesgo, preferencias_notif, ...) keyed by user,
+    with the content as JSON of every column but the key, the version and the time.  Rows without
+    a key or a time trigger nothing."""
+    kept = [c for c in updates.columns if c not in ("cliente_id", "version_id", "actualizado_en")]
+    content = F.to_json(F.struct(*[F.col(c) for c in sorted(kept)])) if kept else F.lit("{}")
+    shape = lambda origin, key, event, at, c: [F.lit(origin).alias("origen"), F.col(key).cast("long").alias("clave"), F.col(event).cast("long").alias("evento_id"),
+                                               F.col(at).cast("timestamp").alias("instante"), c.alias("contenido")]
+    both = (ticks.select(*shape(FROM_TICKS, "par_id", "tick_id", "capturado_en", F.lit(None).cast("string")))
+            .unionByName(updates.select(*shape(FROM_PORTFOLIO, "cliente_id", "version_id", "actualizado_en", content))))
+    return both.where("clave is not null and instante is not null")
+
+
+def evaluation_triggers(ticks: DataFrame, updates: DataFrame, n: int = EVERY_N_TICKS, rows: int = CHUNK_ROWS) -> DataFrame:
+    """S4, both triggers over tables: every n-th tick of a pair, and every update of a user's
+    portfolio whose content differs from the one before it (by time, then version).
+
+    The update before is looked up by chunks (``asof_fill``), so no user's updates must fit in
+    one task."""
+    both = trigger_events(ticks, updates)
+    every = trigger_every(ticks.where("par_id is not null"), n, rows).where("evalua").select(
+        F.lit(FROM_TICKS).alias("origen"), F.col("par_id").cast("long").alias("clave"), F.col("tick_id").alias("evento_id"), F.col("capturado_en").cast("timestamp").alias("instante"))
+    u = both.where(F.col("origen") == FROM_PORTFOLIO).select("clave", "evento_id", "instante", "contenido", epoch_seconds("instante").alias("t"))
+    before = asof_fill(u.select("clave", "t", "evento_id", F.struct("contenido").alias("c")), u, "clave", "t", ["c"], order_cols=["evento_id"], strict=True, rows=rows)
+    changed = before.where(F.col("asof_c").isNull() | ~F.col("asof_c.contenido").eqNullSafe(F.col("contenido")))
+    out = every.unionByName(changed.select(F.lit(FROM_PORTFOLIO).alias("origen"), "clave", "evento_id", "instante"))
+    reason = F.create_map(*[F.lit(x) for kv in TRIGGER_REASONS.items() for x in kv])[F.col("origen")]
+    return out.withColumn("motivo", reason)
+
+
 def decide(notif: DataFrame, portfolios: DataFrame, tz: str = DEFAULT_TZ, min_score: float = MIN_SCORE,
            cap: int = DAILY_CAP, minutes: int = CONTRADICTION_MINUTES) -> DataFrame:
     """One decision per notification -- ``sent`` or the first failing rule

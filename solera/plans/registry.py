@@ -151,7 +151,7 @@ def _dq_summary(lk: Lake) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from solera.functions.scalar import notif_status  # noqa: E402
-from solera.mapping import customer_snapshots  # noqa: E402
+from solera.mapping import customer_snapshots, portfolio_updates  # noqa: E402
 from solera.operators import listings as LS  # noqa: E402
 from solera.operators import transform as B  # noqa: E402
 from solera.plans import etl  # noqa: E402
@@ -454,6 +454,12 @@ def _s4(lk: Lake) -> DataFrame:
     return R.trigger_every(lk.ticks(), n=5).select("tick_id", "par_id", "posicion", "evalua")
 
 
+@query("s4_evaluation_triggers")
+def _s4e(lk: Lake) -> DataFrame:
+    t = R.evaluation_triggers(lk.ticks(), portfolio_updates(lk))
+    return t.withColumn("instante", F.col("instante").cast("timestamp_ntz"))
+
+
 @query("s5_rule_score")
 def _s5(lk: Lake) -> DataFrame:
     return R.rule_score(lk.notifications()).select("notificacion_id", "cliente_id", "score_confianza")
@@ -518,6 +524,31 @@ def _s12(lk: Lake) -> DataFrame:
     return ST.throughput_alarms_batch(lk.ticks())
 
 
+from solera.streaming import keyed as SK  # noqa: E402
+from solera.streaming import replay as RP  # noqa: E402
+
+
+@query("s4_triggers_stream")
+def _s4s(lk: Lake) -> DataFrame:
+    # one file a table: its rows come in one micro-batch, in any order
+    live = RP.StreamLake(lk, "events")
+    out = RP.replayed(lk, "triggers", lambda: SK.triggers_stream(live.ticks(), portfolio_updates(RP.StreamLake(lk, "orders"))))
+    return RP.as_ntz(out, "instante")
+
+
+@query("s10_decide_stream")
+def _s10s(lk: Lake) -> DataFrame:
+    out = RP.replayed(lk, "decide", lambda: SK.decide_stream(RP.StreamLake(lk, "events").notifications(), lk.portfolios()))
+    return RP.as_ntz(out, "deliver_at")
+
+
+@query("s12_silence_stream")
+def _s12s(lk: Lake) -> DataFrame:
+    ticks = lambda: ST.as_event_time(RP.StreamLake(lk, "events").ticks(), "capturado_en")
+    out = RP.replayed(lk, "silence", lambda: SK.silence_stream(ticks(), clock=False))
+    return RP.as_ntz(out, "inicio").select("fuente", "inicio", "ticks", "alarma")
+
+
 # ---------------------------------------------------------------- cost metering G17-G21
 from solera.mapping import usage_from_events  # noqa: E402
 from solera.operators import cost as C  # noqa: E402
