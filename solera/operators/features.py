@@ -12,22 +12,23 @@ task.  Time-ordered features are computed per **(key, chunk)** instead, a chunk
   *chunk-level* table (one row per key and chunk).
 * counts and sums over trailing windows are differences of two running totals of integers,
   which are exact, so no row is copied whatever the window's length (``trailing``).
-* the rolling deviation (5 min frames) copies each row into the following time bucket (a
-  *halo*), the frame is evaluated per (key, bucket), and the bucket's own rows are kept.
+* the rolling deviation merges moments (count, mean, squared deviations), which cannot be
+  subtracted: a frame is the end of one pane and the start of the next (panes as long as the
+  frame), each a running merge inside a chunk with the pane's other chunks merged before it.
+
+Nothing is written and no job runs while a query is built: where a chunk begins follows from the
+data alone (``chunk_starts``), so every branch of a plan that reads the rows finds the same ones.
 
 Timestamps are handled as epoch seconds (double) so frames are plain numeric ranges.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solera.functions.scalar import epoch_seconds, exact_ratio, scaled_int
-from solera.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------
 EMA_SPAN = 200                         # EMA-200
@@ -38,10 +39,9 @@ MULTI_WINDOWS_S = {"5m": 300, "1h": 3600, "24h": 86400}
 PROFILE_USD_TARGET = {"conservador": 70.0, "moderado": 50.0, "agresivo": 30.0}
 # --------------------------------------------------------------------------------------------
 
-#: Rows of a chunk, about: a chunk ends on a whole second, and with the day.
+#: Rows of a chunk, about: a chunk begins on a whole second.
 CHUNK_ROWS = 500_000
 _DAY_S = 86400
-_CHUNKS_A_DAY = 1 << 30
 
 
 def _keys(key) -> list[str]:
@@ -52,33 +52,62 @@ def _day(t: Column) -> Column:
     return F.floor(F.floor(t) / _DAY_S).cast("long")
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys that takes a NULL key for a key like any other; the right side's go."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = left[keys[0]].eqNullSafe(right[f"_of_{keys[0]}"])
+    for k in keys[1:]:
+        same = same & left[k].eqNullSafe(right[f"_of_{k}"])
+    out = left.join(right, same, how)
+    return out if how == "left_semi" else out.drop(*[f"_of_{k}" for k in keys])
+
+
 def chunk_starts(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """(keys, ``_day``, ``_starts``): the seconds at which the second and later chunks of a key's
-    day begin; days of one chunk have no row.  Rows are counted per (key, second) with partial
-    counts, and the counts run over the seconds of one (key, day)."""
+    """(keys, ``_day``, ``_starts``): for every day of a key of more than ``rows`` rows, the seconds
+    at which its chunks go on or begin, each with the chunk's number in the key.
+
+    Most keys are shorter and cost one partial count.  For the others, rows are counted by second;
+    the counts run over the seconds of one (key, day) and over the days of one key."""
+    keys = _keys(key)
+    timed = df.where(F.col(t_col).isNotNull()).select(*keys, F.floor(F.col(t_col)).cast("long").alias("_sec"))
+    long = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).drop("_n")
+    n = (_joined(timed, long, keys, "left_semi").groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(F.col("_sec"))))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = n.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
+    days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    today = Window.partitionBy(*keys, "_day").orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_here", F.coalesce(F.sum("_n").over(today), F.lit(0)))
+    n = _joined(n, days, [*keys, "_day"], "inner").withColumn("_nth", F.floor((F.col("_before") + F.col("_here")) / rows))
+    return (n.groupBy(*keys, "_day", "_nth").agg(F.min("_sec").alias("_sec"))
+            .groupBy(*keys, "_day").agg(F.collect_list(F.struct("_sec", "_nth")).alias("_starts")))
+
+
+def chunked(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS, base: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``_b``, the number of the row's chunk: within a key it grows with time (NULL for
+    a row without a time).  Rows are counted in ``base`` (keys and ``t_col``; ``df`` itself unless
+    given), a scan that is as dense as ``df`` where ``df`` is costly to work out again."""
     keys = _keys(key)
-    n = (df.where(F.col(t_col).isNotNull()).groupBy(*keys, F.floor(F.col(t_col)).cast("long").alias("_sec"))
-         .agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(F.col("_sec"))))
-    w = Window.partitionBy(*keys, "_day").orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1)
-    nth = F.floor(F.coalesce(F.sum("_n").over(w), F.lit(0)) / rows).alias("_nth")
-    return (n.select(*keys, "_day", "_sec", nth).where("_nth > 0").groupBy(*keys, "_day", "_nth").agg(F.min("_sec").alias("_sec"))
-            .groupBy(*keys, "_day").agg(F.collect_list("_sec").alias("_starts")))
+    starts = chunk_starts(df if base is None else base, keys, t_col, rows)
+    df = _joined(df.withColumn("_day", _day(F.col(t_col))), starts, [*keys, "_day"], "left")
+    # before the first counted second of its day, a row goes on with the chunk of the days before
+    nth = F.array_max(F.transform(F.filter("_starts", lambda s: s["_sec"] <= F.col(t_col)), lambda s: s["_nth"]))
+    first = F.array_min(F.transform("_starts", lambda s: s["_nth"]))
+    return df.withColumn("_b", F.when(F.col(t_col).isNotNull(), F.coalesce(nth, first, F.lit(0)))).drop("_day", "_starts")
 
 
-def chunked(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``df`` with ``_b``, the number of the row's chunk: within a key it grows with time.  The
-    rows are written once, as they are read for the bounds and for the feature."""
+def lag_fill(df: DataFrame, key, t_col: str, order_cols: list[str], value: str, out: str, rows: int = CHUNK_ROWS, base: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the key's row just before by ``(t_col, *order_cols)``, from
+    the chunk or, for its first row, from the last chunk before.  NULL for a row without a time."""
     keys = _keys(key)
-    df = materialize(df, "chunk_rows")
-    starts = materialize(chunk_starts(df, keys, t_col, rows), "chunk_starts")
-    starts = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_day").alias("_of_day"), "_starts")
-    same = _day(df[t_col]) == starts["_of_day"]
-    for k in keys:
-        same = same & df[k].eqNullSafe(starts[f"_of_{k}"])
-    nth = F.coalesce(F.size(F.filter("_starts", lambda s: s <= F.col(t_col))), F.lit(0))
-    nth = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(nth)
-    return (df.join(starts, same, "left").withColumn("_b", _day(F.col(t_col)) * _CHUNKS_A_DAY + nth)
-            .drop("_of_day", "_starts", *[f"_of_{k}" for k in keys]))
+    order = [F.col(t_col), *[F.col(c) for c in order_cols]]
+    u = chunked(df, keys, t_col, rows, base)
+    ends = (u.where(F.col(t_col).isNotNull()).groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    ends = ends.select(*keys, "_b", F.lag("_last").over(wb).alias("_carry"))
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    u = u.withColumn("_local", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    u = _joined(u, ends, [*keys, "_b"], "left")
+    return u.withColumn(out, F.when(F.col(t_col).isNotNull(), F.coalesce("_local", "_carry")["v"])).drop("_b", "_local", "_carry")
 
 
 def trailing(df: DataFrame, key, t_col: str, windows: dict[str, int], sums: dict[str, Column], rows: int = CHUNK_ROWS) -> DataFrame:
@@ -95,7 +124,8 @@ def trailing(df: DataFrame, key, t_col: str, windows: dict[str, int], sums: dict
     none = [F.lit(0).cast("decimal(38,0)").alias(n) for n in names]
     here = F.struct(F.col("_t0").alias("_at"), F.lit(1).alias("_side"), F.lit("").alias("_w"), *names)
     asks = [F.struct((F.col("_t0") - secs).alias("_at"), F.lit(0).alias("_side"), F.lit(w).alias("_w"), *none) for w, secs in windows.items()]
-    line = chunked(inst.select(*keys, "_t0", F.inline(F.array(here, *asks))), keys, "_at", rows)
+    line = inst.select(*keys, "_t0", F.inline(F.array(here, *asks)))
+    line = chunked(line, keys, "_at", rows, base=df.select(*keys, F.col(t_col).alias("_at")))
     w = Window.partitionBy(*keys, "_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = line.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
@@ -114,27 +144,55 @@ def trailing(df: DataFrame, key, t_col: str, windows: dict[str, int], sums: dict
     return df.join(out, same, "left").drop("_t0", *[f"_of_{k}" for k in keys])
 
 
-def with_halo(df: DataFrame, t_col: str, lookback_s: float, bucket_s: float) -> DataFrame:
-    """Copy each row into its own bucket (``_own`` true) and into every later bucket whose
-    frame can reach it (``t >= bucket_start - lookback``)."""
-    copies = int(math.ceil(lookback_s / bucket_s))
-    b = F.floor(F.col(t_col) / bucket_s).cast("long")
-    out = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(copies))))
-    out = out.withColumn("_b", b + F.col("_o"))
-    out = out.where((F.col("_o") == 0) | (F.col(t_col) >= F.col("_b") * bucket_s - lookback_s))
-    return out.withColumn("_own", F.col("_o") == 0).drop("_o")
+def _moments(x: str) -> list[Column]:
+    return [F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("q")]
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """The moments (n, m, q: count, mean, squared deviations) of two sets together; an empty or
+    NULL one changes nothing."""
+    n = a["n"] + b["n"]
+    apart = b["m"] - a["m"]
+    both = F.struct(n.alias("n"), (a["m"] + apart * b["n"] / n).alias("m"), (a["q"] + b["q"] + apart * apart * a["n"] * b["n"] / n).alias("q"))
+    return F.when(a.isNull() | (a["n"] == 0), b).when(b.isNull() | (b["n"] == 0), a).otherwise(both)
 
 
-def rolling(df: DataFrame, key, t_col: str, lookback_s: float, aggs: dict[str, Column],
-            bucket_s: float | None = None) -> DataFrame:
-    """Frame ``[t - lookback, t]`` per key, evaluated per (key, bucket) with a halo.  A bucket is
-    as long as the look-back unless given, so a task sees two frames of a key.
-    ``aggs`` maps output name -> aggregate expression (e.g. ``F.stddev_samp('r')``)."""
+def trailing_deviation(df: DataFrame, key, t_col: str, seconds: int, value: str, out: str, rows: int = CHUNK_ROWS, base: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``out``: the sample deviation of ``value`` over the key's rows in
+    ``[t - seconds, t]``.
+
+    With panes of ``seconds``, a frame that ends in one pane starts in the pane before.  Each row
+    asks the pane of ``t`` for its rows up to ``t`` and the pane before for its rows from
+    ``t - seconds`` on: two running merges of moments over the rows of a (key, pane, chunk), to
+    which the pane's chunks before (or behind) it are merged.  A row without a time gets NULL."""
     keys = _keys(key)
-    h = with_halo(df, t_col, lookback_s, bucket_s or lookback_s)
-    w = Window.partitionBy(*keys, "_b").orderBy(F.col(t_col)).rangeBetween(-lookback_s, 0)
-    out = h.select("*", *[expr.over(w).alias(name) for name, expr in aggs.items()])
-    return out.where(F.col("_own")).drop("_b", "_own")
+    x, t = F.col(value).cast("double"), F.col(t_col)
+    none = F.lit(None).cast("double")
+    # 1: the row; 2: asks what lies up to t; 0: asks what lies from t - seconds on
+    line = df.where(t.isNotNull()).select(*keys, t.alias("_t0"), F.inline(F.array(
+        F.struct(t.alias("_at"), F.lit(1).alias("_side"), x.alias("_x")), F.struct(t.alias("_at"), F.lit(2).alias("_side"), none.alias("_x")),
+        F.struct((t - seconds).alias("_at"), F.lit(0).alias("_side"), none.alias("_x")))))
+    base = (df if base is None else base).select(*keys, t.alias("_at"))
+    line = chunked(line, keys, "_at", rows, base).withColumn("_pane", F.floor(F.col("_at") / seconds))
+    part = [*keys, "_pane", "_b"]
+    up = Window.partitionBy(*part).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part).orderBy(F.col("_at").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    over = lambda w: F.struct(F.count("_x").over(w).alias("n"), F.avg("_x").over(w).alias("m"), (F.var_pop("_x").over(w) * F.count("_x").over(w)).alias("q"))
+    # a pane's chunks: as many rows as chunks have been begun in it
+    whole = line.groupBy(*part).agg(*_moments("_x")).withColumn("_s", F.struct("n", "m", "q"))
+    pane = Window.partitionBy(*keys, "_pane").orderBy("_b")
+    fold = lambda c: F.reduce(c, F.lit(None).cast("struct<n:bigint,m:double,q:double>"), lambda acc, y: _merged(acc, y))
+    whole = whole.select(*part, fold(F.collect_list("_s").over(pane.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+                         fold(F.collect_list("_s").over(pane.rowsBetween(1, Window.unboundedFollowing))).alias("_behind"))
+    line = line.withColumn("_up", over(up)).withColumn("_down", over(down)).where("_side <> 1")
+    line = _joined(line, whole, part, "left")
+    asked = line.select(*keys, "_t0", F.when(F.col("_side") == 2, _merged(F.col("_before"), F.col("_up"))).alias("_a"),
+                        F.when(F.col("_side") == 0, _merged(F.col("_down"), F.col("_behind"))).alias("_z"))
+    # rows of one instant ask the same
+    found = asked.groupBy(*keys, "_t0").agg(F.max("_a").alias("_a"), F.max("_z").alias("_z"))
+    all_ = _merged(F.col("_z"), F.col("_a"))
+    found = found.withColumn("_m", all_).select(*keys, F.col("_t0").alias(t_col), F.when(F.col("_m.n") > 1, F.sqrt(F.col("_m.q") / (F.col("_m.n") - 1))).alias(out))
+    return _joined(df, found, [*keys, t_col], "left")
 
 
 def asof_fill(data: DataFrame, queries: DataFrame, key, t_col: str, value_cols: list[str],
@@ -186,16 +244,14 @@ def tick_frame(ticks: DataFrame) -> DataFrame:
 
 def with_returns(tf: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Tick-to-tick return ``mid / previous mid - 1`` per pair (previous by time, then id)."""
-    prev = asof_fill(tf.select("par_id", "t", "tick_id", "mid"), tf, "par_id", "t", ["mid"],
-                     order_cols=["tick_id"], strict=True, rows=rows)
-    return prev.withColumn("ret", F.try_divide(F.col("mid"), F.col("asof_mid")) - 1).drop("asof_mid")
+    prev = lag_fill(tf, "par_id", "t", ["tick_id"], "mid", "_prev", rows)
+    return prev.withColumn("ret", F.try_divide(F.col("mid"), F.col("_prev")) - 1).drop("_prev")
 
 
-def rolling_volatility(ticks: DataFrame, seconds: int = VOLATILITY_WINDOW_S,
-                       rows: int = CHUNK_ROWS, bucket_s: float | None = None) -> DataFrame:
+def rolling_volatility(ticks: DataFrame, seconds: int = VOLATILITY_WINDOW_S, rows: int = CHUNK_ROWS) -> DataFrame:
     """Sample std-dev of tick returns over ``[t - seconds, t]`` per pair."""
-    r = with_returns(tick_frame(ticks), rows)
-    out = rolling(r, "par_id", "t", seconds, {"volatilidad": F.stddev_samp("ret")}, bucket_s)
+    tf = tick_frame(ticks)
+    out = trailing_deviation(with_returns(tf, rows), "par_id", "t", seconds, "ret", "volatilidad", rows, base=tf)
     return out.select("tick_id", "par_id", "capturado_en", "ret", "volatilidad")
 
 
@@ -343,16 +399,20 @@ def rank_latest(df: DataFrame, key, order_col: str) -> DataFrame:
 def sessionize(events: DataFrame, user: str, ts: str, id_col: str, gap_s: int = 1800,
                rows: int = CHUNK_ROWS) -> DataFrame:
     """Gap-based sessions per user (a new session starts when the previous event of the
-    user is more than ``gap_s`` seconds earlier).  Built from two chunked as-of lookups
-    (previous event, then the latest session start at or before each event), so a user with a
-    third of all events is still split by rows; then one aggregate per (user, session)."""
+    user is more than ``gap_s`` seconds earlier).  The previous event, then the latest session
+    start up to each event, are found by chunks, so a user with a third of all events is still
+    split by rows; then one aggregate per (user, session)."""
     t = events.select(user, id_col, epoch_seconds(ts).alias("_t"))
-    prev = asof_fill(t.select(user, "_t", id_col, F.col("_t").alias("tp")), t, user, "_t", ["tp"],
-                     order_cols=[id_col], strict=True, rows=rows)
-    flagged = prev.withColumn("_start", F.col("asof_tp").isNull() | (F.col("_t") - F.col("asof_tp") > gap_s))
-    starts = flagged.where("_start").select(user, "_t", id_col, F.col("_t").alias("s"))
-    sess = asof_fill(starts, flagged.select(user, "_t", id_col), user, "_t", ["s"], order_cols=[id_col],
-                     rows=rows)
+    prev = lag_fill(t, user, "_t", [id_col], "_t", "_tp", rows)
+    flagged = prev.withColumn("_new", F.when(F.col("_tp").isNull() | (F.col("_t") - F.col("_tp") > gap_s), F.col("_t")))
+    # the last start up to each event: from the chunk, or from the chunks before it
+    u = chunked(flagged, user, "_t", rows, base=t)
+    ends = u.groupBy(user, "_b").agg(F.max("_new").alias("_last"))
+    before = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(user, "_b", F.max("_last").over(before).alias("_carry"))
+    w = Window.partitionBy(user, "_b").orderBy("_t", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    sess = _joined(u.withColumn("_local", F.max("_new").over(w)), ends, [user, "_b"], "left")
+    sess = sess.withColumn("asof_s", F.coalesce("_local", "_carry"))
     return (sess.groupBy(user, F.col("asof_s").alias("_s"))
             .agg(F.count(F.lit(1)).alias("eventos"), F.max("_t").alias("_e"))
             .select(user, F.timestamp_micros((F.col("_s") * 1e6).cast("long")).cast("timestamp_ntz").alias("inicio"),

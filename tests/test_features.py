@@ -14,8 +14,8 @@ def _rows(df, cols):
 
 def test_rolling_and_asof_independent_of_chunk_size(spark):
     ticks = Lake(spark, SF001).ticks()
-    a = W.rolling_volatility(ticks, bucket_s=86400)
-    b = W.rolling_volatility(ticks, rows=7, bucket_s=600)   # many small chunks, lookback 300 s
+    a = W.rolling_volatility(ticks)
+    b = W.rolling_volatility(ticks, rows=7)               # many small chunks
     assert _rows(a, ["tick_id", "ret", "volatilidad"]) == _rows(b, ["tick_id", "ret", "volatilidad"])
     r1 = W.trailing_return(ticks)
     r2 = W.trailing_return(ticks, rows=5)                 # the look-up crosses several chunks
@@ -82,3 +82,49 @@ def test_percentiles_exact(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 3, 10]], "v double")
     got = {r.p: r.valor for r in FX.discrete_percentiles(df, "v", [0.0, 0.2, 0.5, 0.8, 1.0]).collect()}
     assert got == {0.0: 1.0, 0.2: 1.0, 0.5: 2.0, 0.8: 3.0, 1.0: 10.0}
+
+
+def test_deviation_over_panes_and_chunks(spark):
+    import random
+    import statistics
+    rng = random.Random(4)
+    # one key holds most rows, hundreds of them inside one pane; ties, outliers, nulls
+    rows = [("hot", rng.choice((1000.0, 1001.5, 1002.25, 1300.0, 1599.5)) + rng.randrange(300) / 2, rng.choice((1e6, 1.0, -2.5, None, 0.125))) for _ in range(900)]
+    rows += [(k, 40.0 * n, float(n % 7)) for k in ("a", None) for n in range(40)] + [("hot", None, 5.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, k string, t double, x double")
+    want = {}
+    for i, (k, t, _) in enumerate(rows):
+        near = [x for kk, tt, x in rows if kk == k and t is not None and tt is not None and t - 300 <= tt <= t and x is not None]
+        want[i] = statistics.stdev(near) if len(near) > 1 else None
+    for n in (5, 64, 500_000):
+        got = dict(W.trailing_deviation(df, "k", "t", 300, "x", "d", rows=n).select("id", "d").collect())
+        assert got.keys() == want.keys()
+        for i, w in want.items():
+            assert (got[i] is None) == (w is None) and (w is None or abs(got[i] - w) <= 1e-9 * max(1.0, w)), (n, i, got[i], w)
+
+
+def test_lag_crosses_chunks(spark):
+    df = spark.createDataFrame([("k", float(t), t) for t in range(50)] + [(None, 1.0, 7), (None, 2.0, 8), ("k", None, 99)], "k string, t double, v int")
+    for n in (3, 500_000):
+        got = {(r.k, r.v): r.p for r in W.lag_fill(df, "k", "t", ["v"], "v", "p", rows=n).collect()}
+        assert got == {("k", 99): None, (None, 7): None, (None, 8): 7, **{("k", t): t - 1 if t else None for t in range(50)}}
+
+
+def test_sessions_independent_of_chunk_size(spark):
+    ev = Lake(spark, SF001).raw("events").select("event_id", "user_id", "ts")
+    a, b = (sorted(W.sessionize(ev, "user_id", "ts", "event_id", 1800, rows=n).collect()) for n in (2, 500_000))
+    assert a == b and len(a) > 100
+
+
+def test_building_a_feature_query_runs_no_job(spark, monkeypatch):
+    from solera import mapping
+    from solera.plans.registry import QUERIES
+    reads, read = [], mapping.read_table
+    monkeypatch.setattr(mapping, "read_table", lambda *a: reads.append(a) or read(*a))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for name in ("w4_rolling_volatility", "w5_trailing_return", "w6_ema_distance", "w7_market_features", "w9_user_features", "w10_multi_window",
+                 "c8_attribute_conversions", "c9_enrich_asof", "s4_trigger_every", "s8_rule_contradiction", "s13_sessions"):
+        before, first = jobs(), len(reads)
+        QUERIES[name](spark, SF001)
+        # a table's schema is read from its footer, which is a job of its own
+        assert 0 < jobs() - before <= len(reads) - first, name
