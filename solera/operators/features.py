@@ -151,10 +151,11 @@ def _moments(x: str) -> list[Column]:
 def _merged(a: Column, b: Column) -> Column:
     """The moments (n, m, q: count, mean, squared deviations) of two sets together; an empty or
     NULL one changes nothing."""
+    none = lambda x: F.coalesce(x["n"], F.lit(0)) == 0
     n = a["n"] + b["n"]
     apart = b["m"] - a["m"]
     both = F.struct(n.alias("n"), (a["m"] + apart * b["n"] / n).alias("m"), (a["q"] + b["q"] + apart * apart * a["n"] * b["n"] / n).alias("q"))
-    return F.when(a.isNull() | (a["n"] == 0), b).when(b.isNull() | (b["n"] == 0), a).otherwise(both)
+    return F.when(none(a), b).when(none(b), a).otherwise(both)
 
 
 def trailing_deviation(df: DataFrame, key, t_col: str, seconds: int, value: str, out: str, rows: int = CHUNK_ROWS, base: DataFrame | None = None) -> DataFrame:
@@ -178,20 +179,21 @@ def trailing_deviation(df: DataFrame, key, t_col: str, seconds: int, value: str,
     up = Window.partitionBy(*part).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*part).orderBy(F.col("_at").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
     over = lambda w: F.struct(F.count("_x").over(w).alias("n"), F.avg("_x").over(w).alias("m"), (F.var_pop("_x").over(w) * F.count("_x").over(w)).alias("q"))
-    # a pane's chunks: as many rows as chunks have been begun in it
+    # only panes of several chunks have any before or behind: a row for each chunk of those
     whole = line.groupBy(*part).agg(*_moments("_x")).withColumn("_s", F.struct("n", "m", "q"))
+    whole = whole.withColumn("_chunks", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_pane"))).where("_chunks > 1")
     pane = Window.partitionBy(*keys, "_pane").orderBy("_b")
     fold = lambda c: F.reduce(c, F.lit(None).cast("struct<n:bigint,m:double,q:double>"), lambda acc, y: _merged(acc, y))
     whole = whole.select(*part, fold(F.collect_list("_s").over(pane.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
                          fold(F.collect_list("_s").over(pane.rowsBetween(1, Window.unboundedFollowing))).alias("_behind"))
     line = line.withColumn("_up", over(up)).withColumn("_down", over(down)).where("_side <> 1")
     line = _joined(line, whole, part, "left")
-    asked = line.select(*keys, "_t0", F.when(F.col("_side") == 2, _merged(F.col("_before"), F.col("_up"))).alias("_a"),
-                        F.when(F.col("_side") == 0, _merged(F.col("_down"), F.col("_behind"))).alias("_z"))
-    # rows of one instant ask the same
-    found = asked.groupBy(*keys, "_t0").agg(F.max("_a").alias("_a"), F.max("_z").alias("_z"))
-    all_ = _merged(F.col("_z"), F.col("_a"))
-    found = found.withColumn("_m", all_).select(*keys, F.col("_t0").alias(t_col), F.when(F.col("_m.n") > 1, F.sqrt(F.col("_m.q") / (F.col("_m.n") - 1))).alias(out))
+    line = line.withColumn("_s", F.when(F.col("_side") == 2, _merged(F.col("_before"), F.col("_up"))).otherwise(_merged(F.col("_down"), F.col("_behind"))))
+    # rows of one instant ask the same; plain columns, which are summed up by hash
+    asked = line.groupBy(*keys, "_t0").agg(*[F.max(F.when(F.col("_side") == side, F.col(f"_s.{c}"))).alias(f"_{c}{side}") for side in (0, 2) for c in "nmq"])
+    sets = [F.struct(*[F.col(f"_{c}{side}").alias(c) for c in "nmq"]) for side in (0, 2)]
+    found = asked.select(*keys, F.col("_t0").alias(t_col), _merged(*sets).alias("_m"))
+    found = found.select(*keys, t_col, F.when(F.col("_m.n") > 1, F.sqrt(F.col("_m.q") / (F.col("_m.n") - 1))).alias(out))
     return _joined(df, found, [*keys, t_col], "left")
 
 

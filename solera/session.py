@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no stack trace kept for every column expression: it takes longer than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
