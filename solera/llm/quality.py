@@ -1,20 +1,21 @@
 """Quality rules: base rules and a hashed n-gram log-likelihood ratio (operator 3, DataFrame
 functions only).
 
-Words and word pairs are hashed into ``BUCKETS`` buckets, or as many doublings of that as leave
-at most ``LOAD`` bytes of text a bucket: the hash space grows with the corpus, so that the ratios
-and the weight of the prior are alike at every size.  Two multinomials over the buckets are
-counted: the raw corpus (every document) and the trusted target (all documents
-that ``labels`` marks with quality 1).  A document's score is the mean over its n-grams of
-log(target / raw), so that length does not matter; it is kept if no base rule fails and the
-score reaches ``THRESHOLD``.  The log ratios are rounded to 1/10000, so sums are exact and every
-run decides alike.
-
-The corpus is scanned for its size, for counting and for scoring, and the text is shuffled at
-most once, to join the trusted ids when Spark finds them too many to broadcast: counts are
-combined per task, at most one row a bucket.  For scoring the n-grams are joined with the ratios
-of their buckets, broadcast up to ``BROADCAST`` buckets and shuffled beyond (a frequent bucket is
-split by AQE), and summed per row; the rule's counts travel with one extra entry a row.
+Words and word pairs are hashed into ``BUCKETS`` buckets, as many at every size of the corpus, so
+that no size of it changes how a document is judged.  Two multinomials over the buckets are
+counted: the raw corpus (every document) and the trusted target (all documents that ``labels``
+marks with quality 1).  A bucket's ratio is log(target / raw), its target count smoothed by
+``PRIOR`` occurrences that are trusted as often as the corpus is: a bucket that is hardly seen
+says little, and what an empty bucket would weigh does not matter.  A document's score is the mean
+over its n-grams, so that length does not matter; it is kept if no base rule fails and the score
+reaches ``THRESHOLD``.  The ratios are rounded to 1/10000, so sums are exact and every run decides
+alike.
+
+The corpus is scanned for counting and for scoring, and the text is shuffled at most once, to join
+the trusted ids when Spark finds them too many to broadcast: counts are combined per task, at
+most one row a bucket.  For scoring the n-grams meet the ratios, at most ``BUCKETS`` of them, in a
+broadcast join and are summed by hash before anything is shuffled, to one row a document and
+task; the rule's counts travel with one extra entry a row.
 
 Defined cases: a null text has no words; a document without n-grams has score 0 (and fails the
 base rules); labels that conflict are not trusted; without trusted documents every score is 0; a
@@ -29,12 +30,10 @@ from pyspark.sql import functions as F
 
 from solera.llm.common import text_of, words_of, written
 
-#: Least number of buckets, and bytes of text a bucket at the most (some 20 n-grams).
-BUCKETS, LOAD = 1 << 16, 64
-#: Ratios of so many buckets are broadcast.
-BROADCAST = 1 << 20
-#: Added to every bucket's count.
-PRIOR = 1.0
+#: Buckets of the hash space, which bounds the broadcast.
+BUCKETS = 1 << 20
+#: Occurrences of every bucket that are taken as trusted as often as the corpus is.
+PRIOR = 5.0
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.25
 SCALE = 10000
@@ -55,14 +54,7 @@ def _grams(buckets: int) -> str:
             f" transform(sequence(0, size(wh) - 2), i -> pmod(xxhash64(wh[i], wh[i + 1]), {buckets}))))")
 
 
-def n_buckets(docs: DataFrame, load: int = LOAD) -> int:
-    size, n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKETS
-    while n * load < size:
-        n *= 2
-    return n
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float = PRIOR) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, ratio): log(target / raw) of every bucket that the corpus has, in units of
     1 / SCALE; zeros without trusted documents."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
@@ -72,8 +64,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, prior: float =
     grams = _hashed(d, "is_trusted").select("is_trusted", F.explode(F.expr(_grams(buckets))).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("target")), "quality-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
-    share = lambda c, total: F.log((F.col(c) + prior) / (total + prior * buckets))
-    ratio = F.round((share("target", target) - share("raw", raw)) * SCALE) if target else F.lit(0)
+    share = (target or 0) / (raw or 1)
+    smoothed = (F.col("target") + F.lit(prior * share)) / ((F.col("raw") + F.lit(prior)) * F.lit(share))
+    ratio = F.round(F.log(smoothed) * SCALE) if target else F.lit(0)
     return counts.select("bucket", ratio.cast("int").alias("ratio"))
 
 
@@ -99,19 +92,19 @@ def _base(d: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, load: int = LOAD, broadcast: int = BROADCAST, **kw) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, **kw) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, score."""
-    buckets = n_buckets(docs, load)
     ratios = log_ratios(docs, labels, buckets, **kw)
     found = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     # rows of one key are alike; one entry a row, below all buckets, carries what the rules found
     d = _base(_hashed(docs, "doc_id", "text")).select(
-        F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("key"), F.struct(*found).alias("found"), F.expr(_grams(buckets)).alias("grams"))
-    own = F.array(-1 - F.pmod("key", F.lit(buckets)))
-    d = d.select("key", "found", F.explode(F.concat(own, "grams")).alias("bucket")).withColumn("found", F.when(F.col("bucket") < 0, F.col("found")))
-    d = d.join(F.broadcast(ratios) if buckets <= broadcast else ratios.hint("merge"), "bucket", "left")
-    d = d.groupBy("key").agg(F.max("found").alias("found"), F.count("found").cast("int").alias("rows"), F.sum("ratio").alias("total"), F.count("ratio").alias("grams"))
+        F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("key"), *found, F.expr(_grams(buckets)).alias("grams"))
+    d = d.select("key", *found, F.explode(F.concat(F.array(F.lit(-1).cast("long")), "grams")).alias("bucket"))
+    d = d.select("key", "bucket", *[F.when(F.col("bucket") < 0, F.col(c)).alias(c) for c in found])
+    d = d.join(F.broadcast(ratios), "bucket", "left")
+    d = d.groupBy("key").agg(*[F.max(c).alias(c) for c in found], F.count_if(F.col("bucket") < 0).cast("int").alias("rows"),
+                             F.sum("ratio").alias("total"), F.count("ratio").alias("grams"))
     d = d.withColumn("score", F.when(F.col("grams") > 0, F.col("total") / F.col("grams") / SCALE).otherwise(0.0))
-    d = d.select(F.explode(F.expr("array_repeat(found, rows)")).alias("found"), "score").select("found.*", "score")
-    return d.select(*found, (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return d.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(*found, "kept", "score")
