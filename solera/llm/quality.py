@@ -33,9 +33,9 @@ from solera.llm.common import text_of, words_of, written
 #: Buckets of the hash space, which bounds the broadcast.
 BUCKETS = 1 << 20
 #: Occurrences of every bucket that are taken as trusted as often as the corpus is.
-PRIOR = 5.0
+PRIOR = 20.0
 #: Least mean log ratio of a document that is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.2
 SCALE = 10000
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
