@@ -12,7 +12,7 @@ reaches ``THRESHOLD``.  The ratios are rounded to 1/10000, so sums are exact and
 alike.
 
 The corpus is scanned for counting and for scoring, and the text is shuffled at most once, to join
-the trusted ids when Spark finds them too many to broadcast: counts are combined per task, at
+the trusted ids (64 to a row, a bit each) when Spark finds them too many to broadcast: counts are combined per task, at
 most one row a bucket.  For scoring the n-grams meet the ratios, at most ``BUCKETS`` of them, in a
 broadcast join and are summed by hash before anything is shuffled, to one row a document and
 task; the rule's counts travel with one extra entry a row.
@@ -57,10 +57,14 @@ def _grams(buckets: int) -> str:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, ratio): log(target / raw) of every bucket that the corpus has, in units of
     1 / SCALE; zeros without trusted documents."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    # written, so that Spark knows its size and broadcasts the ids as long as they are few
-    good = written(good.select("doc_id", F.lit(1).cast("long").alias("is_trusted")), "quality-trusted")
-    d = docs.select("doc_id", "text").join(good, "doc_id", "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(0).cast("long")))
+    # 64 neighbouring ids a row, one bit each; written, so that Spark knows its size and broadcasts it as long as it is small
+    block, bit = F.shiftright("doc_id", 6), F.shiftleft(F.lit(1).cast("long"), F.col("doc_id").bitwiseAND(F.lit(63)).cast("int"))
+    good = written(good.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("trusted")), "quality-trusted")
+    d = docs.select("doc_id", "text", block.alias("block")).join(good, "block", "left")
+    d = d.withColumn("is_trusted", F.coalesce((F.col("trusted").bitwiseAND(bit) != 0).cast("long"), F.lit(0).cast("long")))
     grams = _hashed(d, "is_trusted").select("is_trusted", F.explode(F.expr(_grams(buckets))).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("target")), "quality-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
