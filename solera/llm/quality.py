@@ -61,7 +61,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
     # 64 neighbouring ids a row, one bit each; written, so that Spark knows its size and broadcasts it as long as it is small
-    block, bit = F.shiftright("doc_id", 6), F.shiftleft(F.lit(1).cast("long"), F.col("doc_id").bitwiseAND(F.lit(63)).cast("int"))
+    block, bit = F.expr("shiftright(doc_id, 6)"), F.expr("shiftleft(1L, int(doc_id & 63))")
     good = written(good.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("trusted")), "quality-trusted")
     d = docs.select("doc_id", "text", block.alias("block")).join(good, "block", "left")
     d = d.withColumn("is_trusted", F.coalesce((F.col("trusted").bitwiseAND(bit) != 0).cast("long"), F.lit(0).cast("long")))
