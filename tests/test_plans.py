@@ -67,16 +67,17 @@ def test_q2_line_items_cross_one_shuffle_per_key(spark, no_broadcast):
     assert len(re.findall(r"Exchange hashpartitioning\(o_orderkey", p)) == 1
 
 
-def test_tick_windows_are_partitioned_by_time_bucket(spark, no_broadcast):
+def test_tick_windows_are_partitioned_by_chunk(spark, no_broadcast):
     p = plan(W.rolling_volatility(Lake(spark, SF001).ticks()))
     specs = [(m.group(1), m.group(2)) for line in p.splitlines() if "Window [" in line
              for m in [re.search(r"\], \[([^\]]*)\], \[([^\]]*)\]\s*$", line)] if m]
     keyed = [sp for sp in specs if "par_id" in sp[0]]
     assert keyed
     for part, order in keyed:
-        # row-level windows run per (pair, bucket); the only per-pair window is the carry over
-        # the bucket-level table (one row per bucket), ordered by the bucket
-        assert "_b" in part or order.startswith("_b"), (part, order)
+        # row-level windows run per (pair, chunk); the others run over tables of counts: a row per
+        # chunk (ordered by it, or counted per pane), per second of a day, per day of a pair
+        chunks = order.startswith("_b") or (not order and "_pane" in part)
+        assert "_b" in part or chunks or (order.startswith("_sec") and "_day" in part) or order.startswith("_day"), (part, order)
 
 
 def test_quality_suite_is_one_plan_without_subquery_jobs(spark):
