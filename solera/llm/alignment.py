@@ -53,6 +53,9 @@ FAN = 32
 #: Pieces whose alignment a Python worker remembers.
 REMEMBERED = 600_000
 
+# --- fixed value: how byte-level vocabularies split text before they merge ------------------
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# --------------------------------------------------------------------------------------------
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SHIFT = 32
 
@@ -77,6 +80,7 @@ class Aligner:
 
     def __init__(self, a_json: bytes, b_model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json.decode())
@@ -89,6 +93,8 @@ class Aligner:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size())]
         self.a_len, self.b_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # the same vocabulary for many pieces at once: its ids are in the order of the merges
+        self.fast = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in special}, special_tokens={})
         # a token as text in its group: A ids end in , or |, B ids in , or ;
         n_a, n_b = len(self.a_bytes), len(self.b_bytes)
         self.shown = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
@@ -99,7 +105,7 @@ class Aligner:
         """A's ids of a space and each piece, one after the other, and their number in each.
         Pieces without white space at their ends are encoded in one go and cut where they end."""
         if not any(p[0].isspace() or p[-1].isspace() for p in pieces):
-            ids = np.array(self.a.encode_batch_fast(["".join(" " + p for p in pieces)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.fast.encode_ordinary("".join(" " + p for p in pieces)), np.int64)
             ends, token_ends = np.cumsum(raw_len), np.cumsum(self.a_len[ids])
             cut = np.searchsorted(token_ends, ends)
             if cut[-1] == len(ids) - 1 and (token_ends[cut] == ends).all():
