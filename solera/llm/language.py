@@ -245,6 +245,7 @@ def labelled(docs: DataFrame, model: Crf) -> DataFrame:
     differs from that of the word before)."""
     spark = docs.sparkSession
     text_batches(spark)
+    docs = docs.drop("lang_pred", "score", "n_switches")  # results take the place of columns of their names
     shared = spark.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

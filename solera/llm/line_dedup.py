@@ -81,7 +81,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the text left of every document, and two columns more:
-    ``n_lines`` (its lines with a word) and ``n_removed`` (those deleted)."""
+    ``n_lines`` (its lines with a word) and ``n_removed`` (those deleted), in the place of any columns
+    of these names."""
+    docs = docs.drop("n_lines", "n_removed")
     runs = (repeated_runs(docs, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("i", "j")).alias("__runs"))
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__runs"))
     d = docs.withColumn("__text", F.xxhash64(text_of(F.col("text"))))

@@ -255,8 +255,10 @@ def restore(text: str, key: bytes) -> str:
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and a column ``n_<kind>`` for each kind."""
+    """``docs`` with pseudonyms in ``text`` and a column ``n_<kind>`` for each kind, in the place of
+    any column of that name."""
     text_batches(docs.sparkSession)
+    docs = docs.drop(*[f"n_{k}" for k in KINDS])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

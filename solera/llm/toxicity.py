@@ -165,7 +165,7 @@ def score_column(spark, text: Column, model: Model) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1)."""
+    """``docs`` with ``score`` (0 to 1), in the place of any column of that name."""
     text_batches(docs.sparkSession)
     model = train(docs, labels, **kw)
     return docs.withColumn("score", score_column(docs.sparkSession, F.col("text"), model))

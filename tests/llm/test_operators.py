@@ -65,6 +65,17 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     assert OPERATORS[name](spark, odd.filter("false")).count() == 0
 
 
+RESULTS = {"line_dedup": ("n_lines", "n_removed"), "language": ("lang_pred", "score", "n_switches"), "pii": ("n_card", "n_iban"), "toxicity": ("score",)}
+
+
+@pytest.mark.parametrize("name", sorted(RESULTS))
+def test_results_take_the_place_of_columns_of_their_names(spark, odd, name):
+    plain, clash = OPERATORS[name](spark, odd), OPERATORS[name](spark, odd.withColumns({c: F.lit("mine") for c in RESULTS[name]}))
+    assert sorted(clash.columns) == sorted(plain.columns)
+    shown = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text" if "text" in plain.columns else "doc_id", *RESULTS[name]).collect()), key=str)
+    assert shown(clash) == shown(plain)
+
+
 # ---------------------------------------------------------------- 1 mixing
 def test_mix_meets_targets_and_is_repeatable(spark):
     a = QUERIES["op1_pareto_mix"](spark, SF01)
