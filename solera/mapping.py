@@ -170,6 +170,20 @@ class Lake:
         ]
         return df.select(*cols)
 
+    def part_totals(self) -> DataFrame:
+        """The fact summed per part: type, price, rows per side and quantity, for reports without
+        dates (price and type depend on the part alone).  The line items meet ``part`` as one row
+        per part and cross the one shuffle of that join, summed before it, so a part with a
+        third of the line items is a row per map task."""
+        is_buy = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
+        per_part = self.raw("lineitem").groupBy("l_partkey").agg(
+            F.count_if(is_buy).alias("n_compra"), F.count_if(~is_buy).alias("n_venta"),
+            F.sum(F.col("l_quantity").cast("decimal(12,3)")).alias("cantidad_mwh"))
+        part = self.raw("part").select("p_partkey", "p_type", F.col("p_retailprice").cast("decimal(10,2)").alias("precio_usd"))
+        types = self.dim_tipo_energia().select("tipo_energia_id", F.col("codigo").alias("p_type"))
+        return (per_part.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(types, "p_type", "left")
+                .select("tipo_energia_id", "precio_usd", "n_compra", "n_venta", "cantidad_mwh"))
+
     # ---------------- FX domain ----------------
     def dim_par(self) -> DataFrame:
         kinds = self.raw("events").select("event_type").where(F.col("event_type").isNotNull()).distinct()

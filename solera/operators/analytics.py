@@ -110,6 +110,18 @@ def q3_margin(fact: DataFrame, dim_tipo: DataFrame) -> DataFrame:
             .orderBy(F.desc_nulls_last("margen_absoluto"), "tipo_energia"))
 
 
+def margins_by_part(per_part: DataFrame, dim_tipo: DataFrame) -> DataFrame:
+    """G4/G9 from ``Lake.part_totals``: a side's average weighs the part's price by its rows, the
+    same exact sums as over single transactions."""
+    cents = scaled_int("precio_usd", 2)
+    priced = F.col("precio_usd").isNotNull()
+    agg = (per_part.join(_types(dim_tipo), "tipo_energia_id").groupBy("tipo_energia")
+           .agg(*[e for side, p in (("compra", "c"), ("venta", "v"))
+                  for e in (F.sum(F.when(F.col(f"n_{side}") > 0, cents * F.col(f"n_{side}"))).alias(f"s_{p}"),
+                            F.sum(F.when(priced, F.col(f"n_{side}")).otherwise(0)).alias(f"n_{p}"))]))
+    return _margins(agg, "s_c", "n_c", "s_v", "n_v")
+
+
 def _margins(df: DataFrame, s_c: str, n_c: str, s_v: str, n_v: str) -> DataFrame:
     """Averages per side and their unrounded difference, each rounded once, from the sums in
     cents and the counts."""
@@ -172,17 +184,23 @@ def duplicates(df: DataFrame, key: str | list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_filas")).where(F.col("n_filas") > 1)
 
 
-def kpis(fact: DataFrame, dim_proveedor: DataFrame, dim_cliente: DataFrame,
-         dim_ciudad: DataFrame, dim_tipo: DataFrame) -> DataFrame:
+def kpis(fact: DataFrame | None, dim_proveedor: DataFrame, dim_cliente: DataFrame,
+         dim_ciudad: DataFrame, dim_tipo: DataFrame, per_part: DataFrame | None = None) -> DataFrame:
     """One KPI row.  The fact aggregate is the row; the dimension counts are scalar
-    subqueries (each input scanned once, no join)."""
-    return fact.agg(
+    subqueries (each input scanned once, no join).  ``per_part`` (``Lake.part_totals``) may take
+    the fact's place."""
+    if per_part is None:
+        rows, totals = fact, [F.count(F.lit(1)), sum_qty(), sum_amt()]
+    else:
+        rows = per_part
+        totals = [F.coalesce(F.sum(F.col("n_compra") + F.col("n_venta")), F.lit(0).cast("long")), sum_qty(),
+                  F.sum(F.col("cantidad_mwh") * F.col("precio_usd")).cast(AMT)]
+    return rows.agg(
         dim_proveedor.agg(F.count_if(F.col("activo"))).scalar().alias("proveedores_activos"),
         dim_cliente.agg(F.count_if(F.col("activo"))).scalar().alias("clientes_activos"),
         dim_ciudad.agg(F.count(F.lit(1))).scalar().alias("ciudades"),
         dim_tipo.agg(F.count(F.lit(1))).scalar().alias("tipos_energia"),
-        F.count(F.lit(1)).alias("transacciones_totales"),
-        sum_qty().alias("mwh_transados"), sum_amt().alias("monto_usd_total"))
+        *[c.alias(n) for c, n in zip(totals, ("transacciones_totales", "mwh_transados", "monto_usd_total"))])
 
 
 def daily_sales(fact: DataFrame, dim_tipo: DataFrame, as_of=None, days: int = 30) -> DataFrame:

@@ -58,7 +58,7 @@ def _q2(lk: Lake) -> DataFrame:
 
 @query("q3_margin")
 def _q3(lk: Lake) -> DataFrame:
-    return A.q3_margin(lk.fact(with_customer=False), lk.dim_tipo_energia())
+    return A.margins_by_part(lk.part_totals(), lk.dim_tipo_energia()).orderBy(A.F.desc_nulls_last("margen_absoluto"), "tipo_energia")
 
 
 @query("g1_agg_monthly")
@@ -89,13 +89,13 @@ def _g8(lk: Lake) -> DataFrame:
 
 @query("g9_vw_margin")
 def _g9(lk: Lake) -> DataFrame:
-    return A.margin_pivot(lk.fact(with_customer=False), lk.dim_tipo_energia())
+    return A.margins_by_part(lk.part_totals(), lk.dim_tipo_energia())
 
 
 @query("g10_kpis")
 def _g10(lk: Lake) -> DataFrame:
-    return A.kpis(lk.fact(with_customer=False), lk.dim_proveedor(), lk.dim_cliente(),
-                  lk.dim_ciudad(), lk.dim_tipo_energia())
+    return A.kpis(None, lk.dim_proveedor(), lk.dim_cliente(), lk.dim_ciudad(), lk.dim_tipo_energia(),
+                  per_part=lk.part_totals())
 
 
 @query("g11_fx_dashboard")
@@ -125,6 +125,7 @@ def _g16(lk: Lake) -> DataFrame:
 
 # ---------------------------------------------------------------- data quality E1-E16
 from solera.operators import quality as Q  # noqa: E402
+from solera.operators import quality_states as QS  # noqa: E402
 
 
 def _register_check(check_id: int) -> None:
@@ -147,6 +148,29 @@ def _dq_summary(lk: Lake) -> DataFrame:
     return Q.dq_summary(Q.run_checks(Q.tables_from_lake(lk)))
 
 
+@query("dq_report")
+def _dq_report(lk: Lake) -> DataFrame:
+    return Q.report(Q.run_checks(Q.tables_from_lake(lk)))
+
+
+@query("dq_incremental")
+def _dq_incremental(lk: Lake) -> DataFrame:
+    # states of the months before 1996 and of those since, added up
+    t = Q.tables_from_lake(lk)
+    new = A.F.coalesce(A.F.col("anio") >= 1996, A.F.lit(False))
+    states = [QS.fact_states(t.transaccion.where(c), ("anio", "mes")) for c in (~new, new)]
+    return QS.run_checks(t, states[0].unionByName(states[1]))
+
+
+@query("dq_monthly_states")
+def _dq_monthly(lk: Lake) -> DataFrame:
+    s = QS.fact_states(lk.fact(), ("anio", "mes"))
+    return s.groupBy("anio", "mes", "medida").agg(
+        A.F.count(A.F.lit(1)).alias("claves"), A.F.sum("n").alias("filas"), A.F.max("n").alias("mayor"),
+        *[(A.F.sum(c) / A.F.lit(1000).cast("decimal(4,0)")).cast(A.QTY).alias(c) for c in ("compras", "ventas")],
+        A.F.sum("no_positivas").alias("no_positivas"), A.F.sum("fuera_de_rango").alias("fuera_de_rango"))
+
+
 # ---------------------------------------------------------------- transforms, sources, listings
 from pyspark.sql import functions as F  # noqa: E402
 

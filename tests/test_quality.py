@@ -106,3 +106,62 @@ def test_summary_and_gate(spark):
     with pytest.raises(Q.QualityGateError):
         Q.dq_gate(checks, block_on=("critical",))
     Q.dq_gate(checks, block_on=("low",))
+
+
+def _counts(df):
+    return sorted((r.id, r.actual, r.total, r.passed) for r in df.collect())
+
+
+@pytest.mark.parametrize("kind", [None, 5, 6, 14, 15])
+def test_suite_from_states_equals_each_check(spark, kind):
+    t = tables(spark, *(clean_rows() if kind is None else _dirty(kind)))
+    assert _counts(Q.run_checks(t)) == _counts(Q.run_checks(t, [c.id for c in Q.CHECKS]))
+
+
+def test_null_keys_sides_and_dates_count_alike(spark):
+    prov, cli, tx, te, ciu = clean_rows()
+    tx += [(None, None, None, None, None, None, None, None)] * 2 + [(7, None, "venta", None, 1, 1, D("3"), None)]
+    t = tables(spark, prov, cli, tx, te, ciu)
+    assert _counts(Q.run_checks(t)) == _counts(Q.run_checks(t, [c.id for c in Q.CHECKS]))
+
+
+def test_state_store_reads_changed_partitions_only(spark, tmp_path):
+    from solera.operators import quality_states as QS
+    from solera.sources import lake as L
+    prov, cli, tx, te, ciu = clean_rows()
+    tx += [(50, d("2024-02-01"), "compra", 1, None, 1, D("9"), D("20.00")), (51, d("2024-03-05"), "venta", None, 5, 1, D("9"), D("1.00"))]
+    root, store = str(tmp_path / "fact"), str(tmp_path / "states")
+
+    def write(rows):
+        from pyspark.sql import functions as F
+        df = spark.createDataFrame(rows, TX)
+        L.write_partitioned(df.withColumn("anio", F.year("fecha")).withColumn("mes", F.month("fecha")), str(tmp_path), "fact", ["anio", "mes"])
+
+    def full(rows):
+        return _counts(Q.run_checks(tables(spark, prov, cli, rows, te, ciu), [c.id for c in Q.CHECKS]))
+
+    write(tx)
+    with pytest.raises(ValueError):
+        QS.stored_states(spark, root, store)
+    assert len(QS.refresh(spark, root, store)) == 3
+    dims = tables(spark, prov, cli, tx, te, ciu)
+    assert _counts(QS.run_checks(dims, QS.stored_states(spark, root, store))) == full(tx)
+    assert QS.refresh(spark, root, store) == []
+    # a row more in one month (its id is one of another month), appended as a file of its own
+    extra = [(1, d("2024-02-09"), "venta", None, None, 3, D("0"), D("20.00"))]
+    (spark.createDataFrame(extra, TX).write.parquet(root + "/anio=2024/mes=2", mode="append"))
+    assert QS.refresh(spark, root, store) == ["anio=2024/mes=2"]
+    got = _counts(QS.run_checks(dims, QS.stored_states(spark, root, store)))
+    assert got == full(tx + extra) and dict((i, a) for i, a, _, _ in got)[5] == 1
+    # a month that leaves the fact no longer counts
+    write(tx[:-1])
+    QS.refresh(spark, root, store)
+    assert _counts(QS.run_checks(dims, QS.stored_states(spark, root, store))) == full(tx[:-1])
+
+
+def test_report_words_and_runtime(spark, tmp_path):
+    t = tables(spark, *_dirty(13))
+    rows = {r.id: r for r in Q.report(Q.run_checks(t)).collect()}
+    assert rows[1].message == "ok" and rows[13].message == "1 of 4 rows outside" and rows[13].description
+    s = Q.timed_report(t, str(tmp_path / "dq"))
+    assert (s["total"], s["failed"]) == (15, 1) and s["runtime_sec"] > 0
