@@ -274,3 +274,53 @@ def usage_from_events(lk: Lake) -> DataFrame:
     svc = F.create_map(*[F.lit(x) for kv in SERVICE_BY_EVENT.items() for x in kv])[F.col("event_type")]
     return lk.raw("events").select(F.col("user_id").alias("account"), svc.alias("service"),
                                    F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,6)").alias("quantity"))
+
+
+# ---------------- run logs and registries derived for the operators that need them ----------------
+JOB_STATES = {"F": "SUCCEEDED", "O": "FAILED", "P": "RUNNING"}        # by order status
+SENSITIVITIES = ["Public", "Internal", "Confidential", "Restricted"]  # by part size
+
+
+def models(lk: Lake) -> DataFrame:
+    """Recommendation models: one is trained on each month's notifications and named after it;
+    its metrics are that month's counts; the newest is active.  One row per month."""
+    n = lk.notifications()
+    month = F.trunc("enviada_en", "month")
+    per_month = n.groupBy(month.alias("_m")).agg(
+        F.max("enviada_en").alias("entrenado_en"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("leida")).alias("leidas"), F.count_if(F.col("convertida")).alias("convertidas")).where("_m IS NOT NULL")
+    w = Window.orderBy("_m")  # one row per month
+    features = F.lit('{"ventana":"mes","entrada":"score_confianza"}')
+    return per_month.select(
+        F.row_number().over(w).alias("modelo_id"), F.date_format("_m", "yyyy.MM").alias("version"),
+        F.lit("tasa_por_canal").alias("algoritmo"), features.alias("features"),
+        F.to_json(F.struct("n", "leidas", "convertidas")).alias("metricas"),
+        (F.lead("_m").over(w).isNull()).alias("activo"), "entrenado_en")
+
+
+def job_runs(lk: Lake) -> DataFrame:
+    """Job runs: every order is a run of its priority's job, its total the DPU seconds."""
+    state = F.create_map(*[F.lit(x) for kv in JOB_STATES.items() for x in kv])[F.col("o_orderstatus")]
+    return lk.raw("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("job"),
+                                   state.alias("state"), F.col("o_totalprice").cast("decimal(18,6)").alias("dpu_seconds"))
+
+
+def stage_runs(lk: Lake) -> DataFrame:
+    """Stages of pipeline runs: an order's line numbers; a stage failed when a line of it was
+    returned."""
+    return (lk.raw("lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("stage_order"))
+            .agg(F.when(F.count_if(F.col("l_returnflag") == "R") > 0, F.lit("FAILED")).otherwise(F.lit("SUCCEEDED")).alias("state")))
+
+
+def scan_log(lk: Lake) -> DataFrame:
+    """Query log: every event is a query that scanned ``value`` x 2^24 bytes."""
+    return lk.raw("events").select(F.col("event_id").alias("query_id"),
+                                   F.floor(F.col("value").cast("decimal(12,2)") * F.lit(2 ** 24)).cast("bigint").alias("scanned_bytes"))
+
+
+def table_tags(lk: Lake) -> DataFrame:
+    """Catalogue tags: a part is a table, its size gives the sensitivity, every seventh holds
+    personal data."""
+    level = F.element_at(F.array(*[F.lit(x) for x in SENSITIVITIES]), (F.col("p_size") % len(SENSITIVITIES)).cast("int") + 1)
+    return lk.raw("part").select(F.col("p_partkey").alias("tabla_id"), F.col("p_name").alias("tabla"), level.alias("sensitivity"),
+                                 (F.col("p_partkey") % 7 == 0).alias("pii"))

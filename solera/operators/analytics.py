@@ -269,7 +269,7 @@ def notification_funnel(notif: DataFrame) -> DataFrame:
 
 
 def fx_dashboard(pairs: DataFrame, ticks: DataFrame, portfolios: DataFrame, notif: DataFrame,
-                 as_of=None, active_model: str | None = None) -> DataFrame:
+                 as_of=None, active_model: Column | str | None = None) -> DataFrame:
     """G11 + G12: one FX dashboard row.  ``ticks_24h`` counts ticks in the 24 h before
     ``as_of`` (default: newest tick).  CTR = read*100/total, conversion = converted*100/read,
     2 decimals HALF_UP, 0 when the denominator is 0."""
@@ -288,6 +288,6 @@ def fx_dashboard(pairs: DataFrame, ticks: DataFrame, portfolios: DataFrame, noti
         F.count_if(F.col("convertida")).alias("notificaciones_convertidas"),
         exact_avg("score_confianza", 2, 4).alias("score_promedio"))
     return row.select("*",
-                      F.lit(active_model).cast("string").alias("modelo_activo"),
+                      (active_model if isinstance(active_model, Column) else F.lit(active_model)).cast("string").alias("modelo_activo"),
                       rate_pct("notificaciones_leidas", "notificaciones_total").alias("ctr_pct"),
                       rate_pct("notificaciones_convertidas", "notificaciones_leidas").alias("conversion_pct"))

@@ -118,3 +118,11 @@ def notifications(notif: DataFrame, pairs: DataFrame, limit: int = 200) -> DataF
     return df.select("notificacion_id", "cliente_id", "tipo", "par_id", "par_label", "precio_referencia",
                      "score_confianza", "canal", "enviada_en", "leida", "convertida").orderBy(
         F.col("enviada_en").desc(), F.col("notificacion_id").desc()).limit(n)
+
+
+def models(registry: DataFrame) -> DataFrame:
+    """Models, newest first; features and metrics as maps of their JSON."""
+    as_map = "map<string,string>"
+    return (registry.select("modelo_id", "version", "algoritmo", F.from_json("features", as_map).alias("features"),
+                            F.from_json("metricas", as_map).alias("metricas"), "activo", "entrenado_en")
+            .orderBy(F.desc("entrenado_en"), "modelo_id"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from solera import mapping as M
 from solera.mapping import Lake
 from solera.operators import analytics as A
 
@@ -100,7 +101,8 @@ def _g10(lk: Lake) -> DataFrame:
 
 @query("g11_fx_dashboard")
 def _g11(lk: Lake) -> DataFrame:
-    return A.fx_dashboard(lk.dim_par(), lk.ticks(), lk.portfolios(), lk.notifications())
+    active = M.models(lk).where("activo").agg(A.F.max("version")).scalar()
+    return A.fx_dashboard(lk.dim_par(), lk.ticks(), lk.portfolios(), lk.notifications(), active_model=active)
 
 
 @query("g13_daily_sales")
@@ -287,8 +289,40 @@ def _b23(lk: Lake) -> DataFrame:
 
 @query("a10_reconcile_warehouse")
 def _a10(lk: Lake) -> DataFrame:
+    # the copy is written in the warehouse's types and read again, as the load does
+    from solera.session import materialize
     f = lk.fact()
-    return etl.reconcile(f, LK.to_contract(f))
+    return etl.reconcile(f, materialize(LK.to_contract(f), "warehouse_fact"))
+
+
+@query("a20_load_differences")
+def _a20d(lk: Lake) -> DataFrame:
+    # what changed between the last two yearly client loads
+    snaps = customer_snapshots(lk)
+    newest = snaps.agg(F.max("loaded_at")).scalar()
+    before = snaps.where(F.col("loaded_at") < newest).agg(F.max("loaded_at")).scalar()
+    a, b = (snaps.where(F.col("loaded_at") == x).drop("loaded_at") for x in (before, newest))
+    return GV.differences(a, b, ["cliente_id"], ["cliente_id", "num_pedidos", "total_pedidos"])
+
+
+@query("b17_service_names")
+def _b17(lk: Lake) -> DataFrame:
+    # billed under the long names of the services
+    long_name = F.create_map(*[F.lit(x) for full, short in B.SERVICE_NAME_REPLACEMENTS for x in (short, full)])
+    svc = M.usage_from_events(lk).select(long_name[F.col("service")].alias("servicio"))
+    return B.normalize_names(svc, "servicio").groupBy("servicio").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b22_governed_tables")
+def _b22(lk: Lake) -> DataFrame:
+    return B.governed_tables(M.table_tags(lk)).select("tabla_id", "tabla", "sensitivity")
+
+
+@query("l_models")
+def _lm(lk: Lake) -> DataFrame:
+    # maps as JSON text, which SQL engines compare alike
+    m = LS.models(M.models(lk))
+    return m.withColumns({c: F.to_json(c) for c in ("features", "metricas")})
 
 
 @query("a17_table_counts")
@@ -444,6 +478,11 @@ def _g26(lk: Lake) -> DataFrame:
     return FX.active_users(lk.raw("events"))
 
 
+@query("g26_active_users_sketch")
+def _g26s(lk: Lake) -> DataFrame:
+    return FX.active_users_from_sketches(FX.daily_user_sketches(lk.raw("events")))
+
+
 @query("g27_ab_uplift")
 def _g27(lk: Lake) -> DataFrame:
     return FX.ab_uplift(_with_arm(lk.notifications()))
@@ -610,6 +649,35 @@ def _g21(lk: Lake) -> DataFrame:
     return C.plan_status(credits, usage.agg(F.max("day")).scalar(), PLAN_ENDS_ON)
 
 
+@query("g22_job_cost")
+def _g22(lk: Lake) -> DataFrame:
+    return C.job_cost(M.job_runs(lk)).select("job", "runs", F.col("dpu_hours").cast("decimal(38,6)").alias("dpu_hours"),
+                                             F.col("cost_usd").cast("decimal(38,4)").alias("cost_usd"))
+
+
+@query("g22_pipeline_status")
+def _g22p(lk: Lake) -> DataFrame:
+    return C.pipeline_status(M.stage_runs(lk))
+
+
+@query("g23_scan_cost")
+def _g23(lk: Lake) -> DataFrame:
+    return C.scan_cost(M.scan_log(lk))[0].select("bytes", "queries", *[F.col(c).cast("double").alias(c) for c in ("tb", "cost_usd")])
+
+
+@query("g23_scan_overruns")
+def _g23o(lk: Lake) -> DataFrame:
+    return C.scan_cost(M.scan_log(lk))[1]
+
+
+@query("g30_unit_cost")
+def _g30u(lk: Lake) -> DataFrame:
+    cost = C.metered_cost(usage_from_events(lk), C.price_table(lk.spark))
+    return FX.unit_cost(cost, "charged_usd", lk.notifications()).select(
+        F.col("costo_total").cast("decimal(38,4)").alias("costo_total"), "notificaciones",
+        F.round(F.col("costo_unitario"), 6).cast("decimal(38,6)").alias("costo_unitario"))
+
+
 # ---------------------------------------------------------------- governance A18, A20, scalar 2.H
 from solera.functions.scalar import seasonality  # noqa: E402
 from solera.operators import governance as GV  # noqa: E402

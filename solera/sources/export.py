@@ -29,14 +29,14 @@ class NotAllowed(ValueError):
 def export_csv(tables: dict[str, DataFrame], name: str, path: str, max_rows: int,
                allowed: set[str], order_by: list[str] | None = None) -> int:
     """Export an allow-listed table as CSV with header, at most ``max_rows`` rows (the cap
-    is clamped to [100, 100000]); NULL is written as an empty field.  ``order_by`` makes the
-    capped prefix repeatable (a top-k, ``TakeOrderedAndProject``).  Returns the cap used."""
+    is clamped to [100, 100000]); NULL is written as an empty field.  ``order_by`` is required: it makes
+    the capped prefix repeatable (a top-k, ``TakeOrderedAndProject``).  Returns the cap used."""
     if name not in allowed or name not in tables:
         raise NotAllowed(f"table {name!r} is not exportable")
+    if not order_by:
+        raise ValueError("order_by decides which rows a capped export holds")
     n = clamp(max_rows, CSV_MIN_ROWS, CSV_MAX_ROWS)
     df = tables[name]
-    if order_by:
-        df = df.orderBy(*order_by)
-    out = df.limit(n).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    out = df.orderBy(*order_by).limit(n).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     out.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
     return n
