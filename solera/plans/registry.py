@@ -6,6 +6,7 @@ them) and calls one operator.  ``run_query(spark, sf_dir, name)`` is the single
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,6 +183,7 @@ from solera.operators import listings as LS  # noqa: E402
 from solera.operators import transform as B  # noqa: E402
 from solera.plans import etl  # noqa: E402
 from solera.sources import catalog as CAT  # noqa: E402
+from solera.sources import files as FL  # noqa: E402
 from solera.sources import lake as LK  # noqa: E402
 
 
@@ -271,6 +273,19 @@ def _b20(lk: Lake) -> DataFrame:
     return report
 
 
+@query("b20_erase_in_place")
+def _b20f(lk: Lake) -> DataFrame:
+    # the fact written by year, subjects' files rewritten, what is left read again
+    from solera.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(lk.spark).rstrip('/')}/tables/erasure-{uuid.uuid4().hex}/fact"
+    LK.write_partitioned(lk.fact(), root.rsplit("/", 1)[0], "fact", ["anio"])
+    subjects = lk.raw("customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("cliente_id"))
+    FL.erase_in_files(lk.spark, root, "cliente_id", subjects, "cliente_id", ("anio",))
+    left = lk.spark.read.parquet(root)
+    return left.groupBy("anio").agg(F.count(F.lit(1)).alias("filas"), F.count("cliente_id").alias("ventas"),
+                                    F.sum("monto_usd").cast("decimal(38,5)").alias("monto_usd"))
+
+
 @query("b21_pii_scan")
 def _b21(lk: Lake) -> DataFrame:
     return B.pii_scan(lk.raw("documents"), "text", "doc_id")
