@@ -23,6 +23,9 @@ SPREAD_RATE = 0.002              # venta = compra * 1.002
 # --------------------------------------------------------------------------------------------
 
 
+SKETCH_K = 1024
+
+
 def ctr_by_channel(notif: DataFrame) -> DataFrame:
     """Per channel sent / read / converted, CTR and conversion (2 dp, 0 on empty)."""
     g = notif.groupBy("canal").agg(F.count(F.lit(1)).alias("enviadas"),
@@ -70,6 +73,41 @@ def discrete_percentiles(df: DataFrame, col: str, probs: list[float], group: lis
             .select(*group, "p", F.col(col).alias("valor")))
 
 
+def daily_sketches(df: DataFrame, col: str, ts: str, k: int = SKETCH_K) -> DataFrame:
+    """G25 at scale: per day a mergeable quantile sketch (KLL) of a column, some KB whatever the day
+    holds; NULLs and NaN are left out.  Days are stored once; ``sketched_percentiles`` merges them."""
+    x = F.col(col).cast("double")
+    return (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.to_date(ts).alias("dia"))
+            .agg(F.kll_sketch_agg_double(x, k).alias("resumen")))
+
+
+def sketched_percentiles(days: DataFrame, probs=(0.05, 0.25, 0.5, 0.75, 0.95), unit: str | None = None) -> DataFrame:
+    """Percentiles per day, or per ``unit`` (week, month) by merging days; no row of the table is read.
+    The rank of a value given is within about 0.4 % of the one asked (k = 1024; the sketch draws
+    at random, so two runs may differ within it)."""
+    period = F.col("dia") if unit is None else F.trunc("dia", unit)
+    merged = days.groupBy(period.alias("periodo")).agg(F.kll_merge_agg_double("resumen").alias("resumen"))
+    asked = F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"),
+                                        F.kll_sketch_get_quantile_double("resumen", F.lit(float(p))).alias("valor")) for p in probs]))
+    return merged.select("periodo", F.kll_sketch_get_n_double("resumen").alias("filas"), asked)
+
+
+def distribution_drift(df: DataFrame, col: str, ts: str, lo: float, hi: float, bins: int = 20) -> DataFrame:
+    """Drift of a column from one day to the next day that has rows: the largest difference between
+    their shares below a bin's edge (Kolmogorov-Smirnov on ``bins`` bins of [lo, hi], values outside
+    in the outer bins), exact to 6 decimals.  One aggregation with map-side sums; what follows
+    runs on a row a day.  NULLs and NaN are left out."""
+    x = F.col(col).cast("double")
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * bins)))
+    days = (df.where(x.isNotNull() & ~F.isnan(x) & F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("dia"))
+            .agg(F.count(F.lit(1)).alias("filas"), F.array(*[F.count_if(b <= i) for i in range(bins)]).alias("_c")))
+    w = Window.orderBy("dia")  # one row per day
+    pairs = days.select("*", *[F.lag(c).over(w).alias(a) for c, a in (("dia", "dia_anterior"), ("filas", "_pf"), ("_c", "_pc"))])
+    n, m = (F.col(c).cast("decimal(19,0)") for c in ("filas", "_pf"))
+    far = F.array_max(F.zip_with("_c", "_pc", lambda a, p: F.abs(a * m - p * n)))
+    return pairs.where("_pf IS NOT NULL").select("dia", "dia_anterior", "filas", exact_ratio(far, n * m, 6).alias("distancia"))
+
+
 def score_percentiles(notif: DataFrame, probs=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Score distribution percentiles (drift monitoring)."""
     return discrete_percentiles(notif, "score_confianza", list(probs))

@@ -488,6 +488,22 @@ def _g25(lk: Lake) -> DataFrame:
     return FX.score_percentiles(lk.notifications())
 
 
+@query("g25_score_drift")
+def _g25d(lk: Lake) -> DataFrame:
+    return FX.distribution_drift(lk.notifications(), "score_confianza", "enviada_en", 0.0, 1.0)
+
+
+@query("g25_price_drift")
+def _g25p(lk: Lake) -> DataFrame:
+    return FX.distribution_drift(lk.ticks(), "precio_compra", "capturado_en", 0.0, 100.0, bins=50)
+
+
+@query("g25_sketched_percentiles")
+def _g25s(lk: Lake) -> DataFrame:
+    days = FX.daily_sketches(lk.notifications(), "score_confianza", "enviada_en")
+    return FX.sketched_percentiles(days).unionByName(FX.sketched_percentiles(days, unit="month"))
+
+
 @query("g26_active_users")
 def _g26(lk: Lake) -> DataFrame:
     return FX.active_users(lk.raw("events"))
