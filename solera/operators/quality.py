@@ -167,14 +167,14 @@ def daily_volumes(tx: DataFrame) -> DataFrame:
                  F.sum(F.when(F.col("tipo") == "venta", F.col("cantidad_mwh")).otherwise(0)).alias("ventas")))
 
 
-def date_gaps(dates: DataFrame, date_col: str = "fecha", max_days: int = MAX_GAP_DAYS) -> DataFrame:
-    """``LAG(date) OVER (ORDER BY date)`` and the day difference, gaps > ``max_days``.
-    The global window runs over *distinct dates* (one row per calendar day), a set whose size
-    is bounded by the covered time span, not by the data volume."""
-    w = Window.orderBy(date_col)
-    d = dates.select(date_col).where(F.col(date_col).isNotNull()).distinct()
-    g = d.select(date_col, F.lag(date_col).over(w).alias("prev"))
-    g = g.select(date_col, "prev", F.datediff(F.col(date_col), F.col("prev")).alias("gap_dias"))
+def date_gaps(dates: DataFrame, date_col: str = "fecha", max_days: int = MAX_GAP_DAYS, by: tuple[str, ...] = ()) -> DataFrame:
+    """``LAG(date) OVER (ORDER BY date)`` and the day difference, gaps > ``max_days``, over all dates
+    or per ``by``.  The window runs over *distinct dates* (one row per calendar day, of a key where
+    there is one), a set whose size is bounded by the covered time span, not by the data volume."""
+    w = Window.partitionBy(*by).orderBy(date_col)
+    d = dates.select(*by, date_col).where(F.col(date_col).isNotNull()).distinct()
+    g = d.select(*by, date_col, F.lag(date_col).over(w).alias("prev"))
+    g = g.select(*by, date_col, "prev", F.datediff(F.col(date_col), F.col("prev")).alias("gap_dias"))
     return g.where(F.col("gap_dias") > max_days)
 
 

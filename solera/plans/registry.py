@@ -22,12 +22,10 @@ QUERIES: dict[str, QueryFn] = {}
 def prepare(spark: SparkSession) -> None:
     """Settings every query relies on, applied to whatever session the caller passes:
     event times are UTC wall clock (``timestamp_ntz``), so the session zone must be UTC for
-    epoch arithmetic and day boundaries; a checkpoint folder must exist for the plans that
-    cut lineage."""
-    from solera.session import ensure_checkpoint_dir
+    epoch arithmetic and day boundaries.  Plans that write intermediates look for the checkpoint
+    folder themselves, so the others run where none is set."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
 
 
 def query(name: str):
@@ -413,6 +411,18 @@ def _w1(lk: Lake) -> DataFrame:
     return Q.date_gaps(lk.fact(with_customer=False, with_price=False).select("fecha"), "fecha", 7)
 
 
+@query("w1_client_gaps")
+def _w1c(lk: Lake) -> DataFrame:
+    # clients that went a year without an order
+    o = lk.raw("orders").select(F.col("o_custkey").alias("cliente_id"), F.to_date("o_orderdate").alias("fecha"))
+    return Q.date_gaps(o, "fecha", 365, by=("cliente_id",))
+
+
+@query("w2_ranked_loads")
+def _w2(lk: Lake) -> DataFrame:
+    return W.rank_latest(customer_snapshots(lk), "cliente_id", "loaded_at").select("cliente_id", "loaded_at", "num_pedidos", "rn")
+
+
 @query("w4_rolling_volatility")
 def _w4(lk: Lake) -> DataFrame:
     v = W.rolling_volatility(lk.ticks())

@@ -108,19 +108,30 @@ def upsert_micro_batch(target_path: str, key: str, ts: str, buckets: int = 64):
     micro-batch reads and rewrites only the buckets its keys fall in (the current rows come
     through a semi join on the bucket column, i.e. partition pruning, and the write uses
     dynamic partition overwrite), so a batch costs O(touched buckets), not O(state).  The
-    merged rows are checkpointed before they overwrite their own source folders."""
+    merged rows are written to ``_pending`` inside the table before they replace the folders they
+    were read from; a batch that stopped in between is completed by the next call (a batch run
+    twice changes nothing, as the newest row of a key stays the newest)."""
+    pending = f"{target_path.rstrip('/')}/_pending"
+
+    def replace(spark: SparkSession, fs, path) -> None:
+        (spark.read.parquet(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_bucket").parquet(target_path))
+        fs.delete(path(pending), True)
+
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(target_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path(f"{pending}/_SUCCESS")):
+            replace(spark, fs, path)
         b = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(target_path)
         merged = b
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # a read error is an error
+        if len(fs.globStatus(path(f"{target_path}/_bucket=*")) or []):  # a read error is an error
             touched = b.select("_bucket").distinct()
             merged = spark.read.parquet(target_path).join(touched, "_bucket", "left_semi").unionByName(b)
         cols = [c for c in merged.columns if c not in (key, ts, "_bucket")]
-        out = latest_by_key(merged, key, ts, cols + ["_bucket"]).checkpoint(eager=True)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_bucket").parquet(target_path))
+        latest_by_key(merged, key, ts, cols + ["_bucket"]).write.mode("overwrite").parquet(pending)
+        replace(spark, fs, path)
     return fn
 
 

@@ -173,6 +173,33 @@ def test_s3_state_sink_rewrites_only_touched_buckets(spark, tmp_path):
     assert len(state) == 40 and state[7] == "new" and state[8] == "a8"
 
 
+def test_s3_state_sink_completes_a_stopped_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    target, t0, sch = str(tmp_path / "state"), dt.datetime(2024, 1, 1), "k long, ts timestamp, v string"
+    sink = S.upsert_micro_batch(target, "k", "ts", buckets=4)
+    real = DataFrameWriter.parquet
+
+    def stop_at(where):
+        def parquet(self, path, *a, **kw):
+            if path == where:
+                raise KeyboardInterrupt
+            return real(self, path, *a, **kw)
+        return parquet
+    first = spark.createDataFrame([(i, t0, f"a{i}") for i in range(20)], sch)
+    second = spark.createDataFrame([(3, t0 + dt.timedelta(hours=1), "new")], sch)
+    for n, where in ((0, f"{target}/_pending"), (0, target), (1, f"{target}/_pending"), (1, target)):
+        monkeypatch.setattr(DataFrameWriter, "parquet", stop_at(where))
+        with pytest.raises(KeyboardInterrupt):
+            sink([first, second][n], n)
+        monkeypatch.setattr(DataFrameWriter, "parquet", real)
+        if (n, where) == (0, target):
+            sink(first, 0)
+    # the stream runs the stopped batch again; another one completes it just as well
+    sink(spark.createDataFrame([(99, t0, "x")], sch), 2)
+    state = {r.k: r.v for r in spark.read.parquet(target).collect()}
+    assert len(state) == 21 and state[3] == "new" and state[4] == "a4"
+
+
 def test_s13_sessions_stream_equals_batch(spark, tmp_path):
     from solera.operators import features as W
     ev = S.as_event_time(Lake(spark, SF001).raw("events"), "ts").select("event_id", "user_id", "ts")
