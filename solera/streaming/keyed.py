@@ -17,6 +17,7 @@ stream                 key                             batch twin
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
@@ -35,6 +36,11 @@ _EPOCH = dt.datetime(1970, 1, 1)
 def with_state_store(spark: SparkSession) -> None:
     """Keyed state with several variables and timers needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the processors are classes of this module: workers that do not start in the repository find it
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (home, env.get("PYTHONPATH", "")) if p)
 
 
 # ---------------------------------------------------------------- S10 + S5-S9
