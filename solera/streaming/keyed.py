@@ -9,7 +9,7 @@ a batch twin that the tests hold it against:
 stream                 key                             batch twin
 =====================  ==============================  =========================================
 ``decide_stream``      user                            ``rules.decide``
-``triggers_stream``    pair, or user of a portfolio    ``rules.evaluation_triggers``
+``triggers_stream``    pair, or group of users         ``rules.evaluation_triggers``
 ``silence_stream``     feed                            ``ticks.throughput_alarms_batch``
 =====================  ==============================  =========================================
 """
@@ -21,6 +21,7 @@ import os
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,43 +146,59 @@ def decide_stream(notif: DataFrame, portfolios: DataFrame, tz: str = R.DEFAULT_T
 _TRIGGER = "origen string, clave long, evento_id long, instante timestamp, motivo string"
 
 
+#: Groups that the users of portfolios are dealt into, the key of their state: a query keeps it for
+#: as long as its checkpoint lives.
+USER_GROUPS = 4096
+
+
 class _Trigger(StatefulProcessor):
-    """One pair (counts its ticks) or one user (remembers the portfolio's content)."""
+    """One pair (counts its ticks) or one group of users (remembers the content of each one's
+    portfolio).  A user is an entry of the group's map state, read and written only when it has
+    updates: what a call costs is paid once a group, not once a user."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
-        self.content = handle.getValueState("content", "c string")
+        self.content = handle.getMapState("content", "clave long", "c string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["instante", "evento_id"], kind="mergesort")
-        if key[0] == R.FROM_TICKS:
-            seen = self.count.get()[0] if self.count.exists() else 0
-            hit = [(seen + k) % self.n == 0 for k in range(1, len(pdf) + 1)]
-            self.count.update((seen + len(pdf),))
-        else:
-            last, hit = self.content.get()[0] if self.content.exists() else None, []
-            for c in pdf["contenido"].tolist():
-                hit.append(last is None or c != last)
-                last = c
-            self.content.update((last,))
-        pdf = pdf[hit]
-        yield pd.DataFrame({"origen": key[0], "clave": key[1], "evento_id": pdf["evento_id"], "instante": pdf["instante"],
+        pdf = self._ticks(rows).assign(clave=key[1]) if key[0] == R.FROM_TICKS else self._updates(rows)
+        yield pd.DataFrame({"origen": key[0], "clave": pdf["clave"], "evento_id": pdf["evento_id"], "instante": pdf["instante"],
                             "motivo": R.TRIGGER_REASONS[key[0]]}).astype({"clave": "int64", "evento_id": "int64"})
 
     def close(self) -> None:
         pass
 
-
-def triggers_stream(ticks: DataFrame, updates: DataFrame, n: int = R.EVERY_N_TICKS) -> DataFrame:
+    def _ticks(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat([r[["evento_id", "instante"]] for r in rows], ignore_index=True).sort_values(["instante", "evento_id"])
+        seen = self.count.get()[0] if self.count.exists() else 0
+        self.count.update((seen + len(pdf),))
+        return pdf.iloc[self.n - 1 - seen % self.n::self.n]
+
+    def _updates(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat([r[["clave", "evento_id", "instante", "contenido"]] for r in rows], ignore_index=True).sort_values(["clave", "instante", "evento_id"])
+        users, now = pdf["clave"].to_numpy(), pdf["contenido"].to_numpy(dtype="object")
+        first = np.append(True, users[1:] != users[:-1])
+        known = self.content.exists()
+        kept = [self.content.getValue((int(u),)) if known else None for u in users[first]]
+        before = np.append(None, now[:-1])
+        before[first] = [k[0] if k else None for k in kept]
+        for u, old, c in zip(users[first], before[first], now[np.append(first[1:], True)], strict=True):
+            if old is None or c != old:
+                self.content.updateValue((int(u),), (c,))
+        return pdf[[old is None or c != old for old, c in zip(before, now, strict=True)]]
+
+
+def triggers_stream(ticks: DataFrame, updates: DataFrame, n: int = R.EVERY_N_TICKS, groups: int = USER_GROUPS) -> DataFrame:
     """S4 on two streams that share one keyed state: every n-th tick of a pair, and every update
     of a user's portfolio that changes its content.  Each micro-batch is taken in order of time;
     events must not come in a later one than their successors (as from a log by key)."""
     with_state_store(ticks.sparkSession)
-    both = R.trigger_events(ticks, updates)
-    return both.groupBy("origen", "clave").transformWithStateInPandas(
+    group = F.when(F.col("origen") == R.FROM_TICKS, F.col("clave")).otherwise(F.pmod(F.xxhash64("clave"), F.lit(groups)))
+    both = R.trigger_events(ticks, updates).withColumn("grupo", group)
+    return both.groupBy("origen", "grupo").transformWithStateInPandas(
         statefulProcessor=_Trigger(n), outputStructType=_TRIGGER, outputMode="Append", timeMode="None")
 
 

@@ -5,6 +5,7 @@ import datetime as dt
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,54 @@ def test_triggers_equal_the_batch_after_a_restart(spark, lake, tmp_path):
     assert len([r for r in want if r[0] == "portafolio"]) < updates.count()
 
 
+def test_a_group_of_users_is_one_call_and_each_keeps_its_own_content():
+    class Map(dict):
+        reads = writes = 0
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):
+            self.reads += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self[key] = value
+
+    state = Map()
+    handle = type("Handle", (), {"getValueState": lambda *_: None, "getMapState": lambda *_: state})()
+    p = K._Trigger(5)
+    p.init(handle)
+
+    def call(*rows):
+        pdf = pd.DataFrame(rows, columns=["clave", "evento_id", "instante", "contenido"]).assign(origen=R.FROM_PORTFOLIO, grupo=0)
+        pdf["instante"] = pd.to_datetime(pdf["instante"], unit="s")
+        out = pd.concat(p.handleInputRows((R.FROM_PORTFOLIO, 0), iter([pdf.iloc[:2], pdf.iloc[2:]]), None))
+        return sorted(zip(out["clave"], out["evento_id"], strict=True))
+
+    # out of order, two users whose contents alternate between them but not for each of them
+    assert call((2, 12, 2, "b"), (1, 10, 1, "a"), (1, 11, 3, "a"), (2, 13, 4, "b"), (3, 14, 5, "c"), (3, 15, 6, "d")) == [(1, 10), (2, 12), (3, 14), (3, 15)]
+    assert (state.reads, state.writes) == (0, 3)
+    # only the users of the micro-batch are looked up, only what changed is written
+    assert call((1, 20, 7, "a"), (3, 22, 9, "c"), (3, 21, 8, "d"), (4, 23, 8, "d")) == [(3, 22), (4, 23)]
+    assert (state.reads, state.writes) == (3, 5) and state == {(1,): ("a",), (2,): ("b",), (3,): ("c",), (4,): ("d",)}
+
+
+def test_users_that_share_a_group_trigger_as_in_the_batch(spark, lake, tmp_path):
+    ticks = S.as_event_time(lake.ticks(), "capturado_en")
+    updates = S.as_event_time(portfolio_updates(lake), "actualizado_en")
+    a, b = Feed(spark, tmp_path / "a", ticks.schema), Feed(spark, tmp_path / "b", updates.schema)
+    a.root.mkdir(), b.root.mkdir()
+    ta, ub = parts(ticks, "capturado_en", 2)[0], parts(updates, "actualizado_en", 2)[0]
+    for k in range(2):
+        a.add(ta[k])
+        b.add(ub[k])
+        got = a.run(K.triggers_stream(a.source(), b.source(), groups=3))
+    key = lambda df: sorted((r.origen, r.clave, r.evento_id, r.instante, r.motivo) for r in df.collect())
+    assert key(got) == key(R.evaluation_triggers(ticks, updates))
+
+
 def test_silent_windows_are_filled_and_told(spark, lake, tmp_path):
     ticks = S.as_event_time(lake.ticks(), "capturado_en").where("capturado_en < '2024-01-03'").cache()
     gap = ticks.where("capturado_en < '2024-01-01 06:00' or capturado_en >= '2024-01-01 09:00'")
