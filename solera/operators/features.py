@@ -71,7 +71,8 @@ def chunk_starts(df: DataFrame, key, t_col: str, rows: int = CHUNK_ROWS) -> Data
     keys = _keys(key)
     timed = df.where(F.col(t_col).isNotNull()).select(*keys, F.floor(F.col(t_col)).cast("long").alias("_sec"))
     long = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).drop("_n")
-    n = (_joined(timed, long, keys, "left_semi").groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(F.col("_sec"))))
+    # at most one key for every ``rows`` rows, sent to the rows: a join by key would put all rows of a key in one task
+    n = (_joined(timed, F.broadcast(long), keys, "left_semi").groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(F.col("_sec"))))
     earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = n.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
     days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -119,23 +120,30 @@ def trailing(df: DataFrame, key, t_col: str, windows: dict[str, int], sums: dict
     time gets NULL sums."""
     keys = _keys(key)
     names = list(sums)
+    # sums of small integers cannot leave 64 bits; each row of the line is that much narrower
+    small = {f.name for f in df.select(*[sums[n].alias(n) for n in names]).schema if f.dataType.simpleString() in ("tinyint", "smallint", "int")}
+    kind = {n: "bigint" if n in small else "decimal(38,0)" for n in names}
     inst = (df.where(F.col(t_col).isNotNull()).groupBy(*keys, F.col(t_col).alias("_t0"))
-            .agg(*[F.coalesce(F.sum(sums[n].cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(n) for n in names]))
-    none = [F.lit(0).cast("decimal(38,0)").alias(n) for n in names]
-    here = F.struct(F.col("_t0").alias("_at"), F.lit(1).alias("_side"), F.lit("").alias("_w"), *names)
-    asks = [F.struct((F.col("_t0") - secs).alias("_at"), F.lit(0).alias("_side"), F.lit(w).alias("_w"), *none) for w, secs in windows.items()]
+            .agg(*[F.coalesce(F.sum(sums[n].cast(kind[n])), F.lit(0)).cast(kind[n]).alias(n) for n in names]))
+    none = [F.lit(0).cast(kind[n]).alias(n) for n in names]
+    # _w: the window that asks, counted from 1; 0: the instant itself, which comes after what is asked at its time
+    number = {w: i for i, w in enumerate(["", *windows])}
+    here = F.struct(F.col("_t0").alias("_at"), F.lit(0).alias("_w"), *names)
+    asks = [F.struct((F.col("_t0") - secs).alias("_at"), F.lit(number[w]).alias("_w"), *none) for w, secs in windows.items()]
     line = inst.select(*keys, "_t0", F.inline(F.array(here, *asks)))
-    line = chunked(line, keys, "_at", rows, base=df.select(*keys, F.col(t_col).alias("_at")))
-    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # chunks are counted in all rows of the line: what is asked before a key's first row, or on a day without rows, too
+    base = df.select(*keys, F.explode(F.array(F.col(t_col), *[F.col(t_col) - secs for secs in windows.values()])).alias("_at"))
+    line = chunked(line, keys, "_at", rows, base)
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", F.col("_w").desc()).rowsBetween(Window.unboundedPreceding, 0)
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = line.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
     per_b = per_b.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_b").alias("_of_b"),
-                         *[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"_before_{n}") for n in names])
+                         *[F.coalesce(F.sum(n).over(wb), F.lit(0)).cast(kind[n]).alias(f"_before_{n}") for n in names])
     same = line["_b"] == per_b["_of_b"]
     for k in keys:
         same = same & line[k].eqNullSafe(per_b[f"_of_{k}"])
-    line = line.join(per_b, same).select(*keys, "_t0", "_w", *[(F.sum(n).over(w) + F.col(f"_before_{n}")).alias(n) for n in names])
-    at = {(n, x): F.max(F.when(F.col("_w") == x, F.col(n))) for n in names for x in ["", *windows]}
+    line = line.join(per_b, same).select(*keys, "_t0", "_w", *[(F.sum(n).over(w) + F.col(f"_before_{n}")).cast(kind[n]).alias(n) for n in names])
+    at = {(n, x): F.max(F.when(F.col("_w") == i, F.col(n))) for n in names for x, i in number.items()}
     out = line.groupBy(*keys, "_t0").agg(*[(at[n, ""] - at[n, x]).cast("decimal(38,0)").alias(f"{n}_{x}") for n in names for x in windows])
     out = out.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_t0", *[f"{n}_{x}" for n in names for x in windows])
     same = df[t_col] == out["_t0"]

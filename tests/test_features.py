@@ -69,6 +69,19 @@ def test_chunks_follow_rows_also_for_a_null_key(spark):
         ("a", None): None, **{("a", float(t)): 2 * min(t + 1, 4) for t in range(50)}, **{(None, float(t)): min(t + 1, 4) for t in range(30)}}
 
 
+def test_chunks_of_trailing_sums_hold_no_more_than_their_rows(spark, monkeypatch):
+    # a day of a row a second, eight days without any, a day; the longest window asks on days without rows and before the first
+    times = [float(d * 86400 + s) for d in (0, 9) for s in range(600)]
+    df = spark.createDataFrame([("a", t) for t in times], "k string, t double")
+    windows = {"10s": 10, "5m": 300, "2d": 2 * 86400}
+    lines, chunked = [], W.chunked
+    monkeypatch.setattr(W, "chunked", lambda *a, **kw: lines.append(chunked(*a, **kw)) or lines[-1])
+    got = {r.t: (r.n_10s, r.n_5m, r.n_2d) for r in W.trailing(df, "k", "t", windows, {"n": F.lit(1)}, rows=100).collect()}
+    assert got == {t: tuple(sum(t - s <= x <= t for x in times) for s in windows.values()) for t in times}
+    sizes = [r["count"] for r in lines[0].groupBy("k", "_b").count().collect()]
+    assert sum(sizes) == 4 * len(times) and max(sizes) <= 100 + 4
+
+
 def test_attribution_windows(spark):
     import datetime as dt
     t = lambda m: dt.datetime(2024, 1, 1, 10, 0) + dt.timedelta(minutes=m)
